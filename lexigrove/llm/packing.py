@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import arrow_map
 from .shared import batches, materialize, texts_of
 
 WINDOW = 2048
@@ -130,7 +131,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id:
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokenize, PIECES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), tokenize, PIECES)
 
 
 class OpenWindows:
@@ -209,7 +210,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, shards: int = 1) -> DataFrame:
 
     shard = F.when(F.col("length") == window, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
     dealt = pieces.select(shard.alias("shard"), "doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    rest = dealt.where("shard >= 0").repartition("shard").mapInArrow(pack_shards, PACKED)
+    rest = arrow_map(dealt.where("shard >= 0").repartition("shard"), pack_shards, PACKED)
     # a full window needs no search: it is a sequence of its own, numbered below zero
     full = pieces.where(F.col("length") == window).select(
         *[c.split(" ")[0] for c in PIECES.split(", ")], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

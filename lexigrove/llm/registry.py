@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -21,8 +22,41 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audio
+    from .shared import materialize
+
+    stored = materialize(audio.encode_audio(table(spark, sf_dir, "documents"), "doc_id"), "media", compression="zstd")
+    body = audio.payload(F.col("media"))
+    digests = {
+        "payload_bytes": F.octet_length(body).cast("long"),
+        "payload_sha256": F.sha2(body, 256),
+        "tail_crc32": F.crc32(F.substring("media", -64, 64)),
+        "media_bytes": F.octet_length("media").cast("long"),
+        "media_sha256": F.sha2("media", 256),
+    }
+    found = audio.audio_features(stored.withColumns(digests), "doc_id", "n_bytes", *digests)
+    first = F.coalesce(F.get("segments", F.lit(0))["start_ms"], F.lit(-1.0))
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("frames="), F.col("n_frames")),
+        F.concat(F.lit("tensors="), F.size("tensors")),
+        F.concat(F.lit("segments="), F.size("segments")),
+        F.concat(F.lit("first_ms="), F.format_number(first, 1)),
+        F.concat(F.lit("db="), F.format_number("mean_db", 3)),
+        F.concat(F.lit("mel="), F.array_join(F.transform("band_means", lambda x: F.format_number(x, 3)), ",")),
+    )
+    return found.select("doc_id", "n_bytes", *digests, feature.alias("feature"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {f.__name__: f for f in (op1_packing, op2_audio, op4_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
