@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
@@ -55,8 +55,38 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, "doc_id", "held_out")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    found = scan_licenses(table(spark, sf_dir, "documents"), "doc_id")
+    words = F.transform("places", lambda x: x["word"])
+    base = F.transform("places", lambda x: x["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.transform("detections", lambda x: x["label"]))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda x: x["score"])), F.when(F.size("places") > 0, 0.5), F.lit(0.0)).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_audio, op4_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_audio, op4_simhash, op7_language, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
