@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
+#: The key of the pseudonyms; a real run passes its own.
+KEY = "lexigrove"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def count_of(values: Column, value: object) -> Column:
+    return F.size(F.filter(values, lambda x: x == value)).cast("long")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,12 +55,30 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *digests, feature.alias("feature"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, scan_secrets, spelled
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [count_of(kinds, k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.array_sort(F.concat("base", "entropy"))).alias("spans"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    kinds = ("email", "phone", "ipv4", "card", "date", "iban")
+    counts = [count_of(F.col("found"), k).alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", F.col("pseudonymized").alias("text"), *counts)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -86,7 +110,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_audio, op4_simhash, op7_language, op9_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_audio, op3_secrets, op4_simhash, op5_pii, op7_language, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,164 @@
+"""Secret scans with JVM expressions only: named assignments, access keys, hexadecimal runs, and strings of high entropy.
+
+The entropy scan takes candidate strings of ``MINIMUM`` characters or more, tells their class from their characters, and
+slides a window of ``WINDOW`` characters over them. Counts per character are kept from step to step: a character that enters
+and one that leaves change the sum of c log c by two terms each. A candidate is reported from the first to the last
+window whose Shannon entropy reaches its class's threshold, unless an allow-list pattern suppresses it or a span found
+by name covers it. Sums are whole numbers of micro-bits, so that every engine agrees on them.
+
+Defined results: a null text is an empty one; a text without secrets has empty span lists; each row gives a row, repeated rows too; an
+empty table gives no rows; all columns of the input are kept and ``base`` and ``entropy`` are added.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .spans import match_spans
+
+
+def either_case(text: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
+
+
+NAMES = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
+ASSIGN = "(" + NAMES + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+
+WINDOW = 20
+MINIMUM = 20
+CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: Class: its characters, and the entropy in bits that a window must reach.
+CLASSES = {"entropy_hex": ("^[0-9a-fA-F]+$", 3.0), "entropy_base64": ("^[A-Za-z0-9+/_=-]+$", 3.8)}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Candidates that are not secrets: words, plain numbers, names made of words, one repeated character, placeholders, UUIDs.
+ALLOWED = (
+    "^[A-Za-z]+$",
+    "^[0-9]+$",
+    "^[A-Za-z]*[0-9]{0,4}([-_/=+][A-Za-z]*[0-9]{0,4})*$",
+    "^(.)\\1*$",
+    "(?i)(example|sample|placeholder|changeme|dummy|redacted|xxxxxx|012345|abcdef)",
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+)
+#: c log2 c in micro-bits, for counts up to the window and one more.
+COUNT_BITS = [round(1e6 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 2)]
+
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def most_sum(bits: float, window: int = WINDOW) -> int:
+    """The largest sum of c log2 c, in micro-bits, of a window whose entropy is ``bits`` or more."""
+    return math.floor(1e6 * window * (math.log2(window) - bits))
+
+
+def entropy_range(text: Column, limit: Column) -> Column:
+    """struct<first int, last int>: where the first window begins and the last one ends whose sum of c log c is at most ``limit``.
+
+    Both are 1-based; first is 0 if there is no such window. One pass with counts carried along.
+    """
+    table = F.array(*[F.lit(x).cast("long") for x in COUNT_BITS])
+    bits = lambda c: F.element_at(table, c + 1)
+    codes = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    held = F.array(F.struct(codes.alias("c"), limit.cast("long").alias("limit")))
+
+    def scan(x: Column) -> Column:
+        start = F.struct(
+            F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"),
+            F.lit(0).cast("long").alias("s"),
+            F.lit(0).alias("first"),
+            F.lit(0).alias("last"),
+        )
+
+        def step(a: Column, i: Column) -> Column:
+            enters = F.element_at(x["c"], i)
+            leaves = F.when(i > WINDOW, F.element_at(x["c"], F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
+            bound = F.array(F.struct(enters.alias("e"), leaves.alias("l")))
+
+            def changed(b: Column) -> Column:
+                more = F.get(a["n"], b["e"])
+                less = F.when(b["l"] >= 0, F.get(a["n"], F.greatest(b["l"], F.lit(0))) + (b["l"] == b["e"]).cast("int"))
+                total = a["s"] + bits(more + 1) - bits(more) + F.coalesce(bits(less - 1) - bits(less), F.lit(0).cast("long"))
+                counts = F.transform(a["n"], lambda v, j: v + (j == b["e"]).cast("int") - (j == b["l"]).cast("int"))
+                return F.struct(counts.alias("n"), total.alias("s"))
+
+            after = F.transform(bound, changed)
+
+            def noted(t: Column) -> Column:
+                hit = (i >= WINDOW) & (t["s"] <= x["limit"])
+                return F.struct(
+                    t["n"].alias("n"),
+                    t["s"].alias("s"),
+                    F.when(hit & (a["first"] == 0), i - WINDOW + 1).otherwise(a["first"]).alias("first"),
+                    F.when(hit, i).otherwise(a["last"]).alias("last"),
+                )
+
+            return F.get(F.transform(after, noted), F.lit(0))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(x["c"])), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    return F.get(F.transform(held, scan), F.lit(0))
+
+
+def _kind(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
+
+
+def base_spans(text: Column) -> Column:
+    """The spans found by name or form, by start, then kind."""
+    assign = F.filter(match_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 12)
+    return F.array_sort(F.concat(_kind(assign, "assign"), _kind(match_spans(text, ACCESS), "access"), _kind(match_spans(text, HEX), "hex")))
+
+
+def entropy_spans(text: Column, base: Column) -> Column:
+    """The spans of candidate strings with a window of high entropy, without those that a span of ``base`` covers."""
+
+    def suspicious(s: Column) -> Column:
+        allowed = F.lit(False)
+        for pattern in ALLOWED:
+            allowed = allowed | s["match"].rlike(pattern)
+        return ~allowed
+
+    found = F.filter(match_spans(text, CANDIDATE), suspicious)
+    is_hex = lambda s: s["match"].rlike(CLASSES["entropy_hex"][0])
+    limit = lambda s: F.when(is_hex(s), F.lit(most_sum(CLASSES["entropy_hex"][1]))).otherwise(F.lit(most_sum(CLASSES["entropy_base64"][1])))
+    ranged = F.transform(
+        found,
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            F.when(is_hex(s), F.lit(KINDS.index("entropy_hex"))).otherwise(F.lit(KINDS.index("entropy_base64"))).alias("kind"),
+            entropy_range(s["match"], limit(s)).alias("at"),
+        ),
+    )
+    hits = F.filter(ranged, lambda s: s["at"]["first"] > 0)
+    spans = F.transform(hits, lambda s: F.struct((s["start"] + s["at"]["first"] - 1).alias("start"), s["kind"].alias("kind"), (s["start"] + s["at"]["last"]).alias("end")))
+    fresh = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    return F.when(text.rlike(CANDIDATE), fresh).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """``docs(text, ...)`` with ``base`` and ``entropy``, each array<struct<start, kind (its place in KINDS), end>>."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumn("base", base_spans(text)).withColumn("entropy", entropy_spans(text, F.col("base")))
+
+
+def spelled(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with its spans, sorted by start, replaced; overlapping ones become one mark."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        between = F.when(s["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], between).alias("out"))
+
+    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)

@@ -1,0 +1,39 @@
+"""Spans of regex matches in a text, with JVM expressions only."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start int, end int, match string>> of leftmost non-overlapping matches, in code points.
+
+    The text between matches comes from ``split``; a match starts where the gaps and matches before it end.
+    """
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.when(text.rlike(pattern), _placed(gaps, found)).otherwise(none)
+
+
+def _placed(gaps: Column, found: Column) -> Column:
+    held = F.array(F.struct(gaps.alias("gaps"), found.alias("found")))  # bound once, whatever refers to it
+
+    def place(x: Column) -> Column:
+        zero = F.lit(0)
+        start = lambda i: F.aggregate(F.slice(x["gaps"], 1, i + 1), zero, lambda a, g: a + F.length(g)) + F.aggregate(
+            F.slice(x["found"], 1, i), zero, lambda a, m: a + F.length(m)
+        )
+        return F.transform(
+            F.transform(x["found"], lambda m, i: F.struct(start(i).alias("start"), m.alias("match"))),
+            lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match")),
+        )
+
+    return F.get(F.transform(held, place), F.lit(0))
+
+
+def replace_matches(text: Column, pattern: str, replacement) -> Column:
+    """The text with each leftmost non-overlapping match m replaced by ``replacement(m)``."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    new = F.concat(F.transform(found, replacement), F.array(F.lit("")))  # one more gap than matches
+    return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, b)), "")).otherwise(text)
