@@ -56,7 +56,7 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import KINDS, scan_secrets, spelled
+    from .secret_scan import KINDS, scan_secrets, spelled
 
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -79,6 +79,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("pseudonymized").alias("text"), *counts)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nndescent import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -88,6 +94,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, "doc_id", "held_out")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages, read_archives
+
+    manifest, folder = archive_pages(table(spark, sf_dir, "pages"))
+    return read_archives(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -110,7 +123,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_audio, op3_secrets, op4_simhash, op5_pii, op7_language, op9_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_audio, op3_secrets, op4_simhash, op5_pii, op6_embeddings, op7_language, op8_warc, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
