@@ -3,8 +3,8 @@
 Equal vectors meet first: one class each, with a count. Lists of the ``neighbours`` most similar classes start from tables of random
 hyperplanes (all pairs within a block of about ``BLOCK``), then a round of NN-descent joins each class's neighbours
 with one another, through it, and keeps what improves a list. Blocks and joins also give reachability by links, as
-spanning forests. A list that is full of links is saturated: it is enlarged to its whole component, whose pairs are
-counted chunk by chunk, so nothing is capped. ``audit`` compares link counts of a bounded set of classes with brute
+spanning forests. A list that holds a link may be saturated (a block offers a few neighbours only): it is enlarged to its
+whole component, whose pairs are counted chunk by chunk, so nothing is capped. ``audit`` compares link counts of a bounded set of classes with brute
 force; while recall is below ``RECALL``, further tables and rounds are added.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
@@ -196,21 +196,15 @@ def dense_links(members: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(ready, count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def link_graph(classes: DataFrame, edges: DataFrame, lists: DataFrame, neighbours: int, threshold: float) -> DataFrame:
-    """(rep, copies, root, links) of each class, from the lists and what they are enlarged to."""
-    strong = lists.where(F.col("sim") >= threshold)
-    reach = edges.where("sim > 1.5").select("a", "b").union(strong.select("a", "b"))
-    roots = components(reach)
-    rooted = materialize(classes.join(roots, classes.rep == roots.node, "left").select("rep", "copies", F.coalesce("root", "rep").alias("root"), "embedding"), "rooted")
-    saturated = strong.groupBy("a").count().where(F.col("count") >= neighbours).select(F.col("a").alias("rep"))
-    full = materialize(rooted.join(saturated, "rep", "left_semi").select("root").distinct(), "full")
-    large = dense_links(rooted.join(full.hint("merge"), "root", "left_semi"), threshold)
-    both = strong.select("a", "b").union(strong.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    small = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("links")).select(F.col("a").alias("rep"), "links")
-    counted = materialize(small.select("rep", "links", F.lit(0).alias("dense")).union(large.select("rep", "links", F.lit(1))), "counted")
-    links = counted.groupBy("rep").agg(F.max(F.struct("dense", "links"))["links"].alias("links"))
-    found = rooted.select("rep", "copies", "root").join(links, "rep", "left")
-    return materialize(found.select("rep", "copies", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "graph")
+def link_graph(classes: DataFrame, edges: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """(rep, copies, root, links) of each class: components of the links found, and each list with a link enlarged to its component."""
+    strong = lists.where(F.col("sim") >= threshold).select("a", "b")
+    roots = components(edges.where("sim > 1.5").select("a", "b").union(strong))
+    linked = materialize(classes.join(roots.hint("merge"), classes.rep == roots.node).select("rep", "copies", "root", "embedding"), "linked")
+    links = materialize(dense_links(linked, threshold), "links")
+    found = linked.select("rep", "root").join(links.hint("merge"), "rep")
+    found = classes.select("rep", "copies").join(materialize(found, "found").hint("merge"), "rep", "left")
+    return materialize(found.select("rep", "copies", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "graph")
 
 
 def audit(classes: DataFrame, graph: DataFrame, threshold: float, queries: int = AUDIT) -> float:
@@ -266,7 +260,7 @@ def near_duplicates(
         lists = materialize(best_lists(edges, neighbours), "lists")
         edges = materialize(edges.where("sim > 1.5").union(lists.select("a", "b", "sim")).union(join_neighbours(classes, lists, neighbours, threshold)), "edges")
         lists = materialize(best_lists(edges, neighbours), "lists")
-        graph = link_graph(classes, edges, lists, neighbours, threshold)
+        graph = link_graph(classes, edges, lists, threshold)
         recall = audit(classes, graph, threshold)
         if report:
             report(turn, recall)

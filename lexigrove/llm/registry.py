@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A mixture flattens sources and languages: their shares to these powers. Topics keep their shares.
+MIX_TARGETS: dict[str, dict[str, float] | float] = {"source": 0.5, "lang": 0.8, "topic": 1.0}
+#: Share of all tokens that a mixture keeps, at most.
+MIX_BUDGET = 0.5
+
+
 def count_of(values: Column, value: object) -> Column:
     return F.size(F.filter(values, lambda x: x == value)).cast("long")
 
@@ -122,8 +128,14 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_BUDGET).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_audio, op3_secrets, op4_simhash, op5_pii, op6_embeddings, op7_language, op8_warc, op9_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_audio, op3_secrets, op4_simhash, op5_pii, op6_embeddings, op7_language, op8_warc, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
