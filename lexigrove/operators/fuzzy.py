@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +89,6 @@ def alignment(a: str, b: str) -> tuple[list[list[int]], list[tuple[int, int]]]:
 
 def with_alignment(pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with ``distance``, ``table`` and ``path``."""
-    import pandas as pd
-
     ship(pairs.sparkSession)
 
     @F.pandas_udf("table array<array<int>>, path array<struct<i: int, j: int>>")

@@ -62,7 +62,7 @@ def fit(points: DataFrame, *keys: str, x: str = "rank", y: str = "cf") -> DataFr
         "n",
         F.when(some, F.col("slope")).alias("slope"),
         F.when(some, F.col("intercept")).alias("intercept"),
-        F.when(some, -F.col("slope")).alias("exponent"),
+        F.when(some, 0.0 - F.col("slope")).alias("exponent"),
         F.when(some & (F.col("low") < F.col("high")), F.col("r2")).alias("r2"),
         F.when(some, F.sqrt(residual / F.col("n"))).alias("rmse"),
     )
