@@ -113,8 +113,8 @@ def rake_frames(cells: DataFrame, targets: Targets, steps: int = STEPS, toleranc
     return now
 
 
-def calibrate(docs: DataFrame, targets: Targets, budget: float, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """(dimensions, tokens, weight, probability) of each cell.
+def calibrate(docs: DataFrame, targets: Targets, budget: float, driver_cells: int = DRIVER_CELLS) -> tuple[DataFrame, bool]:
+    """(dimensions, tokens, weight, probability) of each cell, and whether the cells are ``driver_cells`` at most.
 
     The probability is in proportion to weight per token; ``budget`` is the share of all tokens to keep, lowered where a
     cell would otherwise have to give more than it has.
@@ -138,7 +138,8 @@ def calibrate(docs: DataFrame, targets: Targets, budget: float, driver_cells: in
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
     sums = raked.agg(F.sum("tokens"), F.max(ratio)).first()
     scale = min(budget * (sums[0] or 0.0), 1 / sums[1] if sums[1] else 0.0)
-    return raked.withColumn("probability", F.when(F.col("tokens") > 0, F.least(ratio * scale, F.lit(1.0))).otherwise(F.lit(1.0)))
+    probability = F.when(F.col("tokens") > 0, F.least(ratio * scale, F.lit(1.0))).otherwise(F.lit(1.0))
+    return raked.withColumn("probability", probability), len(few) <= driver_cells
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -149,16 +150,17 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
 def mix(docs: DataFrame, targets: Targets, budget: float, seed: str = SEED, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """The documents of ``docs(doc_id, text, ...)`` that are sampled, with ``n_tokens``, ``topic`` and ``probability``.
 
-    A ``topic`` column of the input is used; else it is ``topic_of`` the text. Probabilities are looked up by cell; their table is broadcast
-    where it is within ``driver_cells``, by Spark's own check of its size.
+    A ``topic`` column of the input is used; else it is ``topic_of`` the text. Probabilities are looked up by cell: by a
+    broadcast table of ``driver_cells`` rows at most, or beyond that by a sort-merge join of two tables that adaptive execution can split.
     """
     ready = docs.withColumn("_tokens", token_count(F.col("text"))).withColumn("_topic", F.col("topic") if "topic" in docs.columns else topic_of(F.col("text")))
     names = {d: F.col("_topic") if d == "topic" else F.col(d) for d in targets}
     keys = {f"_key_{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in names.items()}
     ready = ready.withColumns(keys)
     slim = ready.select(*[F.col(k).alias(k.removeprefix("_key_")) for k in keys], F.col("_tokens").alias("n_tokens"))
-    found = calibrate(slim, targets, budget, driver_cells)
+    found, few = calibrate(slim, targets, budget, driver_cells)
     found = found.select(*[F.col(d).alias(f"_key_{d}") for d in targets], F.col("probability").alias("_probability"))
+    found = F.broadcast(found) if few else materialize(found, "probabilities").hint("merge")
     kept = ready.join(found, list(keys)).where(uniform(F.col("doc_id"), seed) < F.col("_probability"))
     added = {"n_tokens": F.col("_tokens"), "topic": F.col("_topic"), "probability": F.col("_probability")}
     return kept.select(*[F.col(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
