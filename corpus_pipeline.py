@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.llm import langid, mixing, packing, secret_scan, simhash
 from lexigrove.llm.registry import MIX_BUDGET, MIX_TARGETS, VOCABULARY
-from lexigrove.llm.shared import materialize
+from lexigrove.llm.shared import free_name, materialize
 
 #: A document is rejected if no language is this probable.
 LEAST_SCORE = 0.5
@@ -21,21 +21,27 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known go on; ``lang`` is what was predicted."""
     model = langid.fit(docs.where(~langid.is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model, *docs.columns)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = langid.predict(docs, model, *docs.columns, names=(pred, score))
+    kept = found.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(pred)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies goes on: the one with the smallest id."""
-    found = materialize(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(found.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies goes on: the one with the smallest id.
+
+    Of rows that repeat an id and its text one goes on, too; rows without an id can't be told apart and all go on.
+    """
+    found = materialize(simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    kept = docs.join(found.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document goes on, with its secrets masked."""
-    found = secret_scan.scan_secrets(docs)
-    clean = secret_scan.redact(F.col("text"), F.array_sort(F.concat("base", "entropy")))
+    base, entropy = free_name(docs, "base"), free_name(docs, "entropy")
+    found = secret_scan.scan_secrets(docs, base, entropy)
+    clean = secret_scan.redact(F.col("text"), F.array_sort(F.concat(base, entropy)))
     return found.withColumn("text", clean).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
 
 

@@ -125,18 +125,18 @@ def score(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     return names, np.where(known, posterior, 0.0)
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """(kept columns, lang_pred, score) of each row of ``docs(text, ...)``."""
+def predict(docs: DataFrame, model: Model, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(kept columns, lang_pred, score) of each row of ``docs(text, ...)``; ``names`` gives the new columns other names."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of MOST_LANGUAGES x buckets at most
     kept = docs.select(*keep)
 
     def compute(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 2 << 20):
-            names, scores = score([x or "" for x in batch.column(len(keep)).to_pylist()], held.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+            found, scores = score([x or "" for x in batch.column(len(keep)).to_pylist()], held.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(scores)], [*keep, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return arrow_map(docs.select(*keep, "text"), compute, f"{schema}, lang_pred string, score double")
+    return arrow_map(docs.select(*keep, "text"), compute, f"{schema + ', ' if schema else ''}`{names[0]}` string, `{names[1]}` double")
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -7,7 +7,8 @@ its cell's probability, so a sample is the same on every run and does not depend
 
 Defined results: a null label is a label of its own, and so is a missing topic; a null text has 0 tokens; labels without a target share what the
 targets leave, in proportion to their tokens; targets of labels that do not occur are given up and the rest scaled to 1;
-repeated rows with one id are kept or dropped together; an empty table gives no rows; all columns of the input are kept.
+repeated rows with one id are kept or dropped together; an empty table gives no rows; all columns of the input are kept, also where
+a new column would have had the name.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_name, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 DRIVER_CELLS = 100_000
@@ -27,23 +28,26 @@ SEED = "mixing"
 Targets = dict[str, dict[str, float] | float]
 
 
+#: What a text of each form holds somewhere; the first that fits counts.
+FORMS = {
+    "table": r"(?:\|[^|\n]{1,80}){5}",
+    "markup": r"(?:[#$%&*]{3}\s+\S{1,60}?){3}",
+    "shouted": r"(?:[A-Z]{2,40}[^A-Za-z]{1,4}){5}",
+    "numeric": r"[0-9]{2}",
+}
+
+
 def topic_of(text: Column) -> Column:
-    """A topic by form, for tables that have none: table, list, marked-up, numeric, shouted or prose."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.length(F.translate(text, chars, "")) / size  # noqa: E731  what is left without them
-    return (
-        F.when(share("|") < 0.97, "table")
-        .when(share("#$%&*") < 0.9, "markup")
-        .when(share("0123456789") < 0.98, "numeric")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") < 0.7, "shouted")
-        .otherwise("prose")
-    )
+    """A topic by form, for tables that have none: table, markup, shouted, numeric or prose."""
+    out = F.lit("prose")
+    for name, pattern in reversed(FORMS.items()):
+        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
 
 
 def token_count(text: Column) -> Column:
     """Words of a text, as a measure of its tokens."""
-    return F.coalesce(F.size(F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")) * (F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) != "").cast("int"), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def cells_of(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -153,14 +157,14 @@ def mix(docs: DataFrame, targets: Targets, budget: float, seed: str = SEED, driv
     A ``topic`` column of the input is used; else it is ``topic_of`` the text. Probabilities are looked up by cell: by a
     broadcast table of ``driver_cells`` rows at most, or beyond that by a sort-merge join of two tables that adaptive execution can split.
     """
-    ready = docs.withColumn("_tokens", token_count(F.col("text"))).withColumn("_topic", F.col("topic") if "topic" in docs.columns else topic_of(F.col("text")))
-    names = {d: F.col("_topic") if d == "topic" else F.col(d) for d in targets}
-    keys = {f"_key_{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in names.items()}
-    ready = ready.withColumns(keys)
-    slim = ready.select(*[F.col(k).alias(k.removeprefix("_key_")) for k in keys], F.col("_tokens").alias("n_tokens"))
+    tokens, topic, chance = (free_name(docs, n) for n in ("_tokens", "_topic", "_probability"))
+    ready = docs.withColumn(tokens, token_count(F.col("text"))).withColumn(topic, F.col("topic") if "topic" in docs.columns else topic_of(F.col("text")))
+    keys = {d: free_name(docs, f"_key_{d}") for d in targets}
+    ready = ready.withColumns({k: F.coalesce(F.col(topic if d == "topic" else d).cast("string"), F.lit("")) for d, k in keys.items()})
+    slim = ready.select(*[F.col(k).alias(d) for d, k in keys.items()], F.col(tokens).alias("n_tokens"))
     found, few = calibrate(slim, targets, budget, driver_cells)
-    found = found.select(*[F.col(d).alias(f"_key_{d}") for d in targets], F.col("probability").alias("_probability"))
+    found = found.select(*[F.col(d).alias(k) for d, k in keys.items()], F.col("probability").alias(chance))
     found = F.broadcast(found) if few else materialize(found, "probabilities").hint("merge")
-    kept = ready.join(found, list(keys)).where(uniform(F.col("doc_id"), seed) < F.col("_probability"))
-    added = {"n_tokens": F.col("_tokens"), "topic": F.col("_topic"), "probability": F.col("_probability")}
-    return kept.select(*[F.col(c) for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    kept = ready.join(found, list(keys.values())).where(uniform(F.col("doc_id"), seed) < F.col(chance))
+    added = {"n_tokens": F.col(tokens), "topic": F.col(topic), "probability": F.col(chance)}
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in added.items() if k.lower() not in {c.lower() for c in docs.columns}])

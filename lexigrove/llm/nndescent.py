@@ -8,7 +8,7 @@ whole component, whose pairs are counted chunk by chunk, so nothing is capped. `
 force; while recall is below ``RECALL``, further tables and rounds are added.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
-do not link; repeated rows are linked copies; cosine is computed in double precision and compared with >=; each row
+do not link; rows with a null vec_id link with nothing and are not kept; repeated rows are linked copies; cosine is computed in double precision and compared with >=; each row
 gives a row; an empty table gives no rows; further columns are ignored.
 """
 
@@ -248,7 +248,7 @@ def near_duplicates(
     Two vectors are linked if their cosine is ``threshold`` or more. ``report`` is told the recall after each round.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    valid = rows.where(is_valid(F.col("embedding")))
+    valid = rows.where(is_valid(F.col("embedding")) & F.col("vec_id").isNotNull())
     classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "embedding"), "classes")
     total = classes.count()
     bits = max(0, min(40, math.ceil(math.log2(max(1, total) / block))))
@@ -266,7 +266,7 @@ def near_duplicates(
             report(turn, recall)
         if recall >= RECALL or total <= block:
             break
-    of = rows.join(classes.select("embedding", "rep").hint("merge"), "embedding", "left").select("vec_id", "rep")
+    of = rows.join(classes.select("embedding", "rep").hint("merge"), "embedding", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("rep"))
     placed = materialize(of, "placed").join(graph.hint("merge"), "rep", "left")
     root = F.coalesce("root", "vec_id")
-    return placed.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    return placed.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(False)).alias("kept"))

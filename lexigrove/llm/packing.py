@@ -7,7 +7,7 @@ each remaining capacity, so a piece costs log2(window) steps, and a shard's memo
 Only (doc_id, start, length, crc) is shuffled, never text or ids.
 
 Defined results: a null text is an empty one; an empty document is one piece of length 1 (its end mark); equal lengths are
-packed by doc_id, then by checksum; repeated rows are packed as often as they occur; an empty table gives no rows; further columns of the
+packed by doc_id, then by checksum; a null doc_id stays null; repeated rows are packed as often as they occur; an empty table gives no rows; further columns of the
 input are ignored, whatever their names.
 """
 
@@ -198,15 +198,17 @@ def pack(pieces: DataFrame, window: int = WINDOW, shards: int = 1) -> DataFrame:
         if not batches_:
             return
         table = pa.Table.from_batches(batches_)
-        shard, doc, start, length, crc, tokens = (table.column(k).to_numpy() for k in range(6))
+        ids = table.column(1).combine_chunks()
+        doc = ids.fill_null(-(2**63)).to_numpy()
+        shard, start, length, crc, tokens = (table.column(k).to_numpy() for k in (0, 2, 3, 4, 5))
         order = np.lexsort((start, crc, doc, -length, shard))
         bounds = np.flatnonzero(np.diff(shard[order])) + 1
         for part in np.split(order, bounds):
             where, offsets = best_fit_decreasing(length[part].tolist(), window)
             # the shard above, the sequence's number in the shard below
             sequence = (shard[part[0]].astype(np.int64) << 32) + np.array(where, np.int64)
-            columns = [doc[part], start[part], length[part], crc[part], tokens[part], sequence, np.array(offsets, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            columns = [ids.take(pa.array(part)), start[part], length[part], crc[part], tokens[part], sequence, np.array(offsets, np.int64)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     shard = F.when(F.col("length") == window, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
     dealt = pieces.select(shard.alias("shard"), "doc_id", "start", "length", "ids_crc32", "doc_tokens")

@@ -7,7 +7,7 @@ card numbers by Luhn, IBANs modulo 97, addresses by octet, dates by the calendar
 number or date that is not valid is left as it is.
 
 Defined results: a null text stays null; a text without PII is unchanged; all columns of the input are kept and
-``pseudonymized`` and ``found`` (kind of each value, in order) are added; each row gives a row; an empty table gives no rows.
+``pseudonymized`` and ``found`` (kind of each value, in order) are added, or replaced where the input has such columns; each row gives a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 ROUNDS = 6
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,7}\.[A-Za-z]{2,24}"
@@ -171,12 +173,13 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     # bound once: what lies between matches, and for each match its kind and pseudonym
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     changed = F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), pseudonym(f["m"], f["kind"], key).alias("new")))
+    held = free_name(docs, "_pii")
     work = F.when(text.rlike(GATE) & text.rlike(ANY), F.struct(F.split(text, ANY, -1).alias("gaps"), changed.alias("values")))
-    new = F.concat(F.transform("_pii.values", lambda v: v["new"]), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with("_pii.gaps", new, lambda a, b: F.concat(a, b)), "")
-    kinds = F.filter(F.transform("_pii.values", lambda v: v["kind"]), lambda k: k.isNotNull())
+    new = F.concat(F.transform(f"{held}.values", lambda v: v["new"]), F.array(F.lit("")))
+    rebuilt = F.array_join(F.zip_with(f"{held}.gaps", new, lambda a, b: F.concat(a, b)), "")
+    kinds = F.filter(F.transform(f"{held}.values", lambda v: v["kind"]), lambda k: k.isNotNull())
     return (
-        docs.withColumn("_pii", work)
-        .withColumns({"pseudonymized": F.when(F.col("_pii").isNotNull(), rebuilt).otherwise(text), "found": F.coalesce(kinds, F.array().cast("array<string>"))})
-        .drop("_pii")
+        docs.withColumn(held, work)
+        .withColumns({"pseudonymized": F.when(F.col(held).isNotNull(), rebuilt).otherwise(text), "found": F.coalesce(kinds, F.array().cast("array<string>"))})
+        .drop(held)
     )

@@ -7,7 +7,8 @@ window whose Shannon entropy reaches its class's threshold, unless an allow-list
 by name covers it. Sums are whole numbers of micro-bits, so that every engine agrees on them.
 
 Defined results: a null text is an empty one; a text without secrets has empty span lists; each row gives a row, repeated rows too; an
-empty table gives no rows; all columns of the input are kept and ``base`` and ``entropy`` are added.
+empty table gives no rows; all columns of the input are kept and ``base`` and ``entropy`` are added, or replaced where the
+input has columns of these names and no others are given.
 """
 
 from __future__ import annotations
@@ -140,10 +141,10 @@ def entropy_spans(text: Column, base: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), fresh).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """``docs(text, ...)`` with ``base`` and ``entropy``, each array<struct<start, kind (its place in KINDS), end>>."""
+def scan_secrets(docs: DataFrame, base: str = "base", entropy: str = "entropy") -> DataFrame:
+    """``docs(text, ...)`` with ``base`` and ``entropy`` (or other names), each array<struct<start, kind (its place in KINDS), end>>."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("base", base_spans(text)).withColumn("entropy", entropy_spans(text, F.col("base")))
+    return docs.withColumn(base, base_spans(text)).withColumn(entropy, entropy_spans(text, F.col(base)))
 
 
 def spelled(spans: Column) -> Column:

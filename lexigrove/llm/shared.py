@@ -50,6 +50,14 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it where ``df`` has such a column (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -10,7 +10,7 @@ A task writes a file under a name of its own and moves it into place when it is
 names the files of the tasks that counted, so what a lost executor or a second attempt leaves is never read.
 
 Defined results: a null html is an empty payload; a null page_id is kept, but a page with an id is preferred as response;
-repeated rows are records of their own (equal page_ids: one is the response); an empty table gives no files; further columns are ignored.
+repeated rows are records of their own, of the same type; an empty table gives no files; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ SAMPLE_RECORDS, SAMPLE_BYTES, RECORD_BYTES, DICTIONARY_BYTES = 1500, 6 << 20, 32
 FILE_BYTES = 32 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
-NO_ID = -1
+NO_ID = -(2**63)
 
 MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
