@@ -82,8 +82,9 @@ def entropy_range(text: Column, limit: Column) -> Column:
 
             def changed(b: Column) -> Column:
                 more = F.get(a["n"], b["e"])
-                less = F.when(b["l"] >= 0, F.get(a["n"], F.greatest(b["l"], F.lit(0))) + (b["l"] == b["e"]).cast("int"))
-                total = a["s"] + bits(more + 1) - bits(more) + F.coalesce(bits(less - 1) - bits(less), F.lit(0).cast("long"))
+                less = F.get(a["n"], F.greatest(b["l"], F.lit(0))) + (b["l"] == b["e"]).cast("int")
+                left = F.when(b["l"] >= 0, bits(less - 1) - bits(less)).otherwise(F.lit(0).cast("long"))
+                total = a["s"] + bits(more + 1) - bits(more) + left
                 counts = F.transform(a["n"], lambda v, j: v + (j == b["e"]).cast("int") - (j == b["l"]).cast("int"))
                 return F.struct(counts.alias("n"), total.alias("s"))
 
