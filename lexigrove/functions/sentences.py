@@ -40,3 +40,10 @@ def sentence_count(text: Column) -> Column:
 def words_per_sentence(text: Column) -> Column:
     count = sentence_count(text)
     return F.when(count > 0, F.round(F.size(tokens(text)) / count, 2)).otherwise(F.lit(0.0))
+
+
+def condition_sentences(text: Column, condition: str = "B") -> Column:
+    """Words of each sentence under a condition (A to C), of sentences with two words or more."""
+    from .text import condition_tokens
+
+    return F.filter(F.transform(sentences(text), lambda s: condition_tokens(s, condition)), lambda words: F.size(words) >= 2)

@@ -15,7 +15,7 @@ NODES = "array<struct<i: int, last: int, depth: int, tag: string, path: string,
 #: Tags whose text is taken, and the attributes that tell kinds of a tag apart.
 TAGS = frozenset(
     "ArticleTitle AbstractText Keyword PMID ArticleId Title Year MedlineDate ForeName LastName CollectiveName Language DescriptorName QualifierName "
-    "article-title abstract title p sec kwd article-id journal-title year surname given-names body".split()
+    "article-title abstract title p sec kwd article-id journal-title year surname given-names body id summary published name totalResults".split()
 )
 KINDS = ("abstract-type", "IdType", "pub-id-type", "contrib-type", "MajorTopicYN", "date-type")
 
@@ -211,3 +211,22 @@ def headings(files: DataFrame) -> DataFrame:
         )
 
     return parsed.select("path", F.explode(F.transform(tops, heading)).alias("h")).select("path", "h.*").where("descriptor <> ''")
+
+
+def parse_feed(files: DataFrame) -> DataFrame:
+    """(arxiv_id, title, abstract, publication_year, authors) of the entries of Atom feeds; version suffixes are dropped."""
+    ship(files.sparkSession)
+    parsed = files.select(nodes(F.col("content")).alias("nodes")).where("nodes is not null")
+    entries = F.filter("nodes", lambda n: n["tag"] == "entry")
+
+    def entry(top: Column) -> Column:
+        inside = below(F.col("nodes"), top)
+        return F.struct(
+            F.regexp_replace(F.regexp_replace(first(texts(inside, "id")), "^https?://arxiv\\.org/abs/", ""), "v\\d+$", "").alias("arxiv_id"),
+            first(texts(inside, "title")).alias("title"),
+            first(texts(inside, "summary")).alias("abstract"),
+            F.substring(first(texts(inside, "published")), 1, 4).alias("publication_year"),
+            F.array_join(texts(inside, "name", "/author/"), ", ").alias("authors"),
+        )
+
+    return parsed.select(F.explode(F.transform(entries, entry)).alias("e")).select("e.*")
