@@ -8,11 +8,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import match
 from ..functions import sentences as sent
 from ..functions import text as tx
 from ..functions.stem import stem_terms
 from ..operators import evaluation as ev
-from ..operators import fuzzy, ranking, scope, vectors, weighting, zipf
+from ..operators import fuzzy, news, ranking, scope, vectors, weighting, zipf
 from ..operators import index as ix
 from ..sources.newswire import page_elements
 from . import sql
@@ -628,3 +629,67 @@ def dedup_priority(spark, sf):
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(ltrim(text), '^[=+\\-@]') THEN '''' || text ELSE text END AS safe FROM conversations")
 def csv_safe_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.csv_safe(F.col("text")).alias("safe"))
+
+
+@query(f"SELECT doc_id, len(list_filter({sql.tokens()}, lambda x: x IN ('th', 'er', 'inan')))::INT AS n_matches FROM documents WHERE source = 'src4'")
+def keyword_match_count(spark, sf):
+    docs = documents(spark, sf).where("source = 'src4'")
+    return docs.select("doc_id", match.match_count(F.col("text"), match.Wanted(("th", "er", "inan"))).alias("n_matches"))
+
+
+@query()
+def highlighted_results(spark, sf):
+    wanted = match.Wanted(("th", "er", "nd"))
+    best = bm25_search(spark, sf).select("doc_id", "score")
+    shown = documents(spark, sf, "doc_id", "text").join(F.broadcast(best), "doc_id")  # ten rows
+    return shown.select("doc_id", "score", match.highlight(match.query_snippet(F.col("text"), wanted), wanted).alias("snippet"))
+
+
+@query(_eval_sql("SELECT query_id, method, round(CASE WHEN hi > lo THEN (ndcg - lo) / (hi - lo) ELSE 0 END, 6) AS scaled FROM (SELECT *, min(ndcg) OVER (PARTITION BY query_id) AS lo, max(ndcg) OVER (PARTITION BY query_id) AS hi FROM e)"))
+def eval_scaled(spark, sf):
+    return rounded(ev.scaled(_per_query(spark, sf), "ndcg", "query_id"), "scaled").select("query_id", "method", "scaled")
+
+
+@query("SELECT year FROM (VALUES ('2021'), ('2024'), ('n.d.'), ('1999')) v(year)")
+def years(spark, sf):
+    return scope.years(spark.createDataFrame([("2021",), ("2024",), ("n.d.",), ("1999",), (" ",), ("2024",)], "publication_year string"))
+
+
+@query("SELECT model, epoch, cumulative - coalesce(lag(cumulative) OVER (PARTITION BY model ORDER BY epoch), 0) AS loss FROM (VALUES ('a', 1, 4.0::DOUBLE), ('a', 2, 7.0), ('b', 1, 5.0), ('b', 2, 9.5)) v(model, epoch, cumulative)")
+def loss_deltas(spark, sf):
+    rows = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 7.0), ("b", 1, 5.0), ("b", 2, 9.5)], "model string, epoch int, cumulative double")
+    return vectors.loss_deltas(rows).select("model", "epoch", "loss")
+
+
+def _news(spark, sf):
+    stories = documents(spark, sf).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.array("source").alias("topics"))
+    return stories, *news.news_index(stories)
+
+
+@query(
+    with_cte(
+        f"""SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(w * qw) / any_value(size) / any_value(qsize), 10) AS score FROM h JOIN q USING (term) JOIN z USING (doc_id) JOIN qz USING (query_id) WHERE size * qsize > 0 GROUP BY query_id, doc_id) WHERE score > 0) WHERE rank <= 20""",
+        sql.WORDS,
+        f"np AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE lang = 'en' AND term NOT IN ({sql.STOPS}) AND regexp_matches(term, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]') GROUP BY ALL)",
+        "nd AS (SELECT term, log10((SELECT count(*) FROM documents WHERE lang = 'en') / count(*)) AS idf FROM np GROUP BY term)",
+        "h AS (SELECT doc_id, term, tf * idf AS w FROM np JOIN nd USING (term)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM h GROUP BY doc_id)",
+        "q AS (SELECT query_id, v.term, tf * coalesce(idf, log10((SELECT count(*) FROM documents WHERE lang = 'en'))) AS qw FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in TERMS) + ") v(query_id, term, tf) LEFT JOIN nd ON nd.term = v.term)",
+        "qz AS (SELECT query_id, sqrt(sum(qw * qw)) AS qsize FROM q GROUP BY query_id)",
+    )
+)
+def news_tfidf(spark, sf):
+    _, words, docs = _news(spark, sf)
+    return rounded(ranking.ranked(news.tfidf_scores(words, asked(spark), docs.count()), "query_id", limit=20), "score").select("query_id", "doc_id", "score")
+
+
+@query()
+def news_methods(spark, sf):
+    _, words, docs = _news(spark, sf)
+    model = held(spark, sf, "news model", lambda: vectors.skip_gram(_training(spark, sf), size=16, epochs=1))
+    return rounded(news.rankings(news.method_scores(words, asked(spark), model, docs.count())).where("rank <= 10"), "score").select("query_id", "method", "rank", "doc_id", "score")
+
+
+@query("SELECT topic, count(*) AS n FROM (SELECT source AS topic FROM documents WHERE lang = 'en') GROUP BY topic")
+def news_topics(spark, sf):
+    return news.topic_overview(_news(spark, sf)[0])
