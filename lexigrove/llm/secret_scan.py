@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import match_spans
+from ..functions.spans import match_spans
 
 
 def either_case(text: str) -> str:
