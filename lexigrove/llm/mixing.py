@@ -13,6 +13,8 @@ a new column would have had the name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +30,19 @@ SEED = "mixing"
 Targets = dict[str, dict[str, float] | float]
 
 
-#: What a text of each form holds somewhere; the first that fits counts.
-FORMS = {
-    "table": r"(?:\|[^|\n]{1,80}){5}",
-    "markup": r"(?:[#$%&*]{3}\s+\S{1,60}?){3}",
-    "shouted": r"(?:[A-Z]{2,40}[^A-Za-z]{1,4}){5}",
-    "numeric": r"[0-9]{2}",
-}
-
-
 def topic_of(text: Column) -> Column:
-    """A topic by form, for tables that have none: table, markup, shouted, numeric or prose."""
-    out = F.lit("prose")
-    for name, pattern in reversed(FORMS.items()):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    """A topic by form, from shares of the whole text, for tables that have none: table, markup, numeric, shouted or prose."""
+    text = F.coalesce(text, F.lit(""))
+    size = F.greatest(F.length(text), F.lit(1))
+    share = lambda chars: F.length(F.translate(text, chars, "")) / size  # noqa: E731  what is left without them
+    return (
+        F.when(F.length(text) == 0, "prose")
+        .when(share("|") < 0.97, "table")
+        .when(share("#$%&*") < 0.9, "markup")
+        .when(share("0123456789") < 0.98, "numeric")
+        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") < 0.7, "shouted")
+        .otherwise("prose")
+    )
 
 
 def token_count(text: Column) -> Column:
@@ -117,11 +117,26 @@ def rake_frames(cells: DataFrame, targets: Targets, steps: int = STEPS, toleranc
     return now
 
 
+def fill_scale(sums_at: Callable[[float], tuple[float, float, int]], wanted: float) -> float:
+    """The factor of weights at which cells, each up to all of its tokens, give ``wanted`` tokens together.
+
+    ``sums_at(scale)``: tokens of the cells that give all they have at this scale, weight of the others, and number of the first.
+    The scale only grows, and each step but the last adds a cell to the first, so it ends.
+    """
+    scale, before = 0.0, -1
+    while True:
+        full, rest, count = sums_at(scale)
+        if count == before or rest <= 0:
+            return scale
+        scale, before = max(scale, (wanted - full) / rest), count
+
+
 def calibrate(docs: DataFrame, targets: Targets, budget: float, driver_cells: int = DRIVER_CELLS) -> tuple[DataFrame, bool]:
-    """(dimensions, tokens, weight, probability) of each cell, and whether the cells are ``driver_cells`` at most.
+    """(dimensions, tokens, weight, probability, shortfall) of each cell, and whether the cells are ``driver_cells`` at most.
 
-    The probability is in proportion to weight per token; ``budget`` is the share of all tokens to keep, lowered where a
-    cell would otherwise have to give more than it has.
+    ``budget`` is the share of all tokens to keep. The probability is in proportion to weight per token; a cell that would have to
+    give more than it has is kept whole, and the others make up for it in proportion to their weights, until the budget is met.
+    ``shortfall`` is what a cell kept whole has less than its weight's share of the budget, in tokens.
     """
     dimensions = tuple(targets)
     cells = materialize(cells_of(docs, dimensions), "cells")
@@ -140,10 +155,23 @@ def calibrate(docs: DataFrame, targets: Targets, budget: float, driver_cells: in
         schema = ", ".join(f"`{d}` string" for d in dimensions) + ", tokens double, weight double"
         raked = docs.sparkSession.createDataFrame([(*r, w) for r, w in zip(rows, weights, strict=True)], schema)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
-    sums = raked.agg(F.sum("tokens"), F.max(ratio)).first()
-    scale = min(budget * (sums[0] or 0.0), 1 / sums[1] if sums[1] else 0.0)
-    probability = F.when(F.col("tokens") > 0, F.least(ratio * scale, F.lit(1.0))).otherwise(F.lit(1.0))
-    return raked.withColumn("probability", probability), len(few) <= driver_cells
+    wanted = budget * (raked.agg(F.sum("tokens")).first()[0] or 0.0)
+    if len(few) > driver_cells:
+
+        def sums_at(scale: float) -> tuple[float, float, int]:
+            whole = ratio * scale >= 1
+            found = raked.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole & (F.col("tokens") > 0), F.col("weight"))), F.count_if(whole)).first()
+            return found[0] or 0.0, found[1] or 0.0, found[2]
+    else:
+
+        def sums_at(scale: float) -> tuple[float, float, int]:
+            whole = [w / r[-1] * scale >= 1 if r[-1] > 0 else False for r, w in zip(rows, weights, strict=True)]
+            full = sum(r[-1] for r, x in zip(rows, whole, strict=True) if x)
+            return full, sum(w for r, w, x in zip(rows, weights, whole, strict=True) if not x and r[-1] > 0), sum(whole)
+
+    probability = F.when(F.col("tokens") > 0, F.least(ratio * fill_scale(sums_at, wanted), F.lit(1.0))).otherwise(F.lit(1.0))
+    shortfall = F.greatest(F.col("weight") * wanted - F.col("tokens"), F.lit(0.0))
+    return raked.withColumns({"probability": probability, "shortfall": shortfall}), len(few) <= driver_cells
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:

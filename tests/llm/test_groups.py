@@ -165,6 +165,28 @@ def test_mixture(spark):
     assert few.columns[:5] == docs.columns and mixing.mix(docs.limit(0), targets, 0.3).count() == 0
 
 
+@pytest.mark.parametrize("driver_cells", [mixing.DRIVER_CELLS, 2])
+def test_mixture_with_a_rare_label(spark, driver_cells):
+    """A label with few tokens is kept whole and does not lower the rate of the others: the budget is met."""
+    rows = [(k, "w " * 50, f"src{k % 4}", "en" if k % 3 else "fr") for k in range(4000)] + [(4000, "w " * 50, "rare", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": 0.5, "lang": 0.8}
+    slim = docs.select("source", "lang", F.lit(50).cast("long").alias("n_tokens"))
+    cells, few = mixing.calibrate(slim, targets, 0.5, driver_cells)
+    cells = cells.collect()
+    assert few == (driver_cells > 2)
+    assert sum(c["tokens"] * c["probability"] for c in cells) == pytest.approx(0.5 * 4001 * 50)
+    assert [(c["source"], c["shortfall"] > 0) for c in cells if c["probability"] == 1] == [("rare", True)]
+    kept = mixing.mix(docs, targets, 0.5, driver_cells=driver_cells)
+    assert 0.45 < kept.count() / len(rows) < 0.55 and kept.where("source = 'rare'").count() == 1
+
+
+def test_topics_are_shares_of_the_whole_text(spark):
+    texts = [("prose " * 60 + "12 34", "prose"), ("1234 5678 " * 20 + "words", "numeric"), ("A B C D E F NASA " + "lower case words " * 50, "prose"), ("LOUD WORDS ONLY " * 5, "shouted"), ("|a|b|c|d|e|f|", "table"), ("|a|b|c|d|e|f|" + "long prose follows " * 60, "prose"), ("### x $$$ y %%%", "markup"), (None, "prose"), ("", "prose")]
+    found = spark.createDataFrame(texts, "text string, want string").select("want", mixing.topic_of(F.col("text")).alias("topic")).collect()
+    assert [r["topic"] for r in found] == [r["want"] for r in found]
+
+
 def test_pipeline_stages(spark, near, tmp_path):
     texts, _ = near
     rows = [(k, t, "en" if k % 2 else None, f"src{k % 3}", len(t or ""), 0.5) for k, t in enumerate(texts[:60])]
