@@ -47,7 +47,7 @@ gfdl-1.3 | gfdl-1\.[1-3](?:-only|-or-later)? | gnu free documentation licen[sc]e
 apache-1.0 | apache-1\.0 | apache (?:software )?licen[sc]e,? (?:version |v\.? ?)1\.0 | apache
 apache-1.1 | apache-1\.1 | apache (?:software )?licen[sc]e,? (?:version |v\.? ?)1\.1 | apache
 apache-2.0 | apache-2\.0|asl ?2\.0 | apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)? | apache
-mit-license | mit | (?:the )?(?:mit|expat) licen[sc]e | mit
+mit-license | mit | (?:the )?(?:mit|expat) licen[sc]e | mit;expat
 mit-0 | mit-0 | mit no attribution licen[sc]e | no attribution
 x11 | x11 | (?:the )?x11 licen[sc]e | x11
 isc | isc | (?:the )?isc licen[sc]e | isc
@@ -172,11 +172,10 @@ def build_rules() -> list[Rule]:
 
 
 RULES = build_rules()
-#: One of these is in every text that any rule can match.
-GATES = re.compile(
-    "|".join(["spdx", "licen", "cc[- \\s]?(?:by|0)", "creative\\s+commons", *sorted({re.escape(r.keywords[0]) for r in RULES if r.tier == 3} - {"licen"}), "this\\s+is\\s+free", "cecill", "unlicense"])
-    .encode()
-)
+#: The rules' keywords, as regexes; a blank stands for any white space, as in the rules.
+KEYWORDS = {k: re.compile(re.escape(k).replace(r"\ ", r"\s+")) for k in sorted({k for r in RULES for k in r.keywords})}
+#: One of these is in the UTF-8 bytes of every text that any rule can match: white space is controls, blanks or some bytes beyond ASCII.
+GATES = re.compile(b"|".join(re.escape(k.encode()).replace(rb"\ ", rb"[\x00-\x20\x80-\xff]+") for k in KEYWORDS))
 PLACES = {label: re.compile(SEP.join(x.encode() for x in phrase.split(" "))) for phrase, label in PHRASES.items()}
 
 
@@ -184,8 +183,9 @@ def detect(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, score) of the detections in a lower-case text, by start: tier by tier, the longest first,
     without those that lie within one taken before."""
     found = []
+    held = {k for k, pattern in KEYWORDS.items() if pattern.search(text)}
     for rule in RULES:
-        if any(k in text for k in rule.keywords):
+        if not held.isdisjoint(rule.keywords):
             found += [(rule.tier, m.start() - m.end(), rule.priority, m.start(), m.end(), rule.label, rule.score) for m in rule.pattern.finditer(text)]
     found.sort()
     rank = {start: k + 1 for k, start in enumerate(sorted({d[3] for d in found}))}

@@ -1,9 +1,11 @@
+import dataclasses
 import hashlib
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,32 @@ def test_license_rules():
     assert labels("plain words") == []
 
 
+WRAPPED = [
+    ("Released under BSD 3-Clause terms", "bsd-3-clause"),
+    ("under the GNU General\nPublic License, version 3", "gpl-3.0"),
+    ("the GNU Lesser\r\n General Public License, version 2.1", "lgpl-2.1"),
+    ("released into the public\n  domain", "public-domain"),
+    ("All rights\nreserved", "all-rights-reserved"),
+    ("Permission is\n# hereby, permission is hereby\ngranted, free of charge", "permissive-grant"),
+    ("provided as is without\nwarranty of any kind", "no-warranty"),
+    ("licensed under\nthe terms of the Acme Widget License", "unknown-license"),
+    ("GNU\u00a0General\u2003Public License version 2", "gpl-2.0"),
+    ("the Expat license", "mit-license"),
+    ("mit dem Zug, nothing here", None),
+]
+
+
+def test_licenses_with_line_breaks(monkeypatch):
+    """Keywords drop no text and no rule: what is found is what all rules find without them."""
+    texts = [t for t, _ in WRAPPED]
+    gated = licenses.scan_batch(pa.array(texts))[2]
+    for (text, label), found in zip(WRAPPED, gated, strict=True):
+        assert label in [d[2] for d in found] if label else not found, text
+    monkeypatch.setattr(licenses, "KEYWORDS", {"": re.compile("")})
+    monkeypatch.setattr(licenses, "RULES", [dataclasses.replace(r, keywords=("",)) for r in licenses.RULES])
+    assert gated == [licenses.detect(licenses.LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes().decode()) for t in texts]
+
+
 def test_scan_licenses(spark):
     docs = spark.createDataFrame([(k, t, "a") for k, t in enumerate(LICENSED)], "doc_id long, text string, places string")
     assert licenses.scan_licenses(docs, "doc_id").count() == len(LICENSED)
