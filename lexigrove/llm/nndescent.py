@@ -1,7 +1,7 @@
 """Embedding near-dedup: NN-descent over blocked joins.
 
 Equal vectors meet first: one class each, with a count. Lists of the ``neighbours`` most similar classes start from tables of random
-hyperplanes (all pairs within a block of about ``BLOCK``), then a round of NN-descent joins each class's neighbours
+hyperplanes (all pairs within a block of about ``BLOCK``; a larger one is compared chunk by chunk), then a round of NN-descent joins each class's neighbours
 with one another, through it, and keeps what improves a list. Blocks and joins also give reachability by links, as
 spanning forests. A list that holds a link may be saturated (a block offers a few neighbours only): it is enlarged to its
 whole component, whose pairs are counted chunk by chunk, so nothing is capped. ``audit`` compares link counts of a bounded set of classes with brute
@@ -81,18 +81,21 @@ def block_keys(classes: DataFrame, tables: int, bits: int, seed: int) -> DataFra
     return arrow_map(classes.select("rep", "embedding"), sign, f"block long, rep long, embedding {kind}")
 
 
-def dealt(rows: DataFrame, key: str, chunk: int, pairs: bool) -> DataFrame:
-    """``rows`` with a ``task``: the key, or where a key has more than ``chunk`` rows, a chunk of it (``pairs``: each pair of chunks)."""
-    sizes = rows.groupBy(key).count().where(F.col("count") > chunk)
+def dealt(rows: DataFrame, key: str, chunk: int, most: int | None = None) -> DataFrame:
+    """``rows`` with a ``task``: the key, or where a key has more than ``most`` rows (``chunk``, if not given), each pair of its chunks."""
+    sizes = rows.groupBy(key).count().where(F.col("count") > (most or chunk))
     hot = materialize(sizes.select(key, F.ceil(F.col("count") / chunk).cast("long").alias("chunks")), "hot")
     spread = rows.join(hot, key, "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("rep", F.lit(key)), F.col("chunks")), F.lit(0).cast("long")))
-    if not pairs:
-        return spread.withColumn("task", F.xxhash64(key, "mine"))
     others = F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)
     spread = spread.withColumn("other", F.explode(others))
     return spread.withColumn("task", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")))
 
 
+def block_tasks(classes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """(task, rep, worst, embedding): tasks in which all pairs of each block meet, also of a block too large for one task."""
+    return dealt(materialize(block_keys(classes, tables, bits, seed), "blocks"), "block", CHUNK, most=2 * CHUNK).withColumn("worst", F.lit(-2.0))
+
+
 def _groups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each task of a partition that is sorted by ``task`` (its first column)."""
     rest: pa.Table | None = None
@@ -191,7 +194,7 @@ def dense_links(members: DataFrame, threshold: float) -> DataFrame:
                 found[left] += linked @ copies[right]
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(found)], ["rep", "links"])
 
-    spread = dealt(members, "root", CHUNK, pairs=True)
+    spread = dealt(members, "root", CHUNK)
     ready = spread.select("task", "rep", "copies", "mine", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), "embedding").repartition("task").sortWithinPartitions("task")
     return arrow_map(ready, count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
@@ -254,8 +257,7 @@ def near_duplicates(
     bits = max(0, min(40, math.ceil(math.log2(max(1, total) / block))))
     edges = None
     for turn in range(ROUNDS):
-        blocks = dealt(materialize(block_keys(classes, tables, bits, turn), "blocks"), "block", 2 * CHUNK, pairs=False).withColumn("worst", F.lit(-2.0))
-        new = compare_tasks(blocks, OFFERS, threshold)
+        new = compare_tasks(block_tasks(classes, tables, bits, turn), OFFERS, threshold)
         edges = materialize(new if edges is None else edges.union(new), "edges")
         lists = materialize(best_lists(edges, neighbours), "lists")
         edges = materialize(edges.where("sim > 1.5").union(lists.select("a", "b", "sim")).union(join_neighbours(classes, lists, neighbours, threshold)), "edges")

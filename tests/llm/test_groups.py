@@ -108,6 +108,17 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_all_pairs_of_a_hot_block_meet(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "CHUNK", 8)
+    rng = np.random.default_rng(5)
+    classes = spark.createDataFrame([(k, list(map(float, rng.normal(size=4)))) for k in range(60)], "rep long, embedding array<double>")
+    tasks = collections.defaultdict(set)
+    for r in nndescent.block_tasks(classes, 1, 0, 0).collect():
+        tasks[r["task"]].add(r["rep"])
+    met = {(a, b) for t in tasks.values() for a in t for b in t if a < b}
+    assert len(met) == 60 * 59 // 2 and len(tasks) > 1 and max(map(len, tasks.values())) < 60
+
+
 PAGES = [(5, "http://a/", "<p>one</p>"), (3, None, "<p>one</p>"), (9, "http://b/\r\nX: y", ""), (4, "u", None), (7, "u", "é" * 70_000), (8, "u", "x"), (None, "u", "x"), (8, "u", "x")]
 
 
