@@ -5,7 +5,8 @@ hyperplanes (all pairs within a block of about ``BLOCK``; a larger one is compar
 with one another, through it, and keeps what improves a list. Blocks and joins also give reachability by links, as
 spanning forests. A list that holds a link may be saturated (a block offers a few neighbours only): it is enlarged to its
 whole component, whose pairs are counted chunk by chunk, so nothing is capped. ``audit`` compares link counts of a bounded set of classes with brute
-force; while recall is below ``RECALL``, further tables and rounds are added.
+force; while recall is below ``RECALL``, further tables and rounds are added; after ``ROUNDS`` all
+pairs of classes are compared, chunk by chunk.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
 do not link; rows with a null vec_id link with nothing and are not kept; repeated rows are linked copies; cosine is computed in double precision and compared with >=; each row
@@ -211,7 +212,10 @@ def link_graph(classes: DataFrame, edges: DataFrame, lists: DataFrame, threshold
 
 
 def audit(classes: DataFrame, graph: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Recall of links: what ``queries`` classes, chosen by hash, have in ``graph``, against a comparison with every class."""
+    """Recall of links: what ``queries`` classes, chosen by hash, have in ``graph``, against a comparison with every class.
+
+    Links to other classes count, own copies don't; it is the mean over the chosen classes that have such links, each the same.
+    """
     chosen = graph.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(queries).select("rep", "copies", F.col("links").alias("have"))
     rows = classes.join(F.broadcast(chosen.select("rep", "have")), "rep").select("rep", "copies", "have", "embedding").collect()  # of ``queries`` rows
     by_width: dict[int, list] = {}
@@ -233,9 +237,9 @@ def audit(classes: DataFrame, graph: DataFrame, threshold: float, queries: int =
                         total[k] = total.get(k, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["rep", "links"])
 
-    true = {r["rep"]: r["links"] - 1 for r in arrow_map(classes.select("copies", "embedding"), count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")).collect()}
-    there = sum(true.values())
-    return sum(min(r["have"], true.get(r["rep"], 0)) for r in rows) / there if there else 1.0
+    true = {r["rep"]: r["links"] for r in arrow_map(classes.select("copies", "embedding"), count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")).collect()}
+    shares = [min(1.0, (r["have"] + 1 - r["copies"]) / (true[r["rep"]] - r["copies"])) for r in rows if true.get(r["rep"], 0) > r["copies"]]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def near_duplicates(
@@ -256,12 +260,14 @@ def near_duplicates(
     total = classes.count()
     bits = max(0, min(40, math.ceil(math.log2(max(1, total) / block))))
     edges = None
-    for turn in range(ROUNDS):
-        new = compare_tasks(block_tasks(classes, tables, bits, turn), OFFERS, threshold)
+    for turn in range(ROUNDS + 1):
+        exact = turn == ROUNDS  # the rounds have not reached the recall: one block holds all
+        new = compare_tasks(block_tasks(classes, 1 if exact else tables, 0 if exact else bits, turn), OFFERS, threshold)
         edges = materialize(new if edges is None else edges.union(new), "edges")
         lists = materialize(best_lists(edges, neighbours), "lists")
-        edges = materialize(edges.where("sim > 1.5").union(lists.select("a", "b", "sim")).union(join_neighbours(classes, lists, neighbours, threshold)), "edges")
-        lists = materialize(best_lists(edges, neighbours), "lists")
+        if not exact:
+            edges = materialize(edges.where("sim > 1.5").union(lists.select("a", "b", "sim")).union(join_neighbours(classes, lists, neighbours, threshold)), "edges")
+            lists = materialize(best_lists(edges, neighbours), "lists")
         graph = link_graph(classes, edges, lists, threshold)
         recall = audit(classes, graph, threshold)
         if report:

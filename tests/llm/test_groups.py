@@ -1,4 +1,5 @@
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -119,6 +120,32 @@ def test_all_pairs_of_a_hot_block_meet(spark, monkeypatch):
     assert len(met) == 60 * 59 // 2 and len(tasks) > 1 and max(map(len, tasks.values())) < 60
 
 
+def test_audit_counts_links_between_small_groups(spark):
+    """Neither copies nor a clique hide that every link of the pairs is lost."""
+    rng = np.random.default_rng(6)
+    clique = [np.eye(32)[0] + rng.normal(size=32) * 0.01 for _ in range(100)]
+    pairs = [x for k in range(1, 31) for x in (np.eye(32)[k], np.eye(32)[k] + np.eye(32)[31] * 0.3)]
+    rows = [(k, 5000 if k == 0 else 1, list(map(float, v))) for k, v in enumerate(clique + pairs)]
+    classes = spark.createDataFrame(rows, "rep long, copies long, embedding array<double>")
+    graph = spark.createDataFrame([(k, c, 5098 if 0 < k < 100 else 5098 if k == 0 else 0) for k, c, _ in rows], "rep long, copies long, links long")
+    assert nndescent.audit(classes, graph, 0.9) == pytest.approx(100 / 160)
+
+
+def test_embeddings_beyond_the_rounds_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    monkeypatch.setattr(nndescent, "CHUNK", 64)
+    rng = np.random.default_rng(8)
+    vectors = []
+    for _ in range(150):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        vectors += [a, 0.92 * a + math.sqrt(1 - 0.92**2) * b]
+    df = spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    recalls = []
+    out = nndescent.near_duplicates(df, neighbours=1, tables=1, block=1, report=lambda turn, recall: recalls.append(recall)).collect()
+    assert recalls[0] < 0.95 and recalls[1:] == [1.0]
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {k: (1, k - k % 2) for k in range(300)}
+
+
 PAGES = [(5, "http://a/", "<p>one</p>"), (3, None, "<p>one</p>"), (9, "http://b/\r\nX: y", ""), (4, "u", None), (7, "u", "é" * 70_000), (8, "u", "x"), (None, "u", "x"), (8, "u", "x")]
 
 
