@@ -1,8 +1,8 @@
 """Packing: best-fit decreasing over a segment tree of remaining capacities.
 
 Documents are tokenized where they are read; overlong ones are first cut into full windows, each a sequence of its own.
-What remains of a document (shorter than a window) is dealt by hash into shards of about ``SHARD`` pieces, and each shard
-is packed on its own: longest piece first, into the open window that it fits most tightly. The segment tree has a leaf for
+What remains of a document (shorter than a window) is dealt by its row's number into shards of about ``SHARD`` pieces, so that
+rows alike in everything part too, and each shard is packed on its own: longest piece first, into the open window that it fits most tightly. The segment tree has a leaf for
 each remaining capacity, so a piece costs log2(window) steps, and a shard's memory does not depend on the corpus.
 Only (doc_id, start, length, crc) is shuffled, never text or ids.
 
@@ -82,8 +82,10 @@ class WordIds(dict):
             if len(word) > LONGEST:
                 return self.fresh(word)
             bare = word.rstrip(self.MARKS)
-            if bare.isalpha() and (bare.isascii() or "\u03a3" not in bare and is_normalized("NFC", bare)):
-                ids = self.of_letters(bare.lower())  # but for a capital sigma, whose lower case depends on its place
+            lower = bare.lower()
+            # not a capital sigma, whose lower case depends on its place, nor a letter whose lower case has a mark of its own
+            if bare.isalpha() and (bare.isascii() or "\u03a3" not in bare and lower.isalpha() and is_normalized("NFC", bare) and is_normalized("NFC", lower)):
+                ids = self.of_letters(lower)
                 if len(bare) < len(word):
                     ids += self[word[len(bare) :]]
             else:
@@ -191,7 +193,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, shards: int = 1) -> DataFrame:
-    """Give each of ``pieces`` (as ``PIECES``) its sequence and its offset there, as ``PACKED``."""
+    """Give each of ``pieces`` (a written table, as ``PIECES``) its sequence and its offset there, as ``PACKED``."""
 
     def pack_shards(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches_ = list(stream)  # a few shards: five numbers for each of some thousand pieces
@@ -210,7 +212,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, shards: int = 1) -> DataFrame:
             columns = [ids.take(pa.array(part)), start[part], length[part], crc[part], tokens[part], sequence, np.array(offsets, np.int64)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    shard = F.when(F.col("length") == window, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    # rows are numbered as they stand in a written table, so a task that runs again deals them alike
+    shard = F.when(F.col("length") == window, F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     dealt = pieces.select(shard.alias("shard"), "doc_id", "start", "length", "ids_crc32", "doc_tokens")
     rest = arrow_map(dealt.where("shard >= 0").repartition("shard"), pack_shards, PACKED)
     # a full window needs no search: it is a sequence of its own, numbered below zero

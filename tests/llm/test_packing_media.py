@@ -44,6 +44,26 @@ def test_ids_are_the_tokenizers(text):
     assert ids.of(text) == ids.fresh(text)
 
 
+def test_ids_of_every_letter():
+    """Each letter alone, doubled and within a word, also those whose lower case is another number of characters."""
+    ids = packing.word_ids(PATH)
+    letters = [c for c in map(chr, range(0x20000)) if c.isalpha()]
+    for made in ("{0}", "{0}{0}", "a{0}b", "{0}s,"):
+        words = [made.format(c) for c in letters]
+        fresh = ids.tokenizer.encode_batch(words, add_special_tokens=False)
+        wrong = [w for w, f in zip(words, fresh, strict=True) if ids.of(w) != np.array(f.ids, "<u4").tobytes()]
+        assert not wrong, wrong[:20]
+    assert ids.of("\u0130stanbul") == ids.fresh("\u0130stanbul")
+
+
+def test_repeated_rows_share_no_shard(spark):
+    """Rows alike in everything are dealt over the shards."""
+    rows = [(None, 0, 600, 7, 600)] * 4000
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), shards=8)
+    shards = {r["sequence_id"] >> 32 for r in packed.select("sequence_id").distinct().collect()}
+    assert packed.count() == 4000 and len(shards) == 8
+
+
 def test_pieces(docs):
     from tokenizers import Tokenizer
 
