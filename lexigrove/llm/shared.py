@@ -76,6 +76,25 @@ def batches(stream: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
             at += n
 
 
+def task_groups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task of a partition that is sorted by ``task``, its first column."""
+    held: list[pa.RecordBatch] = []  # of one task, the last one seen
+    for batch in stream:
+        task = batch.column(0).to_numpy()
+        if not len(task):
+            continue
+        if held and held[0].column(0)[0].as_py() != task[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cuts[-1]))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of ``n`` nodes by the edges (left[i], right[i])."""
     label = np.arange(n)

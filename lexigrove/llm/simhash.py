@@ -4,8 +4,16 @@
 in at most ``distance`` bits: of distance + 1 blocks of bits, two such fingerprints share one, so each block value makes a
 bucket, and a bucket's fingerprints are joined by traversing pairs of trie nodes together, adding up differing bits and
 dropping pairs that exceed the budget. A bucket beyond ``bucket`` fingerprints is dealt into chunks, and each pair of
-chunks is a task of its own, so that no task holds a hot bucket and no pair is lost. A task returns a spanning forest of its links, never
-all pairs. ``near_duplicates`` labels documents with the connected components; equal fingerprints meet before any of this.
+chunks is a task of its own, in which only pairs across the two chunks are traversed, so that no task holds a hot bucket
+and no pair is lost. A task returns a spanning forest of its links, never all pairs. ``near_duplicates`` labels documents
+with the connected components; equal fingerprints meet before any of this, and a fingerprint is a node by itself, whatever
+ids its documents have.
+
+``similar_documents`` links documents by the Jaccard similarity of their sets of shingles. Their fingerprints have 256 bits;
+buckets are the values of some sampled bits, in as many tables as it takes to bring together two sets of just that
+similarity with a chance of ``1 - MISSED``. Within a bucket the trie of the first 64 bits gives pairs, which all bits then
+confirm within ``NEAR_BITS``. Documents reached that way make up groups, and within a group all pairs of sets are compared
+exactly, chunk by chunk.
 
 Defined results: a null text is an empty one; texts without a word have fingerprint zero and are linked like others;
 repeated rows have one component; a null doc_id is kept and takes part as any other id, but is never a representative
@@ -14,15 +22,16 @@ unless nothing else is in its component; an empty table gives no rows; further c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import arrow_map
-from .shared import batches, components, local_components, materialize
+from .shared import batches, components, local_components, materialize, task_groups
 
 WORDS = 3
 SEED = 42
@@ -33,6 +42,15 @@ BUCKET = 1024
 LEAVES = 64
 LANE = 60_000  # shingles that 16-bit lanes can count
 
+#: Documents with this similarity of their sets of five-word shingles are near copies.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: 64-bit words of a long fingerprint; differing bits allowed in the first word, and in all of them.
+LONG, TRIE_BITS, NEAR_BITS = 4, 20, 72
+#: Fingerprints of a bucket on average, and the chance to miss a pair that differs in ``DIFFER`` of its bits.
+FILL, MISSED, DIFFER = 512, 0.01, 0.17
+#: Documents and shingles of a chunk of a group.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+
 
 def _lanes() -> np.ndarray:
     """For each byte value two words of four 16-bit lanes, one lane a bit."""
@@ -92,18 +110,15 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), hash_texts, "doc_id long, fingerprint long")
 
 
-def trie_pairs(keys: np.ndarray, groups: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) within a group whose keys differ in at most ``distance`` bits.
+def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs whose keys differ in at most ``distance`` bits, between or within runs of keys.
 
-    ``keys`` are sorted within ``groups``, which are consecutive; keys of a group are distinct. A trie node at depth d is
-    a run of keys with the same first d bits. The frontier of node pairs moves down one level at a time.
+    ``left`` and ``right`` hold (begin, end) of runs of sorted keys, which are compared row by row: a run with itself (each
+    pair once) or with another one. A trie node at depth d is a part of a run with the same first d bits. The frontier of
+    node pairs moves down one level at a time.
     """
-    n = len(keys)
-    edges = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1 if n else 0)) if n else np.zeros(0, np.intp)
-    low = edges
-    high = np.append(edges[1:], n)
-    a0, a1, b0, b1 = low, high, low, high
-    wrong = np.zeros(len(low), np.int8)
+    (a0, a1), (b0, b1) = left.T, right.T
+    wrong = np.zeros(len(a0), np.int8)
     for depth in range(65):
         small = (a1 - a0) * (b1 - b0) <= LEAVES
         if depth == 64:
@@ -142,58 +157,72 @@ def _leaf_pairs(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray
             yield i[good], j[good]
 
 
-def buckets(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(task, fingerprint, rep): each fingerprint once for each block and, in hot buckets, for each pair of chunks."""
-    blocks, bits = distance + 1, 64 // (distance + 1)
-    mask = (1 << bits) - 1
-    dealt = prints.select(
-        "fingerprint",
-        "rep",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fingerprint", k * bits).bitwiseAND(F.lit(mask)).alias("value")) for k in range(blocks)])).alias("at"),
-    ).select("fingerprint", "rep", "at.block", "at.value")
-    hot = materialize(dealt.groupBy("block", "value").count().where(F.col("count") > bucket).select("block", "value", F.ceil(F.col("count") / bucket).cast("long").alias("chunks")), "hot")
-    spread = dealt.join(hot, ["block", "value"], "left")
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    spread = spread.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(others)))
-    task = F.xxhash64("block", "value", F.when(F.col("other") >= 0, F.struct(F.least("mine", "other"), F.greatest("mine", "other"))))
-    return spread.select(task.alias("task"), "fingerprint", "rep", "block")
+def hot_buckets(rows: DataFrame, bucket: int) -> DataFrame:
+    """(key, chunks) of the keys of ``rows(key)`` that have more than ``bucket`` rows."""
+    return materialize(rows.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(F.col("count") / bucket).cast("long").alias("chunks")), "hot")
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between ``prints(fingerprint, rep)``: a spanning forest, task by task, of all pairs within ``distance`` bits."""
+def deal(rows: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """``rows(key, ...)`` with a ``task``, the key, or for a hot one each pair of its chunks, and a ``side``, the chunk that column ``by`` puts a row into."""
+    spread = rows.join(hot, "key", "left").withColumn("side", F.coalesce(F.pmod(F.xxhash64(by, F.lit("side")), F.col("chunks")), F.lit(0).cast("long")))
+    spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)))
+    return spread.withColumn("task", F.xxhash64("key", F.least("side", "_other"), F.greatest("side", "_other"))).drop("_other", "chunks")
+
+
+def bucket_links(rows: DataFrame, words: list[str], distance: int, most: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between nodes of ``rows(task, side, node, words...)``: a spanning forest, task by task, of the pairs of different
+    ``words[0]`` within ``distance`` bits that, if ``most`` is given, differ in at most so many bits of all words."""
 
     def join(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(stream)
+        parts = list(stream)  # some tasks, each of two chunks at most
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        task, prints_, rep = (table.column(k).to_numpy() for k in range(3))
-        keys = prints_.view(np.uint64)
-        order = np.lexsort((keys, task))
-        task, keys, rep = task[order], keys[order], rep[order]
-        bounds = np.flatnonzero(np.diff(task, prepend=task[0] - 1))
-        sizes = np.diff(np.append(bounds, len(task)))
+        task, side, node, *keys = (table.column(k).to_numpy() for k in range(3 + len(words)))
+        keys = [k.view(np.uint64) for k in keys]
+        order = np.lexsort((keys[0], side, task))
+        task, side, node, keys = task[order], side[order], node[order], [k[order] for k in keys]
+        begin = np.flatnonzero((np.diff(task, prepend=task[0] - 1) != 0) | (np.diff(side, prepend=side[0] - 1) != 0))
+        runs = np.stack([begin, np.append(begin[1:], len(task))], 1)
+        paired = np.flatnonzero(task[begin[1:]] == task[begin[:-1]])  # a run and the next one are a task's two chunks
+        alone = np.ones(len(runs), bool)
+        alone[paired] = alone[paired + 1] = False
+        left = np.concatenate([runs[alone], runs[paired]])
+        right = np.concatenate([runs[alone], runs[paired + 1]])
+        rank = np.argsort(left[:, 0], kind="stable")
+        left, right = left[rank], right[rank]
         # small buckets share frontiers; a large one has its own
         at = 0
-        while at < len(bounds):
+        while at < len(left):
             upto = at + 1
-            while upto < len(bounds) and bounds[upto] + sizes[upto] - bounds[at] <= 8 * bucket:
+            while upto < len(left) and right[upto, 1] - left[at, 0] <= 8 * bucket:
                 upto += 1
-            span = slice(bounds[at], bounds[upto - 1] + sizes[upto - 1])
-            found = list(trie_pairs(keys[span], task[span], distance))
-            if found:
-                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                mine = rep[span]
-                rank = np.argsort(mine, kind="stable")  # the smallest representative is a component's root
-                place = np.empty(len(rank), np.int64)
-                place[rank] = np.arange(len(rank))
-                label = local_components(len(rank), place[i], place[j])
-                inner = np.flatnonzero(label != np.arange(len(rank)))
-                yield pa.RecordBatch.from_arrays([pa.array(mine[rank[inner]]), pa.array(mine[rank[label[inner]]])], ["a", "b"])
+            first, last = int(left[at, 0]), int(right[upto - 1, 1])
+            words_ = [k[first:last] for k in keys]
+            ends_a, ends_b = [], []
+            for i, j in trie_pairs(words_[0], left[at:upto] - first, right[at:upto] - first, distance):
+                if most is not None:
+                    near = sum(np.bitwise_count(k[i] ^ k[j]).astype(np.int16) for k in words_) <= most
+                    i, j = i[near], j[near]
+                ends_a.append(i)
+                ends_b.append(j)
+            if ends_a:
+                label = local_components(last - first, np.concatenate(ends_a), np.concatenate(ends_b))
+                inner = np.flatnonzero(label != np.arange(last - first))
+                mine = node[first:last]
+                yield pa.RecordBatch.from_arrays([pa.array(mine[inner]), pa.array(mine[label[inner]])], ["a", "b"])
             at = upto
 
-    return arrow_map(buckets(prints, distance, bucket).repartition("task").select("task", "fingerprint", "rep"), join, "a long, b long")
+    return arrow_map(rows.repartition("task").select("task", "side", "node", *words), join, "a long, b long")
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between different ``prints(fingerprint)``: a spanning forest, task by task, of all pairs within ``distance`` bits."""
+    blocks, bits = distance + 1, 64 // (distance + 1)
+    value = lambda k: F.shiftrightunsigned("fingerprint", k * bits).bitwiseAND(F.lit((1 << bits) - 1))
+    keyed = prints.select("fingerprint", F.explode(F.array(*[value(k) * blocks + k for k in range(blocks)])).alias("key"))
+    dealt = deal(keyed, hot_buckets(keyed, bucket), "fingerprint").withColumn("node", F.col("fingerprint"))
+    return bucket_links(dealt, ["fingerprint"], distance, bucket=bucket)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
@@ -204,9 +233,174 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
     """
     prints = materialize(fingerprints(docs, words, seed), "prints")
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(links(distinct.where("rep is not null"), distance, bucket))
-    classes = materialize(distinct.join(roots, distinct.rep == roots.node, "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id")), "classes")
+    classes = smallest_of(distinct, components(links(distinct, distance, bucket)), "fingerprint")
     return (
-        prints.join(classes.hint("merge"), "fingerprint")
+        prints.join(classes.select("fingerprint", "component_id").hint("merge"), "fingerprint")
         .select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def smallest_of(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, root, component_id) of ``nodes(node, rep)``: the smallest rep of its component in ``roots(node, root)``, or its own rep."""
+    linked = materialize(nodes.join(roots.hint("merge"), nodes[node] == roots["node"]).select(nodes[node].alias("in"), "rep", "root"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    placed = materialize(linked.select("in", "root").join(least.hint("merge"), "root").select("in", "root", "least"), "placed")
+    found = nodes.join(placed.hint("merge"), nodes[node] == placed["in"], "left")
+    return materialize(found.select(node, F.coalesce("root", node).alias("root"), F.coalesce("least", "rep").alias("component_id")), "classes")
+
+
+def long_fingerprint(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``LONG`` words for each consecutive group of distinct 64-bit hashes: majorities of the hashes, mixed anew for each word."""
+    out = np.zeros((len(sizes), LONG), np.uint64)
+    some = sizes > 0
+    for k in range(LONG if some.any() else 0):
+        mixed = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        out[some, k] = majority(mixed ^ (mixed >> np.uint64(31)), sizes[some])
+    return out
+
+
+def long_fingerprints(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
+    """(doc_id, text_hash, c0, c1, size, f0.. ) of each row of ``docs(doc_id, text)``: two hashes of its words, the number of its
+    different shingles and its long fingerprint. ``text_hash`` tells the texts of one id apart."""
+    names = ["doc_id", "text_hash", "c0", "c1", "size", *(f"f{k}" for k in range(LONG))]
+
+    def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches(stream, 4 << 20):
+            sets, classes = [], []
+            for text in batch.column(2).to_pylist():
+                found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                whole = b" ".join(found)
+                classes.append((xxh64_intdigest(whole, 1), xxh64_intdigest(whole, 2)))
+                sets.append(distinct_shingles(found, words, seed))
+            sizes = np.array([len(x) for x in sets])
+            prints = long_fingerprint(np.concatenate(sets), sizes).view(np.int64) if sets else np.zeros((0, LONG), np.int64)
+            c = np.array(classes, np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [batch.column(0), batch.column(1), *(pa.array(x) for x in (c[:, 0], c[:, 1], sizes.astype(np.int64), *prints.T))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")), "text"), hash_texts, ", ".join(f"{n} long" for n in names))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")
+
+
+def distinct_shingles(found: list[bytes], words: int, seed: int) -> np.ndarray:
+    """The different XXH64 of each run of ``words`` of the words ``found``; of all of them if they are fewer."""
+    from xxhash import xxh64_intdigest
+
+    if len(found) <= words:
+        return np.array([xxh64_intdigest(b" ".join(found), seed)] if found else [], np.uint64)
+    return np.unique(np.array([xxh64_intdigest(x, seed) for x in map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))], np.uint64))
+
+
+def sampled_keys(classes: DataFrame, bits: int, tables: int, full: bool) -> DataFrame:
+    """The bucket of each of ``classes(node, f0..)`` in each table, as (key) or, if ``full``, as (key, node, f0..)."""
+    prints = [f"f{k}" for k in range(LONG)]
+    places = np.random.default_rng([bits, tables]).permuted(np.tile(np.arange(64 * LONG), (tables, 1)), axis=1)[:, :bits]
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def sample(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, 1 << 20):
+            raw = np.stack([batch.column(1 + k).to_numpy() for k in range(LONG)], 1)
+            on = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for t in range(tables):
+                key = pa.array((on[:, places[t]] @ weights) * tables + t)
+                yield pa.RecordBatch.from_arrays([key, *batch.columns], ["key", "node", *prints]) if full else pa.RecordBatch.from_arrays([key], ["key"])
+
+    schema = "key long, node long, " + ", ".join(f"{p} long" for p in prints)
+    return arrow_map(classes.select("node", *prints), sample, schema if full else "key long")
+
+
+def table_plan(total: int) -> tuple[int, int]:
+    """(bits, tables): so many sampled bits that buckets of unrelated fingerprints hold ``FILL`` on average, and so many tables that a pair
+    that differs in ``DIFFER`` of its bits shares no bucket with a chance of ``MISSED``."""
+    bits = max(0, math.ceil(math.log2(max(1, total) / FILL)))
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** bits))) if bits else 1
+
+
+def similar_sets(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one of the sets ``left`` and one of ``right`` whose Jaccard similarity is ``similarity`` or more; two empty sets are alike.
+
+    ``hashes`` are the members of all sets, ``owner`` the set of each. Members of one set only are no part of any intersection.
+    """
+    _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = (np.cumsum(shared) - 1)[inverse]
+    keep = shared[inverse]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        held = np.zeros((len(sizes), width), np.float32)
+        held[owner[a:b], column[a:b] - k * width] = 1
+        both += held[left] @ held[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both.astype(np.float64)
+    alike = np.where(union > 0, both / np.maximum(union, 1), 1.0) >= similarity
+    i, j = np.nonzero(alike)
+    return left[i], right[j]
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between nodes of ``sets(group, node, size, hashes)``: a spanning forest, task by task, of all similar pairs of a group."""
+
+    def join(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in task_groups(stream):
+            side, node, sizes = (group.column(k).to_numpy() for k in (1, 2, 3))
+            if len(node) < 2:
+                continue
+            hashes = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint64)
+            first, second = side.min(), side.max()
+            a, b = similar_sets(np.repeat(np.arange(len(node)), sizes), hashes, sizes, np.flatnonzero(side == first), np.flatnonzero(side == second), similarity)
+            label = local_components(len(node), a, b)
+            inner = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[inner]), pa.array(node[label[inner]])], ["a", "b"])
+
+    keyed = sets.withColumnRenamed("group", "key")
+    large = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("long").alias("chunks")).where("chunks > 1")
+    dealt = deal(keyed, materialize(large, "hot"), "node").select("task", "side", "node", "size", "hashes")
+    return arrow_map(dealt.repartition("task").sortWithinPartitions("task"), join, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
+    """``docs(group, node, text)`` as (group, node, size, hashes): its different shingles, eight bytes each."""
+
+    def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, 4 << 20):
+            sets = [distinct_shingles((x or "").encode("utf-8", "surrogatepass").lower().split(), words, seed) for x in batch.column(2).to_pylist()]
+            columns = [*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "node", "size", "hashes"])
+
+    return arrow_map(docs.select("group", "node", "text"), hash_texts, "group long, node long, size long, hashes binary")
+
+
+def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) of each row of ``docs(doc_id, text)`` that has an id.
+
+    Texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more; component_id is the
+    smallest doc_id reachable by links, ``root`` a number of the component (ids may be repeated with other texts). Texts of the same
+    words are one class; each class is compared by one of its texts.
+    """
+    docs = docs.where("doc_id is not null")
+    prints = [f"f{k}" for k in range(LONG)]
+    rows = materialize(long_fingerprints(docs, words, seed), "prints")
+    least = rows.groupBy("c0", "c1", *prints).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    numbered = least.select("c0", "c1", *prints, F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), F.monotonically_increasing_id().alias("node"))
+    classes = materialize(numbered, "classes")
+    bits, tables = table_plan(classes.count())
+    hot = hot_buckets(sampled_keys(classes, bits, tables, False), BUCKET)
+    dealt = deal(sampled_keys(classes, bits, tables, True), hot, "node")
+    groups = components(bucket_links(dealt, prints, TRIE_BITS, NEAR_BITS))
+    members = classes.join(groups.hint("merge"), "node").select("node", F.col("root").alias("group"), F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")), "text").join(materialize(members, "members"), ["doc_id", "text_hash"])
+    sets = materialize(shingle_sets(texts, words, seed), "sets")
+    placed = smallest_of(classes.select("node", "rep"), components(similar_links(sets, similarity)), "node")
+    found = classes.select("c0", "c1", "node").join(placed.hint("merge"), "node").select("c0", "c1", "root", "component_id")
+    return rows.select("doc_id", "text_hash", "c0", "c1").join(materialize(found, "found").hint("merge"), ["c0", "c1"]).select("doc_id", "text_hash", "root", "component_id")

@@ -73,6 +73,69 @@ def test_simhash_against_brute_force(near, bucket):
     assert len(links) > 200
 
 
+def test_rows_without_ids_link_others(spark, monkeypatch):
+    """A fingerprint that only rows without an id have joins two documents that are not linked directly."""
+    prints = {"a": 0b0, "b": 0b111, "c": 0b111111, "d": 1 << 40 | 0xFFFF, "e": 1 << 63}
+    rows = [(7, "a"), (None, "b"), (5, "c"), (None, "d"), (None, "d"), (9, "e"), (None, "e")]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    given = spark.createDataFrame([(d, signed(prints[t])) for d, t in rows], "doc_id long, fingerprint long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: given)
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["fingerprint"], r["component_id"] or -1) for r in out) == sorted((f"{prints[t]:016x}", {"a": 5, "b": 5, "c": 5, "d": -1, "e": 5}[t]) for _, t in rows)
+
+
+def shingle_set(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
+
+
+def jaccard_links(texts):
+    sets = [shingle_set(t) for t in texts]
+    return [(a, b) for a in range(len(texts)) for b in range(a) if (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= 0.8]
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Texts of 4 to 400 words with copies that change some words, or share a long passage only."""
+    rng = np.random.default_rng(11)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(2000)])
+    passage = " ".join(rng.choice(words, 120))
+    texts = [None, "", " ", "One two", "one  TWO", "one two three four five six seven eight nine ten", "one two three four five six seven eight nine"]
+    for n in (4, 9, 12, 40, 40, 120, 120, 200, 400):
+        base = rng.choice(words, n)
+        texts.append(" ".join(base))
+        texts.append(passage + " " + " ".join(rng.choice(words, 80)))
+        for _ in range(16):
+            parts = base.copy()
+            for k in rng.integers(0, n, int(rng.integers(0, 1 + n // 25 + 1))):
+                parts[k] = rng.choice(words)
+            texts.append(" ".join(parts[: n - int(rng.integers(0, 1 + n // 20))]))
+    return texts
+
+
+@pytest.mark.parametrize(("fill", "chunk", "least"), [(512, 512, 1.0), (512, 8, 1.0), (8, 16, 0.98)])
+def test_similar_documents_against_brute_force(spark, monkeypatch, copies, fill, chunk, least):
+    monkeypatch.setattr(simhash, "FILL", fill)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BUCKET", 2 * fill)
+    links = jaccard_links(copies)
+    want = roots_of(len(copies), links)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(copies)] + [(None, copies[9], "x"), (9, copies[9], "x"), (9, "another text of that id", "x")], "doc_id long, text string, root string")
+    out = simhash.similar_documents(docs).collect()
+    assert len(out) == len(copies) + 2 and len(links) > 200
+    found = collections.defaultdict(set)
+    for r in out:
+        found[r["doc_id"]].add(r["component_id"])
+    right = sum(found[k] == {want[k]} for k in range(len(copies)) if k != 9)
+    assert found[9] == {want[9], 9} and right >= least * (len(copies) - 1)
+    assert all(want[c] == want[k] for k in found for c in found[k])
+    assert len({r["root"] for r in out}) == len({(r["root"], r["component_id"]) for r in out})
+
+
+def test_similar_documents_of_nothing(spark):
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_simhash_on_the_jvm(spark):
     """The shingle hash is the engine's own xxhash64."""
     found = spark.range(1).select(F.xxhash64(F.lit("a b é"))).first()[0]
@@ -242,12 +305,22 @@ def test_pipeline_stages(spark, near, tmp_path):
             assert docs.where("text like '%2abc3ff2%'").count() == 0 and docs.where("doc_id = 901 and text like '%[SECRET]%'").count() == 1
     language, dedup, secrets, mixture, pieces = kept
     assert language == {r[0] for r in rows if r[0] != 900 and any(c.isalpha() for c in r[1] or "")}
-    prints = {d: fingerprint(t) for d, t, *_ in rows if d in language and d is not None}
-    order = sorted(prints)
-    roots = roots_of(len(order), [(a, b) for a in range(len(order)) for b in range(a) if (prints[order[a]] ^ prints[order[b]]).bit_count() <= 3])
+    order = sorted(d for d in language if d is not None)
+    texts_of = {d: t for d, t, *_ in rows}
+    roots = roots_of(len(order), jaccard_links([texts_of[d] for d in order]))
     assert dedup == {order[k] for k, r in enumerate(roots) if k == r} | {None} and secrets == dedup and mixture <= secrets and pieces == mixture
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, same, "b"), (5, same, "a"), (5, same + " end", "a"), (5, "quite another text", "c"), (3, "some text", "z"), (8, same.upper(), "d"), (None, same, "e"), (None, same, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    out = corpus_pipeline.near_dedup(spark, docs, None)
+    assert out.columns == docs.columns
+    kept = collections.Counter((r["doc_id"], (r["text"] or "").startswith("w0")) for r in out.collect())
+    assert kept == {(5, True): 1, (5, False): 1, (3, False): 1, (None, True): 2}
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
