@@ -7,7 +7,7 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import langid, mixing, packing, secret_scan, simhash
@@ -28,13 +28,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies goes on: the one with the smallest id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) goes on: the one with the smallest id.
 
-    Of rows that repeat an id and its text one goes on, too; rows without an id can't be told apart and all go on.
+    Of rows that repeat an id within a group one goes on, the first by a hash of all columns; rows without an id can't be told apart and
+    all go on. Only ids and hashes of what is dropped are joined with the documents.
     """
-    found = materialize(simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = docs.join(found.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
+    found = materialize(simhash.similar_documents(docs), "groups")
+    first = found.where("doc_id = component_id")
+    repeated = materialize(first.groupBy("doc_id", "root").count().where("count > 1").select("doc_id", "root"), "repeated")
+    unsure = materialize(first.join(repeated, ["doc_id", "root"]).select("doc_id", "text_hash", "root").distinct(), "unsure")
+    dropped = materialize(found.where("doc_id <> component_id").select("doc_id", "text_hash").union(unsure.select("doc_id", "text_hash")).distinct(), "dropped")
+    key, group, order = (free_name(docs, n) for n in ("_text_hash", "_group", "_order"))
+    keyed = docs.withColumn(key, simhash.text_hash(F.col("text")))
+    same = lambda right: keyed["doc_id"].eqNullSafe(right["doc_id"]) & (keyed[key] == right["text_hash"])
+    kept = keyed.join(dropped, same(dropped), "left_anti").select(*docs.columns)
+    ties = keyed.join(unsure, same(unsure)).select(*[keyed[c] for c in docs.columns], unsure["root"].alias(group))
+    ranked = ties.withColumn(order, F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(*docs.columns))))
+    return kept.union(ranked.where(F.col(order) == 1).select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
