@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.functions import sentences as sent
 from lexigrove.functions import text as tx
+from lexigrove.functions.spans import match_spans, replace_spans
 from lexigrove.functions.stem import stem, stem_terms
 
 
@@ -82,3 +85,17 @@ def test_scalars(spark):
     assert one(spark, tx.is_blank(F.col("t")), t="\t ") is True
     assert one(spark, tx.escape_html(F.col("t")), t="<a&b>") == "&lt;a&amp;b&gt;"
     assert one(spark, tx.snippet(F.col("t"), F.lit(10), 5, 8), t="abcdefghijklmnopqrstuvwxyz") == "…fghijklm…"
+
+
+def test_spans_are_placed_in_one_pass(spark):
+    texts = ["", "a1b22", "é1😀22x333", "ab12 " * 700 + "é9", "12" * 3, "0123456789abcdef ok " * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    spans = match_spans(F.col("text"), "[0-9]+")
+    for r in df.select("text", spans.alias("spans"), replace_spans(F.col("text"), spans, "#").alias("new")).collect():
+        assert [tuple(s) for s in r["spans"]] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", r["text"])]
+        assert r["new"] == re.sub("[0-9]+", "#", r["text"])
+
+
+def test_overlapping_spans_become_one_mark(spark):
+    spans = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((1, 4), (2, 3), (3, 6), (6, 7), (9, 9))])
+    assert spark.range(1).select(replace_spans(F.lit("0123456789"), spans, "#")).first()[0] == "0##78#9"
