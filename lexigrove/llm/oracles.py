@@ -16,22 +16,28 @@ def _spans(pattern: str, kind: int, keep: str) -> str:
   FROM (SELECT doc_id, gaps, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS found FROM d)) WHERE {keep}"""
 
 
-_ALLOWED = " AND ".join(f"NOT regexp_matches(m, {_quoted(p)})" for p in ss.ALLOWED if "\\1" not in p) + " AND replace(m, m[1], '') <> ''"
+_SUSPECT = f"regexp_matches(m, {_quoted(ss.MIXED)}) AND " + " AND ".join(f"NOT regexp_matches(m, {_quoted(p)})" for p in ss.ALLOWED)
 _BITS = "[" + ", ".join(map(str, ss.COUNT_BITS)) + "]"
 _LIMITS = {k: ss.most_sum(v[1]) for k, v in ss.CLASSES.items()}
 _KINDS = "[" + ", ".join(f"'{k}'" for k in ss.KINDS) + "]"
 _SPELLED = f"coalesce(string_agg({_KINDS}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop), '')"
 
+_STRETCH = _quoted(ss.STRETCH)
+
 OP3 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS (SELECT doc_id, kind, start, start + length(m) AS stop FROM (
   {_spans(ss.ASSIGN, 0, f"length(regexp_extract(found[i], {_quoted(ss.ASSIGN)}, 2)) >= 12")}
   UNION ALL {_spans(ss.ACCESS, 1, "true")} UNION ALL {_spans(ss.HEX, 2, "true")})),
-candidates AS ({_spans(ss.CANDIDATE, 3, "true")}),
-windows AS (SELECT doc_id, start, m, k, list_sum(list_transform(map_values(list_histogram(string_split(substr(m, k, {ss.WINDOW}), ''))), lambda c: {_BITS}[(c + 1)::BIGINT])) AS bits
-  FROM (SELECT doc_id, start, m, unnest(range(1, length(m) - {ss.WINDOW - 2})) AS k FROM candidates WHERE {_ALLOWED})),
-hits AS (SELECT doc_id, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS kind, start, min(k) AS first, max(k) AS last FROM windows
-  WHERE bits <= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {_LIMITS["entropy_hex"]} ELSE {_LIMITS["entropy_base64"]} END GROUP BY doc_id, start, m),
-entropy AS (SELECT doc_id, kind, start + first - 1 AS start, start + last - 1 + {ss.WINDOW} AS stop FROM hits),
+runs AS ({_spans(ss.CANDIDATE, 3, "true")}),
+stretches AS (SELECT doc_id, run, start + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS start, found[i] AS m
+  FROM (SELECT doc_id, start AS run, start, gaps, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, start, string_split_regex(m, {_STRETCH}) AS gaps, regexp_extract_all(m, {_STRETCH}) AS found FROM runs WHERE NOT regexp_matches(m, {_quoted(ss.ALLOWED[1])})))),
+candidates AS (SELECT doc_id, start AS run, start, m, true AS whole FROM runs UNION ALL SELECT doc_id, run, start, m, false FROM stretches),
+parts AS (SELECT doc_id, run, start, m, whole, unnest(string_split_regex(m, {_quoted(ss.PLACEHOLDER)})) AS p FROM candidates WHERE {_SUSPECT}),
+windows AS (SELECT doc_id, run, start, m, whole, list_sum(list_transform(map_values(list_histogram(string_split(substr(p, k, {ss.WINDOW}), ''))), lambda c: {_BITS}[(c + 1)::BIGINT])) AS bits
+  FROM (SELECT *, unnest(range(1, length(p) - {ss.WINDOW - 2})) AS k FROM parts WHERE length(p) >= {ss.WINDOW})),
+hits AS (SELECT DISTINCT doc_id, run, whole, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN 3 ELSE 4 END AS kind, start, start + length(m) AS stop FROM windows
+  WHERE bits <= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {_LIMITS["entropy_hex"]} ELSE {_LIMITS["entropy_base64"]} END),
+entropy AS (SELECT doc_id, kind, start, stop FROM hits h WHERE whole OR NOT EXISTS (SELECT 1 FROM hits w WHERE w.whole AND w.doc_id = h.doc_id AND w.run = h.run)),
 fresh AS (SELECT * FROM entropy e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start <= e.start AND e.stop <= b.stop)),
 named AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {_SPELLED} AS spans FROM base GROUP BY doc_id),
 everything AS (SELECT doc_id, {_SPELLED} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM fresh) GROUP BY doc_id)

@@ -1,14 +1,19 @@
 """Secret scans with JVM expressions only: named assignments, access keys, hexadecimal runs, and strings of high entropy.
 
-The entropy scan takes candidate strings of ``MINIMUM`` characters or more, tells their class from their characters, and
-slides a window of ``WINDOW`` characters over them. Counts per character are kept from step to step: a character that enters
-and one that leaves change the sum of c log c by two terms each. A candidate is reported from the first to the last
-window whose Shannon entropy reaches its class's threshold, unless an allow-list pattern suppresses it or a span found
-by name covers it. Sums are whole numbers of micro-bits, so that every engine agrees on them.
-
-Defined results: a null text is an empty one; a text without secrets has empty span lists; each row gives a row, repeated rows too; an
-empty table gives no rows; all columns of the input are kept and ``base`` and ``entropy`` are added, or replaced where the
-input has columns of these names and no others are given.
+The entropy scan takes candidates, runs of ``MINIMUM`` or more characters of base64 (also the URL-safe kind) with their
+padding, so an assignment's name and its sign are no part of them. A candidate's class, hexadecimal or base64, is told from its
+characters; a window of ``WINDOW`` characters slides over it, and counts per character are kept from step to step: a character
+that enters and one that leaves change the sum of c log c by two terms each. A candidate with a window whose Shannon entropy
+reaches its class's threshold is reported as a whole. One that has none is parted at its separators, and each stretch of letters
+and digits is rated as a candidate of its own, so that a hexadecimal secret in a path is held against its own threshold.
+
+Allow-lists: plain numbers, UUIDs, and names made of words and short numbers are no candidates; windows do not reach into a
+``PLACEHOLDER``, but what stands beside one is rated. A span that a span found by name covers is not repeated. Sums are whole
+numbers of micro-bits, so that every engine agrees on them.
+
+Defined results: a null text is an empty one; a text without secrets has empty span lists; texts of any length and any number of
+matches take time in proportion; each row gives a row, repeated rows too; an empty table gives no rows; all columns of the input
+are kept and ``base`` and ``entropy`` are added, or replaced where the input has columns of these names and no others are given.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import match_spans
+from ..functions.spans import before, let, match_spans, replace_spans
 
 
 def either_case(text: str) -> str:
@@ -33,19 +38,17 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
 WINDOW = 20
 MINIMUM = 20
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+STRETCH = "[A-Za-z0-9]{20,}"
 #: Class: its characters, and the entropy in bits that a window must reach.
 CLASSES = {"entropy_hex": ("^[0-9a-fA-F]+$", 3.0), "entropy_base64": ("^[A-Za-z0-9+/_=-]+$", 3.8)}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Candidates that are not secrets: words, plain numbers, names made of words, one repeated character, placeholders, UUIDs.
-ALLOWED = (
-    "^[A-Za-z]+$",
-    "^[0-9]+$",
-    "^[A-Za-z]*[0-9]{0,4}([-_/=+][A-Za-z]*[0-9]{0,4})*$",
-    "^(.)\\1*$",
-    "(?i)(example|sample|placeholder|changeme|dummy|redacted|xxxxxx|012345|abcdef)",
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-)
+#: What a candidate must hold: all else is a name made of words and numbers of up to four digits, as are runs of one character.
+MIXED = "[0-9][A-Za-z]|[0-9]{5}"
+#: Candidates that are not secrets: plain numbers and UUIDs.
+ALLOWED = ("^[0-9]+$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+#: Parts of a candidate that no window reaches into.
+PLACEHOLDER = "|".join(map(either_case, ("example", "sample", "placeholder", "changeme", "dummy", "redacted", "xxxxxx", "012345", "abcdef")))
 #: c log2 c in micro-bits, for counts up to the window and one more.
 COUNT_BITS = [round(1e6 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 2)]
 
@@ -57,53 +60,54 @@ def most_sum(bits: float, window: int = WINDOW) -> int:
     return math.floor(1e6 * window * (math.log2(window) - bits))
 
 
-def entropy_range(text: Column, limit: Column) -> Column:
-    """struct<first int, last int>: where the first window begins and the last one ends whose sum of c log c is at most ``limit``.
+def least_sum(text: Column) -> Column:
+    """The smallest sum of c log2 c, in micro-bits, of any window of ``text``, which has ``WINDOW`` characters of ``ALPHABET`` or more.
 
-    Both are 1-based; first is 0 if there is no such window. One pass with counts carried along.
+    One pass; the counts are a string of one character for each of ``ALPHABET``, "0" and up, of which a step replaces two.
     """
     table = F.array(*[F.lit(x).cast("long") for x in COUNT_BITS])
+    place = lambda c: F.position(c, F.lit(ALPHABET))
+    count = lambda n, c: F.ascii(F.substring(n, place(c), F.lit(1))) - 48
     bits = lambda c: F.element_at(table, c + 1)
-    codes = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    held = F.array(F.struct(codes.alias("c"), limit.cast("long").alias("limit")))
+    never = F.lit(1 << 60)
 
-    def scan(x: Column) -> Column:
-        start = F.struct(
-            F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"),
-            F.lit(0).cast("long").alias("s"),
-            F.lit(0).alias("first"),
-            F.lit(0).alias("last"),
-        )
+    def scan(chars: Column) -> Column:
+        start = F.struct(F.repeat(F.lit("0"), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("i"), never.alias("least"))
 
-        def step(a: Column, i: Column) -> Column:
-            enters = F.element_at(x["c"], i)
-            leaves = F.when(i > WINDOW, F.element_at(x["c"], F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
-            bound = F.array(F.struct(enters.alias("e"), leaves.alias("l")))
+        def leave(a: Column) -> Column:
+            old = F.get(chars, a["i"] - WINDOW)
+            n = count(a["n"], old)
+            gone = F.struct(F.overlay(a["n"], F.char(n + 47), place(old)).alias("n"), (a["sum"] + bits(n - 1) - bits(n)).alias("sum"))
+            return F.when(a["i"] >= WINDOW, gone).otherwise(F.struct(a["n"].alias("n"), a["sum"].alias("sum")))
 
-            def changed(b: Column) -> Column:
-                more = F.get(a["n"], b["e"])
-                less = F.get(a["n"], F.greatest(b["l"], F.lit(0))) + (b["l"] == b["e"]).cast("int")
-                left = F.when(b["l"] >= 0, bits(less - 1) - bits(less)).otherwise(F.lit(0).cast("long"))
-                total = a["s"] + bits(more + 1) - bits(more) + left
-                counts = F.transform(a["n"], lambda v, j: v + (j == b["e"]).cast("int") - (j == b["l"]).cast("int"))
-                return F.struct(counts.alias("n"), total.alias("s"))
+        def step(a: Column, c: Column) -> Column:
+            def enter(b: Column) -> Column:
+                n = count(b["n"], c)
+                return F.struct(F.overlay(b["n"], F.char(n + 49), place(c)).alias("n"), (b["sum"] + bits(n + 1) - bits(n)).alias("sum"))
 
-            after = F.transform(bound, changed)
+            def noted(d: Column) -> Column:
+                least = F.when(a["i"] + 1 >= WINDOW, F.least(a["least"], d["sum"])).otherwise(a["least"])
+                return F.struct(d["n"].alias("n"), d["sum"].alias("sum"), (a["i"] + 1).alias("i"), least.alias("least"))
 
-            def noted(t: Column) -> Column:
-                hit = (i >= WINDOW) & (t["s"] <= x["limit"])
-                return F.struct(
-                    t["n"].alias("n"),
-                    t["s"].alias("s"),
-                    F.when(hit & (a["first"] == 0), i - WINDOW + 1).otherwise(a["first"]).alias("first"),
-                    F.when(hit, i).otherwise(a["last"]).alias("last"),
-                )
+            return let(let(leave(a), enter), noted)
 
-            return F.get(F.transform(after, noted), F.lit(0))
+        return F.aggregate(chars, start, step, lambda a: a["least"])
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(x["c"])), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return let(F.split(text, ""), scan)
 
-    return F.get(F.transform(held, scan), F.lit(0))
+
+def is_hex(text: Column) -> Column:
+    return text.rlike(CLASSES["entropy_hex"][0])
+
+
+def is_secret(text: Column) -> Column:
+    """Whether a candidate is outside the allow-lists and has a window of its class's entropy beside any placeholder."""
+    limit = F.when(is_hex(text), F.lit(most_sum(CLASSES["entropy_hex"][1]))).otherwise(F.lit(most_sum(CLASSES["entropy_base64"][1])))
+    known = ~text.rlike(MIXED)
+    for pattern in ALLOWED:
+        known = known | text.rlike(pattern)
+    parts = F.filter(F.split(text, PLACEHOLDER), lambda p: F.length(p) >= WINDOW)
+    return ~known & F.exists(parts, lambda p: least_sum(p) <= limit)
 
 
 def _kind(spans: Column, kind: str) -> Column:
@@ -118,28 +122,30 @@ def base_spans(text: Column) -> Column:
 
 def entropy_spans(text: Column, base: Column) -> Column:
     """The spans of candidate strings with a window of high entropy, without those that a span of ``base`` covers."""
+    kind = lambda m: F.when(is_hex(m), F.lit(KINDS.index("entropy_hex"))).otherwise(F.lit(KINDS.index("entropy_base64")))
+    span = lambda s, at: F.struct((s["start"] + at).alias("start"), kind(s["match"]).alias("kind"), (s["end"] + at).alias("end"))
+    uuid = ALLOWED[1]
+
+    def of_run(run: Column) -> Column:
+        stretches = F.filter(match_spans(run["match"], STRETCH), lambda s: is_secret(s["match"]))
+        inner = F.transform(stretches, lambda s: span(s, run["start"]))
+        return F.when(is_secret(run["match"]), F.array(span(run, F.lit(0)))).otherwise(inner)
+
+    runs = F.filter(match_spans(text, CANDIDATE), lambda s: s["match"].rlike(MIXED) & ~s["match"].rlike(uuid))
+    spans = F.flatten(F.transform(runs, of_run))
+    return F.when(text.rlike(CANDIDATE), uncovered(spans, base)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    def suspicious(s: Column) -> Column:
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | s["match"].rlike(pattern)
-        return ~allowed
-
-    found = F.filter(match_spans(text, CANDIDATE), suspicious)
-    is_hex = lambda s: s["match"].rlike(CLASSES["entropy_hex"][0])
-    limit = lambda s: F.when(is_hex(s), F.lit(most_sum(CLASSES["entropy_hex"][1]))).otherwise(F.lit(most_sum(CLASSES["entropy_base64"][1])))
-    ranged = F.transform(
-        found,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.when(is_hex(s), F.lit(KINDS.index("entropy_hex"))).otherwise(F.lit(KINDS.index("entropy_base64"))).alias("kind"),
-            entropy_range(s["match"], limit(s)).alias("at"),
-        ),
-    )
-    hits = F.filter(ranged, lambda s: s["at"]["first"] > 0)
-    spans = F.transform(hits, lambda s: F.struct((s["start"] + s["at"]["first"] - 1).alias("start"), s["kind"].alias("kind"), (s["start"] + s["at"]["last"]).alias("end")))
-    fresh = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return F.when(text.rlike(CANDIDATE), fresh).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+def uncovered(spans: Column, base: Column) -> Column:
+    """``spans`` that no span of ``base`` covers: in order of start, none of base's before it ends as late."""
+    mark = lambda xs, is_base: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(not is_base).alias("own"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def kept(x: Column) -> Column:
+        reach = before(F.transform(x, lambda s: F.when(s["own"], F.lit(0)).otherwise(s["end"])), lambda a, b: F.greatest(a, b))
+        held = F.zip_with(x, reach, lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (s["own"] & (r < s["end"])).alias("keep")))
+        return F.transform(F.filter(held, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    return let(F.array_sort(F.concat(mark(base, True), mark(spans, False))), kept)
 
 
 def scan_secrets(docs: DataFrame, base: str = "base", entropy: str = "entropy") -> DataFrame:
@@ -156,11 +162,4 @@ def spelled(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with its spans, sorted by start, replaced; overlapping ones become one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], between).alias("out"))
-
-    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return replace_spans(text, spans, mark)
