@@ -1,6 +1,6 @@
 """WARC: a dictionary-compressed writer and its reader.
 
-``train_dictionary`` builds one Zstandard dictionary from a bounded sample of records. ``write_archives`` writes
+``train_dictionary`` builds one Zstandard dictionary from a bounded sample of stretches of records, from anywhere in them. ``write_archives`` writes
 ``*.warc.zst`` files: a leading skippable frame holds the dictionary, and each record is a frame of its own, so a reader
 can start at any record's offset. Of pages with equal payloads the one with the smallest page_id becomes a response record
 and the others revisit it without a payload. ``read_archives`` reads files back, frame by frame, with nothing but what is
@@ -30,10 +30,12 @@ from .shared import batches, materialize, scratch_path
 
 #: First bytes of the skippable frame that holds a dictionary.
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
-#: What a dictionary is trained on, and its size; all on the driver.
-SAMPLE_RECORDS, SAMPLE_BYTES, RECORD_BYTES, DICTIONARY_BYTES = 1500, 6 << 20, 32 << 10, 64 << 10
+#: What a dictionary is trained on, in stretches of so many characters, and its size; all on the driver.
+SAMPLE_RECORDS, SAMPLE_BYTES, STRETCH, DICTIONARY_BYTES = 1500, 6 << 20, 8 << 10, 64 << 10
 #: A file is closed once it has so many bytes.
 FILE_BYTES = 32 << 20
+#: A task reads so many bytes of archives, if there are more of them than cores.
+READ_BYTES = 128 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 NO_ID = -(2**63)
@@ -99,24 +101,34 @@ def parse_record(data: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS) -> bytes:
-    """A dictionary from about ``records`` pages, chosen by hash; empty if they are too few to learn from."""
+    """A dictionary from about ``records`` stretches of pages, chosen by hash among all stretches; empty if there are no pages.
+
+    The first stretch of a page comes with its record's head. Too few samples to train on are given repeatedly.
+    """
     import zstandard
 
-    total = pages.count()
-    share = min(1.0, records / max(1, total))
-    chosen = pages.where(F.pmod(F.xxhash64("page_id", F.lit("dictionary")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = chosen.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, RECORD_BYTES // 4).alias("html")).limit(2 * records).collect()
+    html = F.coalesce("html", F.lit(""))
+    last = F.floor(F.greatest(F.length(html) - 1, F.lit(0)) / STRETCH).cast("int")
+    total = pages.agg(F.sum(last + 1)).first()[0] or 0
+    if not total:
+        return b""
+    share = min(1.0, records / total)
+    page = F.col("page_id").cast("long")
+    drawn = F.filter(F.sequence(F.lit(0), last), lambda k: F.pmod(F.xxhash64(page, k, F.lit("dictionary")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    parts = F.transform(drawn, lambda k: F.struct(k.alias("nth"), F.substring(html, k * STRETCH + 1, F.lit(STRETCH)).alias("part")))
+    rows = pages.select(page.alias("page_id"), "url", F.inline(parts)).limit(2 * records).collect()
     samples, size = [], 0
     for r in rows:
         if size < SAMPLE_BYTES:
-            samples.append(build_record(r["page_id"], r["url"], r["html"].encode(), None, False))
+            part = r["part"].encode()
+            samples.append(part if r["nth"] else build_record(r["page_id"], r["url"], part, None, False))
             size += len(samples[-1])
-    if len(samples) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 8), samples, k=200, d=8).as_bytes()
-    except zstandard.ZstdError:  # samples too alike or too short
-        return b""
+    for times in (1, 16, 256):
+        try:
+            return zstandard.train_dictionary(max(256, min(DICTIONARY_BYTES, times * size // 8)), times * samples, k=200, d=8).as_bytes()
+        except zstandard.ZstdError:  # too few or too short
+            continue
+    raise ValueError("no dictionary can be trained")
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
@@ -238,7 +250,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return arrow_map(manifest.select("path").repartition("path"), read, RECORD)
+    total = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = min(total[0], max(2 * manifest.sparkSession.sparkContext.defaultParallelism, -(-(total[1] or 0) // READ_BYTES)))
+    return arrow_map(manifest.select("path").repartition(max(1, tasks)), read, RECORD)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:

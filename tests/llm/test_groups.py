@@ -236,6 +236,21 @@ def test_warc_round_trip(spark, tmp_path):
         assert r["payload"] == (text.encode() if response else None)
 
 
+@pytest.mark.parametrize("html", [[None], ["", "x"], ["<p>one</p>"] * 3, ["long " * 9000]])
+def test_warc_of_few_pages_has_a_dictionary(spark, tmp_path, html):
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    manifest, folder = warc.archive_pages(pages, f"file://{tmp_path}/few")
+    assert all(p.read_bytes()[:4] == warc.MAGIC for p in (tmp_path / "few").glob("*.zst"))
+    assert {r["page_id"] for r in warc.read_archives(manifest, folder).collect()} == set(range(len(html)))
+
+
+def test_warc_is_read_by_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * 20) for k in range(400)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.mark_revisits(pages), f"file://{tmp_path}/many", warc.train_dictionary(pages), file_bytes=2000)
+    tasks = warc.read_archives(manifest, f"file://{tmp_path}/many").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert manifest.count() > 8 and tasks >= 6
+
+
 def test_warc_of_nothing(spark):
     manifest, folder = warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(manifest, folder).count() == 0
