@@ -116,7 +116,7 @@ def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS) -> bytes:
     page = F.col("page_id").cast("long")
     drawn = F.filter(F.sequence(F.lit(0), last), lambda k: F.pmod(F.xxhash64(page, k, F.lit("dictionary")), F.lit(1 << 30)) < int(share * (1 << 30)))
     parts = F.transform(drawn, lambda k: F.struct(k.alias("nth"), F.substring(html, k * STRETCH + 1, F.lit(STRETCH)).alias("part")))
-    rows = pages.select(page.alias("page_id"), "url", F.inline(parts)).limit(2 * records).collect()
+    rows = pages.select(page.alias("page"), "url", parts.alias("parts")).select(F.col("page").alias("page_id"), "url", F.inline("parts")).limit(2 * records).collect()
     samples, size = [], 0
     for r in rows:
         if size < SAMPLE_BYTES:
