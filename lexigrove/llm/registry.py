@@ -80,7 +80,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymize
 
     found = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
-    kinds = ("email", "phone", "ipv4", "card", "date", "iban")
+    kinds = ("email", "phone", "ipv4", "card", "date", "iban", "ssn")
     counts = [count_of(F.col("found"), k).alias(f"n_{k}") for k in kinds]
     return found.select("doc_id", F.col("pseudonymized").alias("text"), *counts)
 

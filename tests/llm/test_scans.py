@@ -1,5 +1,6 @@
 import dataclasses
 import hashlib
+import hmac
 import math
 import random
 import re
@@ -130,11 +131,83 @@ def test_pseudonyms(spark):
     assert out[5]["pseudonymized"].endswith(" " + new[2])
 
 
-def test_feistel_inverts(spark):
-    words = spark.createDataFrame([("a",), ("Abc-123",), ("9" * 70,), ("",)], "w string")
-    back = words.select("w", pii.feistel(F.col("w"), "k").alias("x")).select("w", "x", pii.feistel(F.col("x"), "k", inverse=True).alias("y")).collect()
-    assert all(r["w"] == r["y"] for r in back) and len({r["x"] for r in back}) == 4
-    every = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("w")).select(pii.feistel(F.col("w"), "k").alias("x"))
+BESIDE_OTHERS = {
+    "paid 4111 1111 1111 1111 12/27 ok": ("4111 1111 1111 1111", r"paid 4\d{3} \d{4} \d{4} \d{4} 12/27 ok", "card"),
+    "paid 4111 1111 1111 1111 123.": ("4111 1111 1111 1111", r"paid 4\d{3} \d{4} \d{4} \d{4} 123\.", "card"),
+    "1 4111111111111111 2": ("4111111111111111", r"1 4\d{15} 2", "card"),
+    "amex 3782-822463-10005": ("3782-822463-10005", r"amex 3\d{3}-\d{6}-\d{5}", "card"),
+    "call +49 30 1234567 now": ("+49 30 1234567", r"call \+49 \d\d \d{7} now", "phone"),
+    "+1-555-123-4567": ("+1-555-123-4567", r"\+1-\d{3}-\d{3}-\d{4}", "phone"),
+    "(555) 223-4567 x": ("(555) 223-4567", r"\(5\d\d\) 2\d\d-\d{4} x", "phone"),
+    "555.223.4567": ("555.223.4567", r"5\d\d\.2\d\d\.\d{4}", "phone"),
+    "tel 01 23 45 67 89": ("01 23 45 67 89", r"tel 01 \d\d \d\d \d\d \d\d", "phone"),
+    "tel 030/1234 5678": ("030/1234 5678", r"tel 03\d/\d{4} \d{4}", "phone"),
+    "at 2024-01-15T10:00:01Z": ("2024-01-15", r"at \d{4}-\d\d-\d\dT10:00:01Z", "date"),
+    "on 31/12/1999,": ("31/12/1999", r"on \d\d/\d\d/\d{4},", "date"),
+    "on 12/31/1999,": ("12/31/1999", r"on \d\d/\d\d/\d{4},", "date"),
+    "am 3.4.1850.": ("3.4.1850", r"am \d+\.\d+\.\d{4}\.", "date"),
+    "born 12 January 2101": ("12 January 2101", r"born \d+ [A-Z]\w+ \d{4}", "date"),
+    "July 4, 1776": ("July 4, 1776", r"[A-Z]\w+ \d+, \d{4}", "date"),
+    "IBAN DE89 3704 0044 0532 0130 00 AND": ("DE89 3704 0044 0532 0130 00", r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d AND", "iban"),
+    "ssn 219-09-9999": ("219-09-9999", r"ssn 219-\d\d-\d{4}", "ssn"),
+}
+NOT_PERSONAL = ["000-12-3456 and 219-00-9999", "version 1.2.3, 12 of 34", "2024-13-45 and 31/31/2000 and 30 February 2001", "+12 345", "numbers 2 3 14 15 92 65 35 89 79 32 38 46", "4111 1111 1111 1112", "DE89 3704 0044 0532 0130 01", "x" * 100_000, "1 " * 50_000]
+
+
+def test_values_beside_others(spark):
+    texts = list(BESIDE_OTHERS)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2 + NOT_PERSONAL)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs, "key").collect()}
+    for k, t in enumerate(texts):
+        value, form, kind = BESIDE_OTHERS[t]
+        new = out[k]["pseudonymized"]
+        assert re.fullmatch(form, new) and value not in new and out[k]["found"] == [kind], (t, new, out[k]["found"])
+        assert out[k + len(texts)]["pseudonymized"] == new
+        if kind == "card":
+            digits = re.sub("[^0-9]", "", re.search(r"\d{4}[ \d-]{9,}", new)[0])
+            assert luhn(digits[: len(re.sub("[^0-9]", "", value))])
+        if kind == "iban":
+            bare = new[5:32].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    for k, t in enumerate(NOT_PERSONAL, 2 * len(texts)):
+        assert out[k]["pseudonymized"] == t and out[k]["found"] == []
+    again = {r["doc_id"]: r["found"] for r in pii.pseudonymize(spark.createDataFrame([(k, r["pseudonymized"]) for k, r in out.items()], "doc_id long, text string"), "other").collect()}
+    assert again == {k: r["found"] for k, r in out.items()}  # pseudonyms are valid again
+
+
+def test_the_key_is_in_no_plan(spark):
+    docs = spark.createDataFrame([(1, "a@b.example")], "doc_id long, text string")
+    plan = pii.pseudonymize(docs, "the-hidden-key")._jdf.queryExecution().toString()
+    inner, outer = pii.hmac_pads("the-hidden-key")
+    assert "the-hidden-key" not in plan and inner.hex()[:16] not in plan.lower() and outer.hex()[:16] not in plan.lower()
+
+
+def test_feistel_against_the_formula(spark):
+    """Six rounds of HMAC-SHA256 in Python give the same strings, and the inverse gives the values back."""
+    words = ["a", "Abc-123", "9" * 70, "", "é1"]
+    secret = spark.createDataFrame([pii.hmac_pads("k")], "inner binary, outer binary")
+    rows = spark.createDataFrame([(w,) for w in words], "w string").withColumn("pads", secret.select(F.struct("inner", "outer")).scalar())
+    stream, tweak = pii.hmac(F.col("pads")), F.lit("t")
+    back = rows.withColumn("x", pii.feistel(F.col("w"), stream, tweak)).withColumn("y", pii.feistel(F.col("x"), stream, tweak, inverse=True)).collect()
+    key = hashlib.sha256(b"pseudonyms|k").digest()
+
+    def moved(half, other, turn):
+        drawn = hmac.new(key, f"t|{turn}|{other}".encode(), "sha256").digest()
+        out = ""
+        for k, c in enumerate(half):
+            for first, size in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(first) <= ord(c) < ord(first) + size:
+                    c = chr((ord(c) - ord(first) + drawn[k % 32]) % size + ord(first))
+                    break
+            out += c
+        return out
+
+    for r in back:
+        a, b = r["w"][: len(r["w"]) // 2], r["w"][len(r["w"]) // 2 :]
+        for turn in range(6):
+            a, b = (a, moved(b, a, turn)) if turn % 2 else (moved(a, b, turn), b)
+        assert (r["x"], r["y"]) == (a + b, r["w"])
+    every = spark.range(1000).withColumn("pads", secret.select(F.struct("inner", "outer")).scalar()).select(pii.feistel(F.lpad(F.col("id").cast("string"), 3, "0"), stream, tweak).alias("x"))
     assert every.distinct().count() == 1000
 
 
