@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +36,65 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+_open: list[list[str]] = []  # paths written within each open ``scratch_tables``, the innermost last
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within ``scratch_tables`` the table goes when that ends; with ``keep`` it stays, or goes with the ``scratch_tables`` around that.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    for held in _open[: -1 if keep else None][-1:]:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """What is materialized within is removed at the end; a result that outlives it is materialized with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
 def forget(df: DataFrame) -> None:
     """Remove what ``materialize`` wrote for ``df`` once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
+
+
+#: Bits of a ``sketch_of``, and of one of its words.
+SKETCH_BITS, WORD_BITS = 24, 6
+
+
+def sketch_of(rows: DataFrame, *key: str) -> DataFrame:
+    """(word, bits): a bitmap of 2**SKETCH_BITS bits in which the hash of each row's ``key`` is set; it has 2**18 rows at most."""
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << SKETCH_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % (1 << WORD_BITS)).cast("int"))
+    return materialize(rows.select(F.shiftright(place, WORD_BITS).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "sketch", keep=True)
+
+
+def in_sketch(rows: DataFrame, sketch: DataFrame, *key: str, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false if no row of the sketch has this ``key``, true if one may have it.
+
+    The sketch is broadcast: its size is bounded whatever it was made of. An exact join follows for the rows that may match.
+    """
+    word, bits = free_name(rows, "_word"), free_name(rows, "_bits")
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << SKETCH_BITS))
+    held = F.broadcast(sketch.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    joined = rows.withColumn(word, F.shiftright(place, WORD_BITS)).join(held, word, "left")
+    bit = F.call_function("shiftright", F.col(bits), (place % (1 << WORD_BITS)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(word, bits)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import arrow_map
-from .shared import batches, components, local_components, materialize, task_groups
+from .shared import batches, components, in_sketch, local_components, materialize, scratch_tables, sketch_of, task_groups
 
 WORDS = 3
 SEED = 42
@@ -47,7 +47,7 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: 64-bit words of a long fingerprint; differing bits allowed in the first word, and in all of them.
 LONG, TRIE_BITS, NEAR_BITS = 4, 20, 72
 #: Fingerprints of a bucket on average, and the chance to miss a pair that differs in ``DIFFER`` of its bits.
-FILL, MISSED, DIFFER = 512, 0.01, 0.17
+FILL, MISSED, DIFFER = 1024, 0.01, 0.17
 #: Documents and shingles of a chunk of a group.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 
@@ -232,21 +232,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, dista
     reachable by links, the document's own included.
     """
     prints = materialize(fingerprints(docs, words, seed), "prints")
-    distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
-    classes = smallest_of(distinct, components(links(distinct, distance, bucket)), "fingerprint")
+    with scratch_tables(docs.sparkSession):
+        distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
+        classes = smallest_of(distinct, components(links(distinct, distance, bucket)), "fingerprint", keep=True)
     return (
         prints.join(classes.select("fingerprint", "component_id").hint("merge"), "fingerprint")
         .select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
     )
 
 
-def smallest_of(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+def smallest_of(nodes: DataFrame, roots: DataFrame, node: str, keep: bool = False) -> DataFrame:
     """(node, root, component_id) of ``nodes(node, rep)``: the smallest rep of its component in ``roots(node, root)``, or its own rep."""
     linked = materialize(nodes.join(roots.hint("merge"), nodes[node] == roots["node"]).select(nodes[node].alias("in"), "rep", "root"), "linked")
     least = materialize(linked.groupBy("root").agg(F.min("rep").alias("least")), "least")
     placed = materialize(linked.select("in", "root").join(least.hint("merge"), "root").select("in", "root", "least"), "placed")
     found = nodes.join(placed.hint("merge"), nodes[node] == placed["in"], "left")
-    return materialize(found.select(node, F.coalesce("root", node).alias("root"), F.coalesce("least", "rep").alias("component_id")), "classes")
+    return materialize(found.select(node, F.coalesce("root", node).alias("root"), F.coalesce("least", "rep").alias("component_id")), "placed", keep)
 
 
 def long_fingerprint(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -262,9 +263,9 @@ def long_fingerprint(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def long_fingerprints(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, c0, c1, size, f0.. ) of each row of ``docs(doc_id, text)``: two hashes of its words, the number of its
-    different shingles and its long fingerprint. ``text_hash`` tells the texts of one id apart."""
-    names = ["doc_id", "text_hash", "c0", "c1", "size", *(f"f{k}" for k in range(LONG))]
+    """(doc_id, text_hash, c0, c1, f0.. ) of each row of ``docs(doc_id, text_hash, text)``: two hashes of its words and its long
+    fingerprint. ``text_hash`` tells the texts of one id apart."""
+    names = ["doc_id", "text_hash", "c0", "c1", *(f"f{k}" for k in range(LONG))]
 
     def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -279,10 +280,10 @@ def long_fingerprints(docs: DataFrame, words: int, seed: int = SEED) -> DataFram
             sizes = np.array([len(x) for x in sets])
             prints = long_fingerprint(np.concatenate(sets), sizes).view(np.int64) if sets else np.zeros((0, LONG), np.int64)
             c = np.array(classes, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [batch.column(0), batch.column(1), *(pa.array(x) for x in (c[:, 0], c[:, 1], sizes.astype(np.int64), *prints.T))]
+            columns = [batch.column(0), batch.column(1), *(pa.array(x) for x in (c[:, 0], c[:, 1], *prints.T))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")), "text"), hash_texts, ", ".join(f"{n} long" for n in names))
+    return arrow_map(docs, hash_texts, ", ".join(f"{n} long" for n in names))
 
 
 def text_hash(text: Column) -> Column:
@@ -370,15 +371,15 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
-    """``docs(group, node, text)`` as (group, node, size, hashes): its different shingles, eight bytes each."""
+    """``docs(doc_id, text_hash, text)`` as (doc_id, text_hash, size, hashes): its different shingles, eight bytes each."""
 
     def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 4 << 20):
             sets = [distinct_shingles((x or "").encode("utf-8", "surrogatepass").lower().split(), words, seed) for x in batch.column(2).to_pylist()]
             columns = [*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["group", "node", "size", "hashes"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "size", "hashes"])
 
-    return arrow_map(docs.select("group", "node", "text"), hash_texts, "group long, node long, size long, hashes binary")
+    return arrow_map(docs, hash_texts, "doc_id long, text_hash long, size long, hashes binary")
 
 
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, seed: int = SEED) -> DataFrame:
@@ -388,19 +389,24 @@ def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: f
     smallest doc_id reachable by links, ``root`` a number of the component (ids may be repeated with other texts). Texts of the same
     words are one class; each class is compared by one of its texts.
     """
-    docs = docs.where("doc_id is not null")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_hash(F.col("text")), "text")
     prints = [f"f{k}" for k in range(LONG)]
-    rows = materialize(long_fingerprints(docs, words, seed), "prints")
-    least = rows.groupBy("c0", "c1", *prints).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    numbered = least.select("c0", "c1", *prints, F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), F.monotonically_increasing_id().alias("node"))
-    classes = materialize(numbered, "classes")
-    bits, tables = table_plan(classes.count())
-    hot = hot_buckets(sampled_keys(classes, bits, tables, False), BUCKET)
-    dealt = deal(sampled_keys(classes, bits, tables, True), hot, "node")
-    groups = components(bucket_links(dealt, prints, TRIE_BITS, NEAR_BITS))
-    members = classes.join(groups.hint("merge"), "node").select("node", F.col("root").alias("group"), F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
-    texts = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")), "text").join(materialize(members, "members"), ["doc_id", "text_hash"])
-    sets = materialize(shingle_sets(texts, words, seed), "sets")
-    placed = smallest_of(classes.select("node", "rep"), components(similar_links(sets, similarity)), "node")
-    found = classes.select("c0", "c1", "node").join(placed.hint("merge"), "node").select("c0", "c1", "root", "component_id")
-    return rows.select("doc_id", "text_hash", "c0", "c1").join(materialize(found, "found").hint("merge"), ["c0", "c1"]).select("doc_id", "text_hash", "root", "component_id")
+    with scratch_tables(docs.sparkSession):
+        rows = materialize(long_fingerprints(docs, words, seed), "prints")
+        least = rows.groupBy("c0", "c1", *prints).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        numbered = least.select("c0", "c1", *prints, F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), F.monotonically_increasing_id().alias("node"))
+        classes = materialize(numbered, "classes")
+        bits, tables = table_plan(classes.count())
+        hot = hot_buckets(sampled_keys(classes, bits, tables, False), 2 * BUCKET)
+        dealt = deal(sampled_keys(classes, bits, tables, True), hot, "node")
+        groups = components(bucket_links(dealt, prints, TRIE_BITS, NEAR_BITS))
+        members = classes.join(groups.hint("merge"), "node").select("node", F.col("root").alias("group"), F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
+        members = materialize(members, "members")
+        # texts are not shuffled, only the shingles of what may be a member
+        likely = in_sketch(docs, sketch_of(members, "doc_id", "text_hash"), "doc_id", "text_hash", flag="likely").where("likely")
+        sets = shingle_sets(likely.select("doc_id", "text_hash", "text"), words, seed).join(members.hint("merge"), ["doc_id", "text_hash"])
+        sets = materialize(sets.select("group", "node", "size", "hashes"), "sets", compression="zstd")
+        placed = smallest_of(classes.select("node", "rep"), components(similar_links(sets, similarity)), "node")
+        found = materialize(classes.select("c0", "c1", "node").join(placed.hint("merge"), "node").select("c0", "c1", "root", "component_id"), "found")
+        result = rows.select("doc_id", "text_hash", "c0", "c1").join(found.hint("merge"), ["c0", "c1"]).select("doc_id", "text_hash", "root", "component_id")
+        return materialize(result, "groups", keep=True)
