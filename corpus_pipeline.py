@@ -6,13 +6,15 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.llm import langid, mixing, packing, secret_scan, simhash
 from lexigrove.llm.registry import MIX_BUDGET, MIX_TARGETS, VOCABULARY
-from lexigrove.llm.shared import free_name, materialize
+from lexigrove.llm.shared import free_name, in_sketch, materialize, scratch_tables, sketch_of
 
 #: A document is rejected if no language is this probable.
 LEAST_SCORE = 0.5
@@ -31,20 +33,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) goes on: the one with the smallest id.
 
     Of rows that repeat an id within a group one goes on, the first by a hash of all columns; rows without an id can't be told apart and
-    all go on. Only ids and hashes of what is dropped are joined with the documents.
+    all go on. Texts are shuffled only where a sketch says that a row may be dropped.
     """
-    found = materialize(simhash.similar_documents(docs), "groups")
+    found = simhash.similar_documents(docs)
     first = found.where("doc_id = component_id")
-    repeated = materialize(first.groupBy("doc_id", "root").count().where("count > 1").select("doc_id", "root"), "repeated")
-    unsure = materialize(first.join(repeated, ["doc_id", "root"]).select("doc_id", "text_hash", "root").distinct(), "unsure")
-    dropped = materialize(found.where("doc_id <> component_id").select("doc_id", "text_hash").union(unsure.select("doc_id", "text_hash")).distinct(), "dropped")
-    key, group, order = (free_name(docs, n) for n in ("_text_hash", "_group", "_order"))
+    with scratch_tables(spark):
+        repeated = materialize(first.groupBy("doc_id", "root").count().where("count > 1").select("doc_id", "root"), "repeated")
+        unsure = first.join(repeated, ["doc_id", "root"]).select("doc_id", "text_hash", "root")
+        others = found.where("doc_id <> component_id").select("doc_id", "text_hash", F.lit(None).cast("long").alias("root"))
+        dropped = materialize(others.union(unsure).distinct(), "dropped", keep=True)
+    key, group, order, likely = (free_name(docs, n) for n in ("_text_hash", "_group", "_order", "_likely"))
     keyed = docs.withColumn(key, simhash.text_hash(F.col("text")))
-    same = lambda right: keyed["doc_id"].eqNullSafe(right["doc_id"]) & (keyed[key] == right["text_hash"])
-    kept = keyed.join(dropped, same(dropped), "left_anti").select(*docs.columns)
-    ties = keyed.join(unsure, same(unsure)).select(*[keyed[c] for c in docs.columns], unsure["root"].alias(group))
-    ranked = ties.withColumn(order, F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(*docs.columns))))
-    return kept.union(ranked.where(F.col(order) == 1).select(*docs.columns))
+    flagged = in_sketch(keyed, sketch_of(dropped, "doc_id", "text_hash"), "doc_id", key, flag=likely).withColumn(likely, F.col(likely) & F.col("doc_id").isNotNull())
+    asked = flagged.where(likely)
+    verdict = dropped.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "root": "_root"})
+    joined = asked.join(verdict.hint("merge"), (asked["doc_id"] == verdict["_id"]) & (asked[key] == verdict["_hash"]), "left")
+    stay = joined.where(verdict["_id"].isNull() | verdict["_root"].isNotNull()).select(*[asked[c] for c in docs.columns], verdict["_root"].alias(group))
+    stay = materialize(stay, "stay")
+    first_rows = stay.where(F.col(group).isNotNull()).withColumn(order, F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(*docs.columns)))).where(F.col(order) == 1)
+    parts = (flagged.where(~F.col(likely)), stay.where(F.col(group).isNull()), first_rows)
+    return reduce(DataFrame.union, [p.select(*docs.columns) for p in parts])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
