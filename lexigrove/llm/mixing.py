@@ -7,47 +7,62 @@ its cell's probability, so a sample is the same on every run and does not depend
 
 Defined results: a null label is a label of its own, and so is a missing topic; a null text has 0 tokens; labels without a target share what the
 targets leave, in proportion to their tokens; targets of labels that do not occur are given up and the rest scaled to 1;
-repeated rows with one id are kept or dropped together; an empty table gives no rows; all columns of the input are kept, also where
+repeated rows with one id are kept or dropped together, and so are rows without an id that have one text; an empty table gives no rows; all columns of the input are kept, also where
 a new column would have had the name.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
 from .shared import free_name, materialize
 
+log = logging.getLogger(__name__)
+
 DIMENSIONS = ("source", "lang", "topic")
 DRIVER_CELLS = 100_000
 STEPS = 50
 TOLERANCE = 1e-6
 SEED = "mixing"
 
+#: The characters whose share tells a form.
+FORMS = {"table": "|", "markup": "#$%&*", "numeric": "0123456789", "shouted": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
 #: For each dimension the shares of some labels, or an exponent: shares in proportion to the present ones to that power.
 Targets = dict[str, dict[str, float] | float]
 
 
 def topic_of(text: Column) -> Column:
-    """A topic by form, from shares of the whole text, for tables that have none: table, markup, numeric, shouted or prose."""
+    """A topic by form, from shares of the whole text, for tables that have none: table, markup, numeric, shouted or prose.
+
+    One pass leaves the characters that count; classes are spelled out, as the JVM looks single characters up in a table.
+    """
     text = F.coalesce(text, F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: F.length(F.translate(text, chars, "")) / size  # noqa: E731  what is left without them
-    return (
-        F.when(F.length(text) == 0, "prose")
-        .when(share("|") < 0.97, "table")
-        .when(share("#$%&*") < 0.9, "markup")
-        .when(share("0123456789") < 0.98, "numeric")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") < 0.7, "shouted")
-        .otherwise("prose")
-    )
+    left = F.regexp_replace(text, f"[^{''.join(FORMS.values())}]++", "")
+    held = F.struct(F.length(text).alias("size"), left.alias("left"), F.length(left).alias("n"))
+
+    def named(x: Column) -> Column:
+        rest = lambda chars: 1 - (x["n"] - F.length(F.translate(x["left"], chars, ""))) / F.greatest(x["size"], F.lit(1))
+        return (
+            F.when(x["n"] == 0, "prose")
+            .when(rest(FORMS["table"]) < 0.97, "table")
+            .when(rest(FORMS["markup"]) < 0.9, "markup")
+            .when(rest(FORMS["numeric"]) < 0.98, "numeric")
+            .when(rest(FORMS["shouted"]) < 0.7, "shouted")
+            .otherwise("prose")
+        )
+
+    return let(held, named)
 
 
 def token_count(text: Column) -> Column:
     """Words of a text, as a measure of its tokens."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\x0b\\f\\r]++")), F.lit(0)).cast("long")
 
 
 def cells_of(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -71,7 +86,7 @@ def full_targets(present: dict[str, float], wanted: dict[str, float] | float) ->
 
 
 def rake(cells: list[tuple], targets: list[dict[str, float]], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
-    """Weights of ``cells`` (labels..., tokens), adding up to 1, whose marginals are ``targets``."""
+    """Weights of ``cells`` (labels..., tokens), adding up to 1, whose marginals are ``targets``, as far as ``steps`` steps bring them."""
     total = sum(c[-1] for c in cells) or 1.0
     weight = [c[-1] / total for c in cells]
     for _ in range(steps):
@@ -83,7 +98,9 @@ def rake(cells: list[tuple], targets: list[dict[str, float]], steps: int = STEPS
             off = max(off, *(abs(s - target[k]) for k, s in sums.items()), 0.0)
             weight = [w * target[c[d]] / sums[c[d]] if sums[c[d]] else 0.0 for c, w in zip(cells, weight, strict=True)]
         if off <= tolerance:
-            break
+            return weight
+    if cells:
+        log.warning("marginals are %.2g off after %d steps of raking", off, steps)
     return weight
 
 
@@ -113,7 +130,8 @@ def rake_frames(cells: DataFrame, targets: Targets, steps: int = STEPS, toleranc
             scaled = now.join(sums.hint("merge"), d).withColumn("weight", F.when(F.col("sum") > 0, F.col("weight") * F.col("goal") / F.col("sum")).otherwise(0.0))
             now = materialize(scaled.select(*now.columns), "cells")
         if off <= tolerance:
-            break
+            return now
+    log.warning("marginals are %.2g off after %d steps of raking", off, steps)
     return now
 
 
@@ -174,9 +192,9 @@ def calibrate(docs: DataFrame, targets: Targets, budget: float, driver_cells: in
     return raked.withColumns({"probability": probability, "shortfall": shortfall}), len(few) <= driver_cells
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the id (or without one on the text) and the seed only."""
+    return F.pmod(F.coalesce(F.when(doc_id.isNotNull(), F.xxhash64(doc_id, F.lit(seed))), F.xxhash64(text, F.lit(seed))), F.lit(1 << 40)) / float(1 << 40)
 
 
 def mix(docs: DataFrame, targets: Targets, budget: float, seed: str = SEED, driver_cells: int = DRIVER_CELLS) -> DataFrame:
@@ -193,6 +211,6 @@ def mix(docs: DataFrame, targets: Targets, budget: float, seed: str = SEED, driv
     found, few = calibrate(slim, targets, budget, driver_cells)
     found = found.select(*[F.col(d).alias(k) for d, k in keys.items()], F.col("probability").alias(chance))
     found = F.broadcast(found) if few else materialize(found, "probabilities").hint("merge")
-    kept = ready.join(found, list(keys.values())).where(uniform(F.col("doc_id"), seed) < F.col(chance))
+    kept = ready.join(found, list(keys.values())).where(uniform(F.col("doc_id"), F.col("text"), seed) < F.col(chance))
     added = {"n_tokens": F.col(tokens), "topic": F.col(topic), "probability": F.col(chance)}
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in added.items() if k.lower() not in {c.lower() for c in docs.columns}])

@@ -297,6 +297,37 @@ def test_mixture_with_a_rare_label(spark, driver_cells):
     assert 0.45 < kept.count() / len(rows) < 0.55 and kept.where("source = 'rare'").count() == 1
 
 
+def test_rows_without_ids_are_drawn_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"w {k} " * 30, "a", "en") for k in range(400)] * 2, "doc_id long, text string, source string, lang string")
+    kept = mixing.mix(docs, {"source": 0.5, "lang": 1.0}, 0.5)
+    counts = collections.Counter(r["text"] for r in kept.collect())
+    assert set(counts.values()) == {2} and 120 < len(counts) < 280
+
+
+def test_sampling_follows_the_formula(spark):
+    """What is kept is what hashes below a cell's probability, worked out here from the cells alone."""
+    rows = [(k, "w " * (1 + k % 7), "abc"[k % 3 if k % 5 else 0], "en" if k % 4 else "fr", "t") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    targets, budget = {"source": {"a": 0.2, "b": 0.4, "c": 0.4}, "lang": {"fr": 0.5, "en": 0.5}, "topic": 1.0}, 0.3
+    tokens = collections.Counter()
+    for _, t, *cell in rows:
+        tokens[tuple(cell)] += len(t.split())
+    total = sum(tokens.values())
+    weight = {c: n / total for c, n in tokens.items()}
+    for _ in range(200):
+        for d, goal in ((0, targets["source"]), (1, targets["lang"])):
+            sums = collections.Counter()
+            for c, w in weight.items():
+                sums[c[d]] += w
+            weight = {c: w * goal[c[d]] / sums[c[d]] for c, w in weight.items()}
+    chance = {c: w * budget * total / tokens[c] for c, w in weight.items()}
+    assert max(chance.values()) < 1
+    draws = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), F.col("text")).alias("u")).collect()}
+    unsure = [k for k, _, *c in rows if abs(draws[k] - chance[tuple(c)]) < 1e-5]
+    want = {k for k, _, *c in rows if draws[k] < chance[tuple(c)]} - set(unsure)
+    assert {r["doc_id"] for r in mixing.mix(docs, targets, budget).collect()} - set(unsure) == want and len(unsure) < 3
+
+
 def test_topics_are_shares_of_the_whole_text(spark):
     texts = [("prose " * 60 + "12 34", "prose"), ("1234 5678 " * 20 + "words", "numeric"), ("A B C D E F NASA " + "lower case words " * 50, "prose"), ("LOUD WORDS ONLY " * 5, "shouted"), ("|a|b|c|d|e|f|", "table"), ("|a|b|c|d|e|f|" + "long prose follows " * 60, "prose"), ("### x $$$ y %%%", "markup"), (None, "prose"), ("", "prose")]
     found = spark.createDataFrame(texts, "text string, want string").select("want", mixing.topic_of(F.col("text")).alias("topic")).collect()
