@@ -1,12 +1,13 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 ``fit`` counts n-grams of a bounded sample of labelled rows (``per_language`` documents of each language at most, on average,
-chosen by hash) on the executors, and gives the driver one count vector for each language and counting task; ``predict``
+chosen by hash) on the executors, and gives the driver one count vector for each language; ``predict``
 broadcasts the matrix of log-probabilities and scores batches in numpy: an index gather and one sum for each document.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a model without languages says ``und`` for
 all; rows with a null label or text are not learned from; ties go to the language that sorts first; each row gives a row;
-further columns can be kept by name.
+further columns can be kept by name, but for those that have the name of a new one, which raise an error. Rows without an id are
+learned from or not together.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import arrow_map
-from .shared import batches
+from .shared import batches, refuse_clashes
 
 ORDERS = (2, 3)
 BITS = 15
 #: Documents of each language that a model learns from, about; their whole texts are read.
 PER_LANGUAGE = 3000
-#: Labels that a model can have.
+#: Labels that a model can have; beyond that the most frequent ones.
 MOST_LANGUAGES = 512
 FIT_TASKS = 8
 UNKNOWN = "und"
@@ -80,30 +81,43 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners), count
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.1) -> Model:
-    """Learn from ``labelled(doc_id, text, lang)``: about ``per_language`` documents of each language, or all if they are fewer."""
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, smoothing: float = 0.1, most: int = MOST_LANGUAGES) -> Model:
+    """Learn from ``labelled(doc_id, text, lang)``: about ``per_language`` documents of each language, or all if they are fewer.
+
+    If there are more than ``most`` labels, the most frequent ones are learned (ties: those that sort first). Counts are summed by
+    language on the executors; the driver gets one vector for each language.
+    """
     rows = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((len(ORDERS) << BITS, 0), np.float32), np.zeros(0))
-    place = {x: k for k, x in enumerate(languages)}
     share = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, per_language / sizes[x]))])[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang").repartition(FIT_TASKS)
     buckets = len(ORDERS) << BITS
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), buckets), np.int64)
+        total: dict[str, np.ndarray] = {}
         for batch in batches(stream, 2 << 20):
-            lang = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
-            found, owner, _ = gram_buckets(batch.column(0).to_pylist())
-            total += np.bincount(lang[owner] * buckets + found, minlength=total.size).reshape(total.shape) if len(found) else 0
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
-
-    parts = arrow_map(chosen, count, "counts binary").collect()  # FIT_TASKS vectors for each language
-    total = sum(np.frombuffer(r["counts"], np.int64).reshape(len(languages), buckets) for r in parts) + smoothing
+            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
+            found, owner, _ = gram_buckets(texts)
+            for lang in set(langs.tolist()):
+                total[lang] = total.get(lang, 0) + np.bincount(found[(langs == lang)[owner]], minlength=buckets)
+        yield vectors(total)
+
+    def summed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in stream:
+            for lang, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[lang] = total.get(lang, 0) + np.frombuffer(counts, np.int64)
+        yield vectors(total)
+
+    def vectors(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.astype(np.int64).tobytes() for x in total.values()], pa.binary())], ["lang", "counts"])
+
+    parts = arrow_map(chosen, count, "lang string, counts binary")
+    learned = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in arrow_map(parts.repartition("lang"), summed, "lang string, counts binary").collect()}
+    total = np.stack([learned.get(x, np.zeros(buckets, np.int64)) for x in languages]) + smoothing
     weights = np.concatenate([np.log(x / x.sum(1, keepdims=True)) for x in np.split(total, len(ORDERS), axis=1)], axis=1)
     documents = np.array([sizes[x] for x in languages], float)
     return Model(languages, np.ascontiguousarray(weights.T, dtype=np.float32), np.log(documents / documents.sum()))
@@ -129,6 +143,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, names: tuple[str, str] =
     """(kept columns, lang_pred, score) of each row of ``docs(text, ...)``; ``names`` gives the new columns other names."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of MOST_LANGUAGES x buckets at most
     kept = docs.select(*keep)
+    refuse_clashes(kept, *names)
 
     def compute(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, 2 << 20):

@@ -8,7 +8,7 @@ stand, and never suppressed.
 Words and phrases are found on the UTF-8 bytes of a batch, which is scanned as a whole; only texts that hold a keyword are looked at one by one.
 
 Defined results: a null text is an empty one; a text without words has n_words 0 and no places; each row gives a row, repeated
-rows too; an empty table gives no rows; further columns can be kept by name.
+rows too; an empty table gives no rows; further columns can be kept by name, but for those that have the name of a new one, which raise an error.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import arrow_map
-from .shared import batches
+from .shared import batches, refuse_clashes
 
 #: Fixed values of the contract: a phrase's words and its label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -230,8 +230,8 @@ def scan_batch(column: pa.Array) -> tuple[np.ndarray, list[list[tuple[str, int]]
             if starts[a] and b <= bounds[k + 1] and (b == bounds[k + 1] or not word[b]):
                 places[k].append((label, int(before[a] - before[bounds[k]])))
             m = pattern.search(whole, a + 1)
-    gated = {of(m.start()) for m in GATES.finditer(whole)}
-    detections = [detect(whole[bounds[k] : bounds[k + 1]].decode()) if k in gated else [] for k in range(len(texts))]
+    gated = [GATES.search(whole, bounds[k], bounds[k + 1]) for k in range(len(texts))]  # each text by itself: a match may not reach into the next
+    detections = [detect(whole[bounds[k] : bounds[k + 1]].decode()) if gated[k] else [] for k in range(len(texts))]
     return n_words, places, detections
 
 
@@ -239,8 +239,12 @@ RESULT = "n_words long, places array<struct<label: string, word: long>>, detecti
 
 
 def scan_licenses(docs: DataFrame, *keep: str) -> DataFrame:
-    """(kept columns, ``RESULT``) of each row of ``docs(text, ...)``; detections are in code points of the text."""
+    """(kept columns, ``RESULT``) of each row of ``docs(text, ...)``; detections are in code points of the text.
+
+    A kept column that has the name of a new one is refused.
+    """
     kept = docs.select(*keep)
+    refuse_clashes(kept, "n_words", "places", "detections")
     types = [
         pa.int64(),
         pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())])),

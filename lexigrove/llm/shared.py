@@ -105,6 +105,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def refuse_clashes(kept: DataFrame, *new: str) -> None:
+    """Raise an error where a column that is to be kept has the name of a new one."""
+    both = {c.lower() for c in kept.columns} & {c.lower() for c in new}
+    if both:
+        raise ValueError(f"columns to keep have the names of new ones: {', '.join(sorted(both))}")
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -260,6 +260,17 @@ def test_licenses_with_line_breaks(monkeypatch):
     assert gated == [licenses.detect(licenses.LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes().decode()) for t in texts]
 
 
+def test_a_gate_does_not_reach_into_the_next_text():
+    texts = ["in general", "public domain: released into the public domain", "the mit", "license is mine, all rights", "reserved"]
+    assert [[d[2] for d in x] for x in licenses.scan_batch(pa.array(texts))[2]] == [[], ["public-domain"], [], [], []]
+
+
+def test_kept_columns_may_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, N_words int")
+    with pytest.raises(ValueError, match="n_words"):
+        licenses.scan_licenses(docs, "doc_id", "N_words")
+
+
 def test_scan_licenses(spark):
     docs = spark.createDataFrame([(k, t, "a") for k, t in enumerate(LICENSED)], "doc_id long, text string, places string")
     assert licenses.scan_licenses(docs, "doc_id").count() == len(LICENSED)
@@ -280,6 +291,8 @@ def test_language(spark):
     assert sum(r["pred"] == r["lang"] for r in held) / len(held) > 0.98
     assert {r["doc_id"]: (r["pred"], r["s"]) for r in out if r["doc_id"] in (900, 901, 902)} == {k: ("und", 0.0) for k in (900, 901, 902)}
     assert all(0 <= r["s"] <= 1 for r in out) and {r["pred"] for r in out if r["doc_id"] is None} == {"bb"}
+    two = langid.fit(docs, most=2)
+    assert two.languages == sorted(x for x, _ in sorted(Counter(r[2] for r in [*rows, (0, 0, "aa"), (0, 0, "bb")] if r[2]).items(), key=lambda x: (-x[1], x[0]))[:2])
     none = langid.fit(docs.limit(0))
     assert {r["lang_pred"] for r in langid.predict(docs, none, "doc_id").collect()} == {"und"}
     assert hashlib  # the module's digests are checked where they are made
