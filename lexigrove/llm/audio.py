@@ -2,26 +2,33 @@
 
 ``encode_audio`` builds a WAV file (one channel, 8-bit samples) of each text's UTF-8 bytes with JVM expressions;
 ``audio_features`` reads such files, resamples them by a polyphase filter, takes overlapped log-mel filterbanks and splits
-the signal by energy with hysteresis. Tensors have one fixed shape, ``FRAMES`` x ``BANDS``, each with its time span;
-``tensor_array`` gives them Arrow's fixed-shape tensor type. Many recordings are computed at once, parted by silence
-longer than the filter, so that none touches another.
+the signal by energy with hysteresis. Tensors have one fixed shape, ``FRAMES`` x ``BANDS``, each with its time span.
+``store_features`` writes them as Arrow files, in Arrow's fixed-shape tensor type, and ``read_features`` reads these back.
+Many recordings are computed at once, parted by silence longer than the filter, so that none touches another. Taps are whole
+multiples of a power of two, so filtered samples are exact, and log values are whole multiples of ``QUANTUM`` before they are
+compared or summed: equal recordings have equal features, whatever they are computed with.
+
+A task writes a file under a name of its own and moves it into place when it is whole; the manifest names the files of the tasks
+that counted, so what a lost executor or a second attempt leaves is never read.
 
 Defined results: a null text is an empty one; an empty text is 64 bytes of 0; each row gives a row, repeated rows too;
-an empty table gives no rows; further columns can be kept by name.
+an empty table gives no rows; further columns can be kept by name, but for those that have the name of a new one, which raise an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import arrow_map
-from .shared import batches
+from .shared import batches, materialize, refuse_clashes
 
 UNIT = 64
 HEADER = 44
@@ -31,10 +38,15 @@ UP, DOWN = 1, 2
 TAPS = 32
 SIZE, HOP = 128, 64  # samples of a frame and between frames, after resampling
 BANDS, FRAMES = 16, 16
+#: A task reads so many bytes of stored features, if there are more of them than cores.
+READ_BYTES = 128 << 20
 #: A segment begins where energy is so many dB over the recording's mean, and ends where it is so many below.
 ON_DB, OFF_DB = 0.5, -0.5
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS))
+#: Log values are rounded to multiples of it.
+QUANTUM = 1e-4
+
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (FRAMES, BANDS), dim_names=("frame", "band"))
 FEATURES = (
     "n_frames long, mean_db double, band_means array<double>, "
     "tensors array<struct<start_ms: double, end_ms: double, values: array<float>>>, segments array<struct<start_ms: double, end_ms: double>>"
@@ -50,6 +62,7 @@ def _le32(n: Column) -> Column:
 def encode_audio(docs: DataFrame, *keep: str) -> DataFrame:
     """(kept columns, n_bytes, media): each text's UTF-8 bytes, with zeros up to a positive multiple of ``UNIT``, as a WAV file."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    refuse_clashes(docs.select(*keep), "raw", "n_bytes", "media")
     size = F.octet_length("raw").cast("long")
     full = F.greatest(F.ceil(size / UNIT), F.lit(1)) * UNIT
     head = (F.lit(b"RIFF"), _le32(full + HEADER - 8), F.lit(b"WAVEfmt " + bytes([16, 0, 0, 0, 1, 0, 1, 0]) + 2 * RATE.to_bytes(4, "little") + bytes([1, 0, 8, 0]) + b"data"), _le32(full))
@@ -83,7 +96,7 @@ def polyphase(up: int = UP, down: int = DOWN, taps: int = TAPS, block: int = 64)
     """
     cutoff, half = min(1 / up, 1 / down), up * taps // 2
     k = np.arange(-half, half + 1)
-    filt = np.sinc(k * cutoff) * cutoff * np.hamming(len(k)) * up
+    filt = np.round(np.sinc(k * cutoff) * cutoff * np.hamming(len(k)) * up * 2**20) / 2**20
     matrix = np.zeros((taps + block * down, block * up))
     for n in range(block * up):
         centre = n * down / up + taps / 2
@@ -122,7 +135,7 @@ def hysteresis(energy: np.ndarray, first: np.ndarray, on: np.ndarray, off: np.nd
 
 
 def log_mel(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-mel frames, their energy in dB, number of frames of each recording) of 8-bit recordings, all at once."""
+    """(log-mel frames, their energy in dB, both in multiples of ``QUANTUM``; number of frames of each recording) of 8-bit recordings, all at once."""
     step = HOP * DOWN // UP
     frames = np.array([-(-len(x) // step) for x in recordings])
     # silence after each: at least the filter's length and a frame's overlap
@@ -135,12 +148,13 @@ def log_mel(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((low, np.zeros(SIZE))), SIZE)[::HOP]
     which = np.concatenate([np.arange(n) + at // step for n, at in zip(frames.tolist(), starts.tolist(), strict=False)])
     power = np.abs(np.fft.rfft(windows[which] * np.hanning(SIZE), axis=1)) ** 2
-    return np.log10(power @ mel_filters() + 1e-6), 10 * np.log10(power.mean(1) + 1e-6), frames
+    quantized = lambda x: np.rint(x / QUANTUM).astype(np.int64)
+    return quantized(np.log10(power @ mel_filters() + 1e-6)), quantized(10 * np.log10(power.mean(1) + 1e-6)), frames
 
 
 def tensor_array(values: np.ndarray) -> pa.Array:
     """Tensors of ``FRAMES`` x ``BANDS`` values as Arrow's fixed-shape tensors."""
-    flat = pa.array(np.ascontiguousarray(values, np.float32).ravel())
+    flat = pa.array(np.ascontiguousarray(values, np.float16).ravel())
     return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, FRAMES * BANDS))
 
 
@@ -149,50 +163,116 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
 
 
 def features(recordings: list[np.ndarray]) -> list[pa.Array]:
-    """The columns of ``FEATURES`` for 8-bit recordings."""
+    """The columns of ``STORED`` for 8-bit recordings."""
     mel, energy, frames = log_mel(recordings)
     owner = np.repeat(np.arange(len(frames)), frames)
     at = np.concatenate(([0], np.cumsum(frames)[:-1]))
     nth = np.arange(len(owner)) - at[owner]
-    mean = np.add.reduceat(energy, at) / frames
-    bands = np.add.reduceat(mel, at) / frames[:, None]
+    total = np.add.reduceat(energy, at)
+    bands = np.add.reduceat(mel, at) * QUANTUM / frames[:, None]
     step_ms = 1000 * HOP * DOWN / UP / RATE
     # tensors: frames in rows of FRAMES, the last one of a recording filled with its floor
     counts = -(-frames // FRAMES)
     base = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    tensors = np.full((counts.sum() * FRAMES, BANDS), -6.0, np.float32)
-    tensors[base[owner] * FRAMES + nth] = mel
-    stored = tensor_array(tensors.reshape(-1, FRAMES, BANDS)).storage
+    tensors = np.full((counts.sum() * FRAMES, BANDS), -6.0, np.float16)
+    tensors[base[owner] * FRAMES + nth] = mel * QUANTUM
     t_owner = np.repeat(np.arange(len(counts)), counts)
     t_nth = np.arange(len(t_owner)) - base[t_owner]
     ends = np.minimum((t_nth + 1) * FRAMES, frames[t_owner])
-    spans = pa.StructArray.from_arrays(
-        [pa.array(t_nth * FRAMES * step_ms), pa.array(ends * step_ms), _lists(np.full(len(t_owner), FRAMES * BANDS), stored.flatten())],
-        fields=[pa.field("start_ms", pa.float64()), pa.field("end_ms", pa.float64()), pa.field("values", pa.list_(pa.float32()))],
-    )
-    active = hysteresis(energy, nth == 0, (mean + ON_DB)[owner], (mean + OFF_DB)[owner])
+    spans = pa.StructArray.from_arrays([pa.array(t_nth * FRAMES * step_ms), pa.array(ends * step_ms), tensor_array(tensors.reshape(-1, FRAMES, BANDS))], names=["start_ms", "end_ms", "values"])
+    # energy against the mean and so many dB: both times the number of frames, in whole numbers
+    over = energy * frames[owner] - total[owner]
+    active = hysteresis(over, nth == 0, np.rint(ON_DB / QUANTUM).astype(np.int64) * frames[owner], np.rint(OFF_DB / QUANTUM).astype(np.int64) * frames[owner])
     begin = active & ((nth == 0) | ~np.concatenate(([False], active[:-1])))
     stop = active & (np.concatenate((nth[1:] == 0, [True])) | ~np.concatenate((active[1:], [False])))
     segments = pa.StructArray.from_arrays([pa.array(nth[begin] * step_ms), pa.array((nth[stop] + 1) * step_ms)], names=["start_ms", "end_ms"])
     return [
         pa.array(frames),
-        pa.array(mean),
+        pa.array(total * QUANTUM / frames),
         _lists(np.full(len(frames), BANDS), pa.array(bands.ravel())),
         _lists(counts, spans),
         _lists(np.bincount(owner[begin], minlength=len(frames)), segments),
     ]
 
 
+NAMES = ("n_frames", "mean_db", "band_means", "tensors", "segments")
+MANIFEST = "path string, rows long, bytes long"
+
+
+def plain(tensors: pa.Array) -> pa.Array:
+    """A column of lists of spans with tensors, with the tensors as lists of numbers."""
+    spans = tensors.flatten()
+    held = spans.field(2)
+    if held.type != TENSOR:
+        raise ValueError(f"not tensors of {FRAMES} x {BANDS}")
+    values = held.storage.flatten().cast(pa.float32())
+    lists = _lists(np.full(len(spans), FRAMES * BANDS), values)
+    fields = [pa.field("start_ms", pa.float64()), pa.field("end_ms", pa.float64()), pa.field("values", pa.list_(pa.float32()))]
+    return _lists(tensors.value_lengths().to_numpy(), pa.StructArray.from_arrays([spans.field(0), spans.field(1), lists], fields=fields))
+
+
+def _computed(stream: Iterator[pa.RecordBatch], keep: int) -> Iterator[list[pa.Array]]:
+    for batch in batches(stream, 2 << 20):
+        if batch.num_rows:
+            yield [*batch.columns[:keep], *features([samples(x.as_py()) for x in batch.column(keep)])]
+
+
+def _schema(kept: DataFrame) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), FEATURES])
+
+
 def audio_features(media: DataFrame, *keep: str) -> DataFrame:
     """(kept columns, ``FEATURES``) of ``media(media binary, ...)``: one row for each recording."""
     kept = media.select(*keep)
+    refuse_clashes(kept, *NAMES)
 
     def compute(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keep, "n_frames", "mean_db", "band_means", "tensors", "segments"]
-        for batch in batches(stream, 2 << 20):
-            if batch.num_rows:
-                recordings = [samples(x.as_py()) for x in batch.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *features(recordings)], names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return arrow_map(media.select(*keep, "media"), compute, f"{schema}, {FEATURES}")
+        for columns in _computed(stream, len(keep)):
+            columns[len(keep) + 3] = plain(columns[len(keep) + 3])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *NAMES])
+
+    return arrow_map(media.select(*keep, "media"), compute, _schema(kept))
+
+
+def store_features(media: DataFrame, folder: str, *keep: str) -> DataFrame:
+    """Write (kept columns, features) of ``media`` as Arrow files below ``folder``, a URI that all executors share; the files, as ``MANIFEST``."""
+    refuse_clashes(media.select(*keep), *NAMES)
+
+    def write(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = pafs.FileSystem.from_uri(folder)
+        where.create_dir(root, recursive=True)
+        path, out, rows = f"{root}/{uuid.uuid4().hex}.arrow", None, 0
+        for columns in _computed(stream, len(keep)):
+            batch = pa.RecordBatch.from_arrays(columns, [*keep, *NAMES])
+            if out is None:
+                sink = where.open_output_stream(path + ".part", compression=None)
+                out = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            out.write_batch(batch)
+            rows += batch.num_rows
+        done = []
+        if out:
+            out.close()
+            size = sink.tell()
+            sink.close()
+            where.move(path + ".part", path)
+            done = [{"path": path, "rows": rows, "bytes": size}]
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64())]))
+
+    return materialize(arrow_map(media.select(*keep, "media"), write, MANIFEST), "manifest")
+
+
+def read_features(manifest: DataFrame, folder: str, kept: DataFrame) -> DataFrame:
+    """The rows of the files that ``manifest`` names: the columns of ``kept``, and ``FEATURES``."""
+
+    def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = pafs.FileSystem.from_uri(folder)
+        for paths in stream:
+            for path in paths.column(0).to_pylist():
+                with where.open_input_stream(path, compression=None) as source:
+                    for batch in pa.ipc.open_stream(source):
+                        columns = [plain(c) if n == "tensors" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    total = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = min(total[0], max(2 * manifest.sparkSession.sparkContext.defaultParallelism, -(-(total[1] or 0) // READ_BYTES)))
+    return arrow_map(manifest.select("path").repartition(max(1, tasks)), read, _schema(kept))

@@ -36,7 +36,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import audio
-    from .shared import materialize
+    from .shared import materialize, scratch_path
 
     stored = materialize(audio.encode_audio(table(spark, sf_dir, "documents"), "doc_id"), "media", compression="zstd")
     body = audio.payload(F.col("media"))
@@ -47,12 +47,14 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes": F.octet_length("media").cast("long"),
         "media_sha256": F.sha2("media", 256),
     }
-    found = audio.audio_features(stored.withColumns(digests), "doc_id", "n_bytes", *digests)
+    media, folder = stored.withColumns(digests), scratch_path(spark, "tensors")
+    manifest = audio.store_features(media, folder, "doc_id", "n_bytes", *digests)
+    found = audio.read_features(manifest, folder, media.select("doc_id", "n_bytes", *digests))
     first = F.coalesce(F.get("segments", F.lit(0))["start_ms"], F.lit(-1.0))
     feature = F.concat_ws(
         ";",
         F.concat(F.lit("frames="), F.col("n_frames")),
-        F.concat(F.lit("tensors="), F.size("tensors")),
+        F.concat(F.lit("tensors="), F.size("tensors"), F.lit(":"), F.hex(F.xxhash64("tensors"))),
         F.concat(F.lit("segments="), F.size("segments")),
         F.concat(F.lit("first_ms="), F.format_number(first, 1)),
         F.concat(F.lit("db="), F.format_number("mean_db", 3)),

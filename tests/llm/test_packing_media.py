@@ -128,11 +128,67 @@ def test_audio_features(docs):
     assert twice[0]["tensors"] == twice[1]["tensors"]
 
 
-def test_recordings_do_not_touch():
+def test_equal_recordings_have_equal_features_whatever_is_beside_them():
     rng = np.random.default_rng(1)
-    a, b = (rng.integers(0, 256, n).astype(np.uint8) for n in (640, 1280))
-    alone, together = audio.log_mel([b]), audio.log_mel([a, b, a])
-    assert np.allclose(alone[0], together[0][together[2][0] : together[2][0] + together[2][1]])
+    recordings = [rng.integers(0, 256, int(n)).astype(np.uint8) for n in rng.integers(1, 4000, 60)]
+
+    def of(xs):
+        columns = audio.features(xs)
+        columns[3] = audio.plain(columns[3])
+        return list(zip(*(c.to_pylist() for c in columns), strict=True))
+
+    alone = [of([x])[0] for x in recordings]
+    assert of(recordings) == alone and of(recordings[::-1])[::-1] == alone
+
+
+def test_log_mel_against_the_formula():
+    """Direct convolution, a plain DFT and loops over bands give the same frames, energies and segments."""
+    rng = np.random.default_rng(3)
+    data = (128 + 60 * np.sin(np.arange(3000) * 0.2) * (np.arange(3000) % 1500 < 700) + rng.integers(-20, 20, 3000)).astype(np.uint8)
+    mel, energy, frames = audio.log_mel([data])
+    x = (data.astype(float) - 128) / 128
+    half = audio.UP * audio.TAPS // 2
+    k = np.arange(-half, half + 1)
+    taps = np.sinc(k / 2) / 2 * np.hamming(len(k))
+    wide = np.concatenate([np.zeros(half), x, np.zeros(2000)])
+    low = np.array([sum(taps[j] * wide[2 * n + j] for j in range(len(k))) for n in range(-(-len(x) // 2) + 200)])
+    assert frames.tolist() == [-(-len(x) // 128)]
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * np.log10(1 + 4000 / 700)
+    edges = [hz(top * b / 17) for b in range(18)]
+    for n in range(frames[0]):
+        piece = low[64 * n : 64 * n + 128] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(128) / 127))
+        power = np.array([abs(sum(piece * np.exp(-2j * np.pi * f * np.arange(128) / 128))) ** 2 for f in range(65)])
+        assert energy[n] * audio.QUANTUM == pytest.approx(10 * np.log10(power.mean() + 1e-6), abs=0.02)
+        for b in range(16):
+            weights = [max(0, min((f * 62.5 - edges[b]) / (edges[b + 1] - edges[b]), (edges[b + 2] - f * 62.5) / (edges[b + 2] - edges[b + 1]))) for f in range(65)]
+            assert mel[n, b] * audio.QUANTUM == pytest.approx(np.log10(power @ weights + 1e-6), abs=0.02)
+    level = energy * audio.QUANTUM
+    want, on = [], False
+    for n, e in enumerate(level):
+        now = e >= level.mean() + 0.5 or (on and e >= level.mean() - 0.5)
+        if now and not on:
+            want.append([8.0 * n, 0])
+        if now:
+            want[-1][1] = 8.0 * (n + 1)
+        on = now
+    assert [[s["start_ms"], s["end_ms"]] for s in audio.features([data])[4][0].as_py()] == want and len(want) > 1
+
+
+def test_tensors_are_stored(spark, docs, tmp_path):
+    """Files hold Arrow's fixed-shape tensors with spans; what is read back is what was computed."""
+    media = audio.encode_audio(docs, "doc_id", "lang")
+    folder = f"file://{tmp_path}/tensors"
+    manifest = audio.store_features(media, folder, "doc_id", "lang")
+    files = sorted((tmp_path / "tensors").glob("*"))
+    assert files and {str(f) for f in files} == {r["path"] for r in manifest.collect()} and all(f.suffix == ".arrow" for f in files)
+    schema = pa.ipc.open_stream(files[0].read_bytes()).schema
+    assert schema.field("tensors").type.value_type.field("values").type == audio.TENSOR
+    back = audio.read_features(manifest, folder, media.select("doc_id", "lang"))
+    key = lambda r: repr(r)
+    assert sorted(back.collect(), key=key) == sorted(audio.audio_features(media, "doc_id", "lang").collect(), key=key)
+    with pytest.raises(ValueError, match="media"):
+        audio.encode_audio(docs.withColumn("Media", F.lit(1)), "doc_id", "Media")
 
 
 def test_resampling_is_a_filter():
