@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -29,7 +32,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
+
+    def run(stream):
+        yield from function(stream)
+        release()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
