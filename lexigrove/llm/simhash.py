@@ -40,6 +40,8 @@ DISTANCE = 3
 BUCKET = 1024
 #: Node pairs with at most so many pairs of leaves are compared leaf by leaf.
 LEAVES = 64
+#: Candidate pairs that are held at a time.
+CANDIDATES = 250_000
 LANE = 60_000  # shingles that 16-bit lanes can count
 
 #: Documents with this similarity of their sets of five-word shingles are near copies.
@@ -49,7 +51,7 @@ LONG, TRIE_BITS, NEAR_BITS = 4, 20, 72
 #: Fingerprints of a bucket on average, and the chance to miss a pair that differs in ``DIFFER`` of its bits.
 FILL, MISSED, DIFFER = 1024, 0.01, 0.17
 #: Documents and shingles of a chunk of a group.
-CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+CHUNK, CHUNK_SHINGLES = 512, 1 << 18
 
 
 def _lanes() -> np.ndarray:
@@ -95,7 +97,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     """(doc_id, fingerprint long) for each row of ``docs(doc_id, text)``."""
 
     def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, 4 << 20):
+        for batch in batches(stream, 1 << 20):
             found, sizes = [], []
             for text in batch.column(1).to_pylist():
                 new = shingle_hashes(text or "", words, seed)
@@ -146,7 +148,7 @@ def trie_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray, distance:
 def _leaf_pairs(keys: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The matching leaf pairs of small node pairs, a bounded number of candidates at a time."""
     width, total = b1 - b0, (a1 - a0) * (b1 - b0)
-    for part in np.split(np.arange(len(total)), np.flatnonzero(np.diff(np.cumsum(total) // 2_000_000)) + 1):
+    for part in np.split(np.arange(len(total)), np.flatnonzero(np.diff(np.cumsum(total) // CANDIDATES)) + 1):
         which = np.repeat(part, total[part])
         nth = np.arange(len(which)) - np.repeat(np.cumsum(total[part]) - total[part], total[part])
         i, j = a0[which] + nth // width[which], b0[which] + nth % width[which]
@@ -270,7 +272,7 @@ def long_fingerprints(docs: DataFrame, words: int, seed: int = SEED) -> DataFram
     def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches(stream, 4 << 20):
+        for batch in batches(stream, 1 << 20):
             sets, classes = [], []
             for text in batch.column(2).to_pylist():
                 found = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -374,7 +376,7 @@ def shingle_sets(docs: DataFrame, words: int, seed: int = SEED) -> DataFrame:
     """``docs(doc_id, text_hash, text)`` as (doc_id, text_hash, size, hashes): its different shingles, eight bytes each."""
 
     def hash_texts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, 4 << 20):
+        for batch in batches(stream, 1 << 20):
             sets = [distinct_shingles((x or "").encode("utf-8", "surrogatepass").lower().split(), words, seed) for x in batch.column(2).to_pylist()]
             columns = [*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "size", "hashes"])
