@@ -1,12 +1,14 @@
 """Embedding near-dedup: NN-descent over blocked joins.
 
-Equal vectors meet first: one class each, with a count. Lists of the ``neighbours`` most similar classes start from tables of random
-hyperplanes (all pairs within a block of about ``BLOCK``; a larger one is compared chunk by chunk), then a round of NN-descent joins each class's neighbours
-with one another, through it, and keeps what improves a list. Blocks and joins also give reachability by links, as
-spanning forests. A list that holds a link may be saturated (a block offers a few neighbours only): it is enlarged to its
-whole component, whose pairs are counted chunk by chunk, so nothing is capped. ``audit`` compares link counts of a bounded set of classes with brute
-force; while recall is below ``RECALL``, further tables and rounds are added; after ``ROUNDS`` all
-pairs of classes are compared, chunk by chunk.
+Equal vectors meet first: one class each, with a count. Lists of the ``neighbours`` most similar classes, of cosine ``FLOOR`` or
+more (two links lead no farther), start from tables of random hyperplanes: all pairs within a block of about ``BLOCK``; a larger
+one is compared chunk by chunk. There are as many tables as it takes to bring together two vectors of just the threshold with a
+chance of ``1 - MISSED``. Then rounds of NN-descent refine the lists: through each class whose surroundings changed, its
+neighbours, and those it is a neighbour of, are compared with one another, and what improves a list is kept, until the entries that
+change are at most the share ``CONVERGED``. Blocks and joins also give reachability by links, as spanning forests. A list that
+holds a link may be saturated: it is enlarged to its whole component, whose pairs are counted chunk by chunk, so nothing is capped.
+``audit`` compares link counts of a bounded set of classes with brute force, at every size of table; while recall is below ``RECALL``, further tables
+are added and refined; after ``TURNS`` all pairs of classes are compared, chunk by chunk. Recall is logged.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different length
 do not link; rows with a null vec_id link with nothing and are not kept; repeated rows are linked copies; cosine is computed in double precision and compared with >=; each row
@@ -15,6 +17,7 @@ gives a row; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,19 +27,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import arrow_map
-from .shared import batches, components, local_components, materialize
+from .shared import batches, components, local_components, materialize, scratch_tables, task_groups
+
+log = logging.getLogger(__name__)
 
 THRESHOLD = 0.9
 NEIGHBOURS = 12
-TABLES = 6
-BLOCK = 1024
+#: Vectors of a block on average, and the chance that no table brings together two vectors of just the threshold.
+BLOCK, MISSED = 256, 0.05
+#: Similarity that a neighbour has at least: of two vectors that are linked to a third, 2 * threshold**2 - 1.
+FLOOR = 2 * THRESHOLD**2 - 1
+#: Share of list entries that may still change, and rounds of NN-descent at most before recall is audited.
+CONVERGED, ROUNDS = 0.01, 12
 #: Vectors of one chunk where a block or component is too large for one task.
-CHUNK = 1024
+CHUNK = 512
 #: New neighbours that one join offers to each of its members.
 OFFERS = 4
-AUDIT = 512
-RECALL = 0.95
-ROUNDS = 4
+#: Classes whose links are audited, the recall they must have, and how often tables are added before all pairs are compared.
+AUDIT, RECALL, TURNS = 2048, 0.95, 4
 
 EDGES = "a long, b long, sim double"  # sim 2: b is reachable from a by links, their own cosine is not given
 
@@ -55,6 +63,10 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
+def one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
 def is_valid(vector: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -86,7 +98,7 @@ def dealt(rows: DataFrame, key: str, chunk: int, most: int | None = None) -> Dat
     """``rows`` with a ``task``: the key, or where a key has more than ``most`` rows (``chunk``, if not given), each pair of its chunks."""
     sizes = rows.groupBy(key).count().where(F.col("count") > (most or chunk))
     hot = materialize(sizes.select(key, F.ceil(F.col("count") / chunk).cast("long").alias("chunks")), "hot")
-    spread = rows.join(hot, key, "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("rep", F.lit(key)), F.col("chunks")), F.lit(0).cast("long")))
+    spread = rows.join(hot, key, "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("rep", F.col(key), F.lit("chunk")), F.col("chunks")), F.lit(0).cast("long")))
     others = F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)
     spread = spread.withColumn("other", F.explode(others))
     return spread.withColumn("task", F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")))
@@ -94,24 +106,7 @@ def dealt(rows: DataFrame, key: str, chunk: int, most: int | None = None) -> Dat
 
 def block_tasks(classes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
     """(task, rep, worst, embedding): tasks in which all pairs of each block meet, also of a block too large for one task."""
-    return dealt(materialize(block_keys(classes, tables, bits, seed), "blocks"), "block", CHUNK, most=2 * CHUNK).withColumn("worst", F.lit(-2.0))
-
-
-def _groups(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each task of a partition that is sorted by ``task`` (its first column)."""
-    rest: pa.Table | None = None
-    for batch in stream:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-        task = table.column(0).to_numpy()
-        if not len(task):
-            continue
-        cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist()]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield table.slice(a, b - a)
-        rest = table.slice(cuts[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
+    return dealt(materialize(block_keys(classes, tables, bits, seed), "blocks"), "block", CHUNK, most=2 * CHUNK).withColumn("worst", F.lit(FLOOR))
 
 
 def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
@@ -150,11 +145,9 @@ def compare_tasks(rows: DataFrame, offers: int, threshold: float) -> DataFrame:
     """``compare`` for each task of ``rows(task, rep, worst, embedding)``, as ``EDGES``."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(stream):
+        for group in task_groups(stream):
             if group.num_rows > 1:
-                column = group.column(3).combine_chunks()
-                column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-                yield compare(group.column(1).to_numpy(), unit_rows(column), group.column(2).to_numpy(), offers, threshold)
+                yield compare(group.column(1).to_numpy(), unit_rows(one_chunk(group.column(3))), group.column(2).to_numpy(), offers, threshold)
 
     ready = rows.select("task", "rep", "worst", "embedding").repartition("task").sortWithinPartitions("task")
     return arrow_map(ready, run, EDGES)
@@ -167,25 +160,40 @@ def best_lists(edges: DataFrame, neighbours: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("a", "b", "sim", "rank")
 
 
-def join_neighbours(classes: DataFrame, lists: DataFrame, neighbours: int, threshold: float) -> DataFrame:
-    """One round of NN-descent: through each class, compare its neighbours, and those it is a neighbour of, with one another."""
+def join_neighbours(classes: DataFrame, lists: DataFrame, fresh: DataFrame, neighbours: int, threshold: float) -> DataFrame:
+    """One round of NN-descent: through each class that a ``fresh(a, b)`` entry touches, compare its neighbours, and those it is a neighbour of, with one another."""
+    centres = materialize(fresh.select(F.col("a").alias("task")).union(fresh.select(F.col("b").alias("task"))).distinct(), "centres")
     reverse = best_lists(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), neighbours)
-    own = lists.groupBy("a").agg(F.when(F.count("*") >= neighbours, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+    own = lists.groupBy("a").agg(F.when(F.count("*") >= neighbours, F.min("sim")).otherwise(F.lit(FLOOR)).alias("worst"))
     members = lists.select(F.col("a").alias("task"), F.col("b").alias("rep")).union(reverse.select(F.col("a").alias("task"), F.col("b").alias("rep")))
-    members = materialize(members.union(classes.select(F.col("rep").alias("task"), "rep")).distinct(), "members")
-    known = materialize(classes.join(own, classes.rep == own.a, "left").select("rep", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "embedding"), "known")
-    return compare_tasks(members.join(known.hint("merge"), "rep"), OFFERS, threshold)
+    members = members.join(centres.hint("merge"), "task", "left_semi").select("task", "rep").union(centres.select("task", F.col("task").alias("rep")))
+    members = materialize(members.distinct(), "members")
+    known = classes.join(own, classes.rep == own.a, "left").select("rep", F.coalesce("worst", F.lit(FLOOR)).alias("worst"), "embedding")
+    return compare_tasks(members.join(materialize(known, "known").hint("merge"), "rep"), OFFERS, threshold)
+
+
+def descend(classes: DataFrame, lists: DataFrame, forest: DataFrame, neighbours: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(lists, forest) after rounds of NN-descent, until hardly an entry changes; what improves no list goes at once."""
+    fresh = lists
+    for _ in range(ROUNDS):
+        new = materialize(join_neighbours(classes, lists, fresh, neighbours, threshold), "offers")
+        forest = forest.union(new.where("sim > 1.5").select("a", "b"))
+        before = lists
+        lists = materialize(best_lists(before.select("a", "b", "sim").union(new.where("sim <= 1.5")), neighbours), "lists")
+        fresh = materialize(lists.join(before.select("a", "b").hint("merge"), ["a", "b"], "left_anti").select("a", "b"), "fresh")
+        if fresh.count() <= CONVERGED * lists.count():
+            break
+    return lists, materialize(forest, "forest")
 
 
 def dense_links(members: DataFrame, threshold: float) -> DataFrame:
     """(rep, links): the copies linked to each of ``members(root, rep, copies, embedding)`` within its root's group, all pairs counted."""
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(stream):
+        for group in task_groups(stream):
             rep, copies, mine = (group.column(k).to_numpy() for k in (1, 2, 3))
             first, second = group.column(4).to_numpy()[0], group.column(5).to_numpy()[0]
-            column = group.column(6).combine_chunks()
-            rows = unit_rows(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+            rows = unit_rows(one_chunk(group.column(6)))
             found = np.zeros(len(rep), np.int64)
             sides = [(mine == first, mine == first)] if first == second else [(mine == first, mine == second), (mine == second, mine == first)]
             for left, right in sides:
@@ -200,10 +208,10 @@ def dense_links(members: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(ready, count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def link_graph(classes: DataFrame, edges: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+def link_graph(classes: DataFrame, forest: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     """(rep, copies, root, links) of each class: components of the links found, and each list with a link enlarged to its component."""
     strong = lists.where(F.col("sim") >= threshold).select("a", "b")
-    roots = components(edges.where("sim > 1.5").select("a", "b").union(strong))
+    roots = components(forest.union(strong))
     linked = materialize(classes.join(roots.hint("merge"), classes.rep == roots.node).select("rep", "copies", "root", "embedding"), "linked")
     links = materialize(dense_links(linked, threshold), "links")
     found = linked.select("rep", "root").join(links.hint("merge"), "rep")
@@ -242,39 +250,50 @@ def audit(classes: DataFrame, graph: DataFrame, threshold: float, queries: int =
     return sum(shares) / len(shares) if shares else 1.0
 
 
+def table_plan(total: int, threshold: float, block: int) -> tuple[int, int]:
+    """(bits, tables): so many hyperplanes that a block of unrelated vectors holds ``block`` on average, and so many tables that two vectors
+    of cosine ``threshold`` share no block with a chance of ``MISSED``."""
+    bits = max(0, min(40, math.ceil(math.log2(max(1, total) / block))))
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 1 if bits == 0 else math.ceil(math.log(MISSED) / math.log1p(-together))
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
     neighbours: int = NEIGHBOURS,
-    tables: int = TABLES,
+    tables: int | None = None,
     block: int = BLOCK,
     report: Callable[[int, float], None] | None = None,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors(vec_id, embedding)``.
 
-    Two vectors are linked if their cosine is ``threshold`` or more. ``report`` is told the recall after each round.
+    Two vectors are linked if their cosine is ``threshold`` or more. ``report`` is told the recall after each turn. ``tables``, if
+    given, replaces the number of ``table_plan``.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
     valid = rows.where(is_valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "embedding"), "classes")
-    total = classes.count()
-    bits = max(0, min(40, math.ceil(math.log2(max(1, total) / block))))
-    edges = None
-    for turn in range(ROUNDS + 1):
-        exact = turn == ROUNDS  # the rounds have not reached the recall: one block holds all
-        new = compare_tasks(block_tasks(classes, 1 if exact else tables, 0 if exact else bits, turn), OFFERS, threshold)
-        edges = materialize(new if edges is None else edges.union(new), "edges")
-        lists = materialize(best_lists(edges, neighbours), "lists")
-        if not exact:
-            edges = materialize(edges.where("sim > 1.5").union(lists.select("a", "b", "sim")).union(join_neighbours(classes, lists, neighbours, threshold)), "edges")
-            lists = materialize(best_lists(edges, neighbours), "lists")
-        graph = link_graph(classes, edges, lists, threshold)
-        recall = audit(classes, graph, threshold)
-        if report:
-            report(turn, recall)
-        if recall >= RECALL or total <= block:
-            break
-    of = rows.join(classes.select("embedding", "rep").hint("merge"), "embedding", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("rep"))
-    placed = materialize(of, "placed").join(graph.hint("merge"), "rep", "left")
-    root = F.coalesce("root", "vec_id")
-    return placed.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(False)).alias("kept"))
+    with scratch_tables(vectors.sparkSession):
+        classes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "embedding"), "classes")
+        bits, planned = table_plan(classes.count(), threshold, block)
+        lists = forest = None
+        for turn in range(TURNS + 1):
+            exact = turn == TURNS  # further tables have not reached the recall: one block holds all
+            found = materialize(compare_tasks(block_tasks(classes, 1 if exact else tables or planned, 0 if exact else bits, turn), OFFERS, threshold), "found")
+            reached, offered = found.where("sim > 1.5").select("a", "b"), found.where("sim <= 1.5")
+            forest = reached if forest is None else forest.union(reached)
+            lists = materialize(best_lists(offered if lists is None else lists.select("a", "b", "sim").union(offered), neighbours), "lists")
+            if not exact:
+                lists, forest = descend(classes, lists, forest, neighbours, threshold)
+            graph = link_graph(classes, forest, lists, threshold)
+            recall = audit(classes, graph, threshold)
+            log.info("turn %d: recall %.4f of links", turn, recall)
+            if report:
+                report(turn, recall)
+            if recall >= RECALL:
+                break
+        of = rows.join(classes.select("embedding", "rep").hint("merge"), "embedding", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("rep"))
+        placed = materialize(of, "placed").join(graph.hint("merge"), "rep", "left")
+        root = F.coalesce("root", "vec_id")
+        result = placed.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(False)).alias("kept"))
+        return materialize(result, "result", keep=True)

@@ -194,8 +194,27 @@ def test_audit_counts_links_between_small_groups(spark):
     assert nndescent.audit(classes, graph, 0.9) == pytest.approx(100 / 160)
 
 
+def test_descent_finds_what_blocks_miss(spark, monkeypatch):
+    """A chain of vectors, each linked to the next ones: one table of small blocks finds part, and rounds through neighbours find the rest."""
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.normal(size=(24, 2)))[0].T
+    vectors = []
+    for k in range(300):
+        angle = 2 * np.pi * k / 300
+        vectors.append(np.cos(angle) * a + np.sin(angle) * b)
+    classes = spark.createDataFrame([(k, 1, list(map(float, v))) for k, v in enumerate(vectors)], "rep long, copies long, embedding array<double>").cache()
+    found = nndescent.compare_tasks(nndescent.block_tasks(classes, 2, 5, 0), nndescent.OFFERS, 0.9).cache()
+    start = nndescent.best_lists(found, 8).cache()
+    lists, _ = nndescent.descend(classes, start, found.where("sim > 1.5").select("a", "b"), 8, 0.9)
+    rows = np.array(vectors)
+    true = np.sort(rows @ rows.T - 2 * np.eye(300), axis=1)[:, -8:]
+    share = lambda df: sum(r["sim"] >= true[r["a"], 0] - 1e-9 for r in df.collect()) / true.size
+    assert share(start) < 0.9 < 0.97 < share(lists)
+
+
 def test_embeddings_beyond_the_rounds_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    monkeypatch.setattr(nndescent, "TURNS", 1)
+    monkeypatch.setattr(nndescent, "FLOOR", 0.9)
     monkeypatch.setattr(nndescent, "CHUNK", 64)
     rng = np.random.default_rng(8)
     vectors = []
