@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .spans import match_spans
+from .spans import match_spans, replace_spans
 from .stem import stem
-from .text import HYPHENS, RANGE, TOKEN, casefold, collapse, escape_html, snippet, variant_key
+from .text import HYPHENS, MARK, RANGE, TOKEN, casefold, collapse, escape_html, snippet, variant_key
 
 
 def token_spans(text: Column) -> Column:
@@ -45,18 +45,26 @@ def match_count(text: Column, wanted: Wanted) -> Column:
     return F.size(F.filter(token_spans(text), lambda s: matches(s["term"], wanted)))
 
 
-def highlight(text: Column, wanted: Wanted, before: str = "<mark>", after: str = "</mark>") -> Column:
-    """The text as HTML with matching words marked."""
-    text = F.coalesce(text, F.lit(""))
+def highlight(text: Column, wanted: Wanted, before: str = "<mark>", after: str = "</mark>", first: Column | None = None) -> Column:
+    """The text as HTML with matching words marked; with ``first`` marks are numbered, as ids, from the one after it."""
     hits = F.filter(token_spans(text), lambda s: matches(s["term"], wanted))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return _marked(text, hits, before, after, first)
 
-    def step(a: Column, s: Column) -> Column:
-        plain = escape_html(F.substring(text, a["at"] + 1, s["start"] - a["at"]))
-        word = escape_html(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], plain, F.lit(before), word, F.lit(after)).alias("out"))
 
-    return F.aggregate(hits, start, step, lambda a: F.concat(a["out"], escape_html(F.substring(text, a["at"] + 1, F.length(text)))))
+def highlight_term(text: Column, term: str, condition: str = "A", forms: tuple[str, ...] = (), before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The text as HTML with the words marked that are ``term`` under a condition; under D, those that are one of its ``forms``."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(RANGE), F.lit(" "))
+    wanted = list(forms) if condition == "D" else [term]
+    spans = F.filter(match_spans(cut if condition >= "B" else F.coalesce(text, F.lit("")), TOKEN if condition >= "B" else f"{TOKEN}|{MARK}"), lambda s: casefold(s["match"]).isin(wanted))
+    return _marked(text, spans, before, after)
+
+
+def _marked(text: Column, spans: Column, before: str, after: str, first: Column | None = None) -> Column:
+    def mark(word: Column, nth: Column) -> Column:
+        head = F.lit(before) if first is None else F.concat(F.lit(before.rstrip(">") + ' id="match-'), (first + nth + 1).cast("string"), F.lit('">'))
+        return F.concat(head, escape_html(word), F.lit(after))
+
+    return replace_spans(F.coalesce(text, F.lit("")), spans, mark, escape_html)
 
 
 def first_match(text: Column, wanted: Wanted) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
 from .text import SPACE, collapse, news_tokens, tokens
 
 #: Abbreviations that end no sentence.
@@ -12,9 +13,10 @@ ABBREVIATIONS = "dr mr mrs ms prof sr jr vs etc al fig figs eq eqs approx no nos
 INITIALISMS = "e.g i.e a.m p.m".split()
 CLOSERS = r"[\"'”’)\]}]*"
 
-_ABBREVIATED = rf"(?<!(?<![A-Za-z])(?i:{'|'.join(ABBREVIATIONS)}))(?<!(?i:{'|'.join(x.replace('.', chr(92) + '.') for x in INITIALISMS)}))"
+# conditions on what stands before a point look back over it, so that they are tried at points only
+_ABBREVIATED = rf"(?<!(?<![A-Za-z])(?i:{'|'.join(ABBREVIATIONS)})\.)(?<!(?i:{'|'.join(x.replace('.', chr(92) + '.') for x in INITIALISMS)})\.)"
 # a point after one capital letter is an initial's if a capital follows
-_POINT = rf"{_ABBREVIATED}(?:(?<!(?<![A-Za-z])[A-Z])\.|\.(?!{CLOSERS}{SPACE}*\p{{Lu}}))"
+_POINT = rf"\.{_ABBREVIATED}(?:(?<!(?<![A-Za-z])[A-Z]\.)|(?!{CLOSERS}{SPACE}*\p{{Lu}}))"
 END = rf"((?:{_POINT}|[!?。！？]){CLOSERS}){SPACE}+"
 BREAK = "\u0001"
 
@@ -38,8 +40,7 @@ def sentence_count(text: Column) -> Column:
 
 
 def words_per_sentence(text: Column) -> Column:
-    count = sentence_count(text)
-    return F.when(count > 0, F.round(F.size(tokens(text)) / count, 2)).otherwise(F.lit(0.0))
+    return let(sentence_count(text), lambda count: F.when(count > 0, F.round(F.size(tokens(text)) / count, 2)).otherwise(F.lit(0.0)))
 
 
 def condition_sentences(text: Column, condition: str = "B") -> Column:

@@ -61,18 +61,21 @@ def replace_matches(text: Column, pattern: str, replacement) -> Column:
     return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, b)), "")).otherwise(text)
 
 
-def replace_spans(text: Column, spans: Column, mark: str) -> Column:
+def replace_spans(text: Column, spans: Column, mark: str | Callable[[Column, Column], Column], between: Callable[[Column], Column] = lambda x: x) -> Column:
     """The text with its ``spans`` (struct<start, end, ...>, sorted by start) replaced by ``mark``; overlapping ones become one mark.
 
-    ``substring`` counts from a text's beginning, so the text is cut into pieces first and a stretch is taken from those it lies in.
+    A mark can be made of what a span holds and its number; ``between`` is applied to what stands between spans. ``substring``
+    counts from a text's beginning, so the text is cut into pieces first and a stretch is taken from those it lies in.
     """
+    marked = mark if callable(mark) else lambda _, __: F.lit(mark)
 
     def rebuilt(x: Column) -> Column:
         part = lambda a, b: F.substring(F.array_join(F.slice(x["pieces"], F.floor(a / PIECE).cast("int") + 1, F.floor((b - a) / PIECE).cast("int") + 2), ""), a % PIECE + 1, b - a)
         done = before(F.transform(x["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b))
-        heads = F.zip_with(x["spans"], done, lambda s, at: F.when(s["start"] >= at, F.concat(part(at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        placed = F.zip_with(x["spans"], done, lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
+        heads = F.transform(placed, lambda s, i: F.when(s["start"] >= s["at"], F.concat(between(part(s["at"], s["start"])), marked(part(s["start"], s["end"]), i))).otherwise(F.lit("")))
         end = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
-        return F.concat(F.array_join(heads, ""), part(end, F.greatest(x["size"], end)))
+        return F.concat(F.array_join(heads, ""), between(part(end, F.greatest(x["size"], end))))
 
     held = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), spans.alias("spans"), F.length(text).alias("size"))
-    return F.when(F.size(spans) > 0, let(held, rebuilt)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(held, rebuilt)).otherwise(between(text))

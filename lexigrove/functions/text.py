@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The stop-words of the retrieval contract.
+#: The stop-words of the retrieval contract, in alphabetical order.
 STOP_WORDS = (
     "a about above after against an and are as at be been before being below between but by can could did do does doing down "
     "during else for from had has have having if in into is it its may might must no not of on or our shall should so such than "
     "that the their then these this those through to up was we were which who whom will with would"
 ).split()
 
+#: Fixed values of the retrieval contract: which characters connect the parts of a word, and which make up words and numbers.
 HYPHENS = "\\-‐‑–"
 _C = f"[{HYPHENS}]"
-_A = r"[\p{L}\p{N}]"
+# single characters first: the JVM looks them up in a table before it asks for properties
+_PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_A = rf"[{_PLAIN}\p{{L}}\p{{N}}]"
 _X = r"[\p{L}\p{Nl}\p{No}]"
 #: White space as Unicode has it; the JVM's \s is ASCII only.
 SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
-RANGE = rf"(?<=\p{{Nd}}){_C}(?=\p{{Nd}})"
+#: A hyphen between two digits; the hyphen is tried first, what is before it only then.
+RANGE = rf"{_C}(?<=\p{{Nd}}{_C})(?=\p{{Nd}})"
+# initials with points, then numbers (which a letter or an apostrophe may not follow), then words and their connected parts
 TOKEN = rf"(?:[A-Za-z]\.){{2,}}|\p{{Nd}}+(?:\.\p{{Nd}}+)*%?(?![\p{{L}}\p{{N}}_’']|{_C}{_X})|{_A}+(?:['’{HYPHENS}]{_A}+)*"
 MARK = r"[^\s\p{Z}\x1C-\x1F\x85]"
+#: Letters whose lower case has another number of characters, or is ASCII where they are not.
+_AWKWARD = "[\u0130\u212a]"
 
 CONDITIONS = ("A", "B", "C", "D")
 
@@ -30,16 +37,21 @@ def casefold(text: Column) -> Column:
     return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
+def _folded_matches(text: Column, cut: str, between: str, pattern: str) -> Column:
+    """The matches of ``pattern``, folded. Folding the text first gives the same, but for the awkward letters."""
+    found = lambda t: F.regexp_extract_all(F.regexp_replace(t, F.lit(cut), F.lit(between)), F.lit(pattern), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(_AWKWARD), F.transform(found(text), casefold)).otherwise(found(casefold(text)))
+
+
 def tokens(text: Column) -> Column:
     """The words of a text, folded: initials with points, numbers, and words joined by hyphens or apostrophes."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(RANGE), F.lit(" "))
-    return F.transform(F.regexp_extract_all(cut, F.lit(TOKEN), F.lit(0)), casefold)
+    return _folded_matches(text, RANGE, " ", TOKEN)
 
 
 def tokens_and_marks(text: Column) -> Column:
     """Condition A: words, and each other visible character by itself."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(rf"(?<=\p{{Nd}})({_C})(?=\p{{Nd}})"), F.lit(" $1 "))
-    return F.transform(F.regexp_extract_all(cut, F.lit(f"{TOKEN}|{MARK}"), F.lit(0)), casefold)
+    return _folded_matches(text, f"({_C})(?<=\\p{{Nd}}{_C})(?=\\p{{Nd}})", " $1 ", f"{TOKEN}|{MARK}")
 
 
 def has_word_character(term: Column) -> Column:

@@ -54,13 +54,32 @@ def embedding_scores(index: DataFrame, queries: DataFrame, words: DataFrame, n_d
 
 
 def method_scores(index: DataFrame, queries: DataFrame, words: DataFrame, n_docs: int) -> DataFrame:
-    """(query_id, method, doc_id, score) of all ``METHODS``; the hybrid adds halves of the first two."""
-    a, b, c = tfidf_scores(index, queries, n_docs), embedding_scores(index, queries, words, n_docs), embedding_scores(index, queries, words, n_docs, weighted=False)
+    """(query_id, method, doc_id, score) of all ``METHODS`` for one model; the hybrid adds halves of the first two."""
+    return all_method_scores(index, queries, {"": words}, n_docs)
+
+
+def all_method_scores(index: DataFrame, queries: DataFrame, models: dict[str, DataFrame], n_docs: int) -> DataFrame:
+    """(query_id, method, doc_id, score): TF-IDF once, and for each model its two embeddings and its hybrid; with two models, seven methods."""
+    base = tfidf_scores(index, queries, n_docs)
+    out = base.where("score > 0").select("query_id", F.lit("tfidf").alias("method"), "doc_id", "score")
     zero = F.lit(0.0)
-    d = a.withColumnRenamed("score", "a").join(b.withColumnRenamed("score", "b"), ["query_id", "doc_id"], "full_outer")
-    d = d.select("query_id", "doc_id", (0.5 * F.coalesce("a", zero) + 0.5 * F.coalesce("b", zero)).alias("score"))
-    parts = [x.select("query_id", F.lit(m).alias("method"), "doc_id", "score") for m, x in zip(METHODS, (a.where("score > 0"), b, c, d), strict=True)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    for name, words in models.items():
+        tail = f"_{name}" if name else ""
+        weighted, mean = (embedding_scores(index, queries, words, n_docs, weighted=w) for w in (True, False))
+        both = base.withColumnRenamed("score", "a").join(weighted.withColumnRenamed("score", "b"), ["query_id", "doc_id"], "full_outer")
+        hybrid = both.select("query_id", "doc_id", (0.5 * F.coalesce("a", zero) + 0.5 * F.coalesce("b", zero)).alias("score"))
+        for method, part in (("embedding_tfidf", weighted), ("embedding_mean", mean), ("hybrid", hybrid)):
+            out = out.unionByName(part.select("query_id", F.lit(method + tail).alias("method"), "doc_id", "score"))
+    return out
+
+
+def evaluate(found: DataFrame, stories: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(level, method, type, topic, measures): means over all queries, by type and by topic, of ``queries(query_id, type, topic)``."""
+    from . import evaluation
+
+    qrels = evaluation.topic_relevance(stories.select(F.col("id").cast("long").alias("doc_id"), "topics"), queries)
+    per = evaluation.metrics(found, qrels, k, "method")
+    return evaluation.means_by_level(per.join(F.broadcast(queries.select("query_id", "type", "topic")), "query_id"))  # queries are typed by people
 
 
 def rankings(scores: DataFrame) -> DataFrame:

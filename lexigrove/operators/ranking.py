@@ -10,6 +10,8 @@ from .weighting import B, K1, METHODS, document_weights, norms, query_weights, w
 
 #: Scores are ranked as rounded: engines add in different orders.
 DIGITS = 10
+#: Words of all queries that are ranked at once; they are broadcast.
+MOST_TERMS = 100_000
 
 
 def ranked(scores: DataFrame, *keys: str, limit: int | None = None, positive: bool = True) -> DataFrame:
@@ -30,11 +32,15 @@ def top(scores: DataFrame, limit: int, positive: bool = True) -> DataFrame:
 
 def vector_scores(index: DataFrame, queries: DataFrame, methods: tuple[str, ...] = METHODS, cosine: bool = False) -> DataFrame:
     """(query_id, method, doc_id, score, matched) of ``queries(query_id, term, tf)``, by dot product or cosine."""
+    if queries.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} words of queries at once")
     rich = with_stats(index)
     asked = query_weights(queries, term_stats(index), methods)
     wanted = F.broadcast(asked.withColumnRenamed("weight", "query_weight"))  # queries are typed by people
     if cosine:
-        held = document_weights(rich, methods)
+        # norms of documents with a word of a query only
+        hit = rich.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").select("doc_id").distinct()
+        held = document_weights(rich.join(hit, "doc_id", "left_semi"), methods)
         hits = held.join(wanted, ["term", "method"])
         total = hits.groupBy("query_id", "method", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.collect_list("term").alias("matched"))
         both = total.join(norms(held, "method", "doc_id"), ["method", "doc_id"]).join(F.broadcast(norms(asked, "query_id", "method").withColumnRenamed("norm", "query_norm")), ["query_id", "method"])
@@ -72,6 +78,20 @@ def all_terms_scores(index: DataFrame, terms: list[str]) -> DataFrame:
     return hits.where(F.col("n") == len(set(terms))).select("doc_id", "score")
 
 
+def variant_groups_of(queries: list[str], terms: DataFrame) -> DataFrame:
+    """groups(term, group) for ``bm25_scores``: each word of a query with its variants among ``terms(term)``."""
+    from .fuzzy import expand
+
+    asked = terms.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "term string")
+    return expand(asked, terms).select("term", "group")
+
+
+def variants_present(groups: DataFrame, index: DataFrame) -> DataFrame:
+    """(group, variants): which other forms of a query's words a scope has, for words that have any."""
+    there = groups.where("term <> group").join(index.select("term").distinct(), "term", "left_semi")
+    return there.groupBy("group").agg(F.array_sort(F.collect_set("term")).alias("variants"))
+
+
 def exact_term_documents(condition_postings: DataFrame, term: str) -> DataFrame:
     return condition_postings.where(F.col("term") == term).orderBy(F.desc("tf"), "doc_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +88,22 @@ def hash_sample(docs: DataFrame, group: str, cap: int, seed: int = 42) -> DataFr
 
 
 def content_hash(docs: DataFrame) -> DataFrame:
-    """One row: a hash over (id, text) of all documents in the order of ids, by hashes of hashes."""
+    """One row: SHA-256 over id, a zero, text, a zero of all documents in the order of ids, as one stream.
+
+    The stream passes through the driver one partition of sorted rows at a time: SHA-256 has no parallel form.
+    """
+    digest = hashlib.sha256()
+    for row in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").toLocalIterator():
+        digest.update(f"{row['doc_id']}\0{row['text']}\0".encode())
+    return docs.sparkSession.createDataFrame([(digest.hexdigest(),)], "content_hash string")
+
+
+def tree_hash(docs: DataFrame) -> DataFrame:
+    """One row: a hash over (id, text) of all documents in the order of ids, by hashes of hashes, for corpora beyond one stream."""
     each = docs.select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("\u0000"), F.coalesce("text", F.lit("")), F.lit("\u0000")), 256).alias("h"))
     blocks = each.groupBy(F.floor(F.col("doc_id") / 4096).alias("block")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"])), 256).alias("h"))
     upper = blocks.groupBy(F.floor(F.col("block") / 4096).alias("part")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"])), 256).alias("h"))
-    return upper.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])), 256).alias("content_hash"))
+    return upper.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])), 256).alias("tree_hash"))
 
 
 def signature(docs: DataFrame) -> DataFrame:
@@ -117,14 +130,45 @@ def jaccard(left: Column, right: Column) -> Column:
 
 def topic_keywords(docs: DataFrame, words: Column, topics: Column, limit: int = 10) -> DataFrame:
     """(topic, term, score, rank): share of a topic's documents with a term, less the share of all others."""
-    base = docs.select("doc_id", F.array_distinct(words).alias("words"), topics.alias("topics"))
-    per_topic = base.select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("size"))
-    total = base.agg(F.count("*").alias("n"))
-    pairs = base.select(F.explode("words").alias("term"), "topics")
-    overall = pairs.groupBy("term").agg(F.count("*").alias("df"))
-    inside = pairs.select("term", F.explode("topics").alias("topic")).groupBy("topic", "term").agg(F.count("*").alias("in_df"))
+    base = docs.select(F.array_distinct(words).alias("words"), F.array_sort(F.array_distinct(topics)).alias("topics"))
+    per_topic = docs.select(F.explode(F.array_distinct(topics)).alias("topic")).groupBy("topic").agg(F.count("*").alias("size"))
+    total = docs.agg(F.count("*").alias("n"))
+    pairs = base.select(F.explode("words").alias("term"), "topics").groupBy("term", "topics").agg(F.count("*").alias("k"))  # one pass, summed by sets of topics
+    overall = pairs.groupBy("term").agg(F.sum("k").alias("df"))
+    inside = pairs.select("term", "k", F.explode("topics").alias("topic")).groupBy("topic", "term").agg(F.sum("k").alias("in_df"))
     joined = inside.join(overall, "term").join(F.broadcast(per_topic), "topic").crossJoin(F.broadcast(total))
     outside = F.when(F.col("n") > F.col("size"), (F.col("df") - F.col("in_df")) / (F.col("n") - F.col("size"))).otherwise(F.lit(0.0))
     scored = joined.withColumn("score", F.round(F.col("in_df") / F.col("size") - outside, 10))
     order = Window.partitionBy("topic").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("topic", "term", "score", "rank")
+
+
+#: Presets of samples: for each class how many documents, or all.
+PRESETS = {"medical": {"medical": 1000}, "cs": {"cs": 1000}, "balanced": {"medical": 500, "cs": 500}, "all": {}}
+
+
+def preset_sample(docs: DataFrame, preset: str, group: str = "domain", seed: int = 42, custom: dict[str, int] | None = None) -> DataFrame:
+    """Documents of a preset (or ``custom`` numbers by class) in the order of a hash; balanced ones have as many of each class."""
+    if preset != "custom" and preset not in PRESETS:
+        raise ValueError(f"no preset {preset}; there are {', '.join(sorted(PRESETS))} and custom")
+    caps = custom or {} if preset == "custom" else PRESETS[preset]
+    if not caps:
+        return docs
+    chosen = docs.where(F.col(group).isin(list(caps)))
+    if preset == "balanced":
+        least = chosen.groupBy(group).count().agg(F.min("count")).first()[0] or 0
+        caps = {k: min(v, least) for k, v in caps.items()}
+    keyed = hash_sample(chosen, group, max(caps.values()), seed)
+    cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col(group)]
+    return keyed.where(F.col("nth") <= cap).drop("nth", "sample_key")
+
+
+def class_counts(docs: DataFrame, group: str = "domain") -> DataFrame:
+    """(class, n) of a selection."""
+    return docs.groupBy(F.col(group).alias("class")).agg(F.count("*").alias("n"))
+
+
+def topics_of_documents(docs: DataFrame, bridge: DataFrame, topics: DataFrame) -> DataFrame:
+    """``docs`` with ``topics``, the names of each document's topics in order; an empty list where it has none."""
+    names = bridge.join(topics.select("topic_id", "name"), "topic_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("topics"))
+    return docs.join(names, "doc_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))

@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CONDITIONS, condition_tokens
+from ..functions.text import CONDITIONS, condition_tokens, has_word_character, is_stop_word
 from .index import postings
 
 
 def condition_postings(docs: DataFrame, conditions: tuple[str, ...] = CONDITIONS[:3]) -> DataFrame:
-    """(condition, doc_id, term, tf) for the conditions that need no stemmer."""
-    parts = [postings(docs, condition_tokens(F.col("text"), c)).withColumn("condition", F.lit(c)) for c in conditions]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """(condition, doc_id, term, tf) for the conditions that need no stemmer: texts are read once, under the widest condition."""
+    words = postings(docs, condition_tokens(F.col("text"), min(conditions)))
+    return words.select(F.explode(_conditions_of(F.col("term"), conditions)).alias("condition"), "doc_id", "term", "tf")
+
+
+def _conditions_of(term: Column, conditions: tuple[str, ...] = CONDITIONS[:3]) -> Column:
+    """Under which conditions a word of condition A counts."""
+    fits = {"A": F.lit(True), "B": has_word_character(term), "C": has_word_character(term) & ~is_stop_word(term)}
+    return F.array_compact(F.array(*[F.when(fits[c], F.lit(c)) for c in conditions]))
+
+
+def condition_table(words: DataFrame, n_docs: int | Column) -> DataFrame:
+    """``term_table`` of conditions A to C from ``words(doc_id, term, tf)`` of condition A: conditions part after words are counted."""
+    counts = words.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    return _table(counts.select(F.explode(_conditions_of(F.col("term"))).alias("condition"), "term", "cf", "df"), n_docs)
 
 
 def term_table(index: DataFrame, n_docs: int | Column) -> DataFrame:
     """(condition, rank, term, cf, df, idf, coverage) of ``index(condition, doc_id, term, tf)``, by cf, then term."""
+    return _table(index.groupBy("condition", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")), n_docs)
+
+
+def _table(counts: DataFrame, n_docs: int | Column) -> DataFrame:
+    """Ranks by groups of words with one cf and beginning: groups are counted and put in order, words within each of them."""
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    counts = index.groupBy("condition", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-    whole = Window.partitionBy("condition")
-    ranked = counts.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("cf"), "term")))
+    group = ["condition", "cf", "begins"]
+    placed = counts.withColumn("begins", F.substring("term", 1, 2))
+    order = Window.partitionBy("condition").orderBy(F.desc("cf"), "begins").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*group).agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    within = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("term")))
+    ranked = within.join(before.drop("size"), group).withColumn("rank", (F.col("before") + F.col("nth")).cast("int"))
     return ranked.select("condition", "rank", "term", "cf", "df", F.log10(n / F.col("df")).alias("idf"), (F.col("df") / n).alias("coverage"))
 
 
@@ -69,10 +86,15 @@ def fit(points: DataFrame, *keys: str, x: str = "rank", y: str = "cf") -> DataFr
 
 
 def with_region(table: DataFrame) -> DataFrame:
-    """Rows with their region: head (first 5 % of ranks), middle, tail (from half on)."""
-    n = F.count("*").over(Window.partitionBy("condition"))
-    head, half = F.greatest(F.ceil(n * 0.05), F.lit(1)), F.greatest(F.ceil(n * 0.5), F.lit(2))
-    return table.withColumn("region", F.when(F.col("rank") <= head, "head").when(F.col("rank") <= half, "middle").otherwise("tail"))
+    """Rows with their region, head (first 5 % of ranks), middle or tail (from half on), and ``nth``, their place in it."""
+    sizes = table.groupBy("condition").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    edges = sizes.select("condition", F.greatest(F.ceil(n * 0.05), F.lit(1)).alias("head"), F.greatest(F.ceil(n * 0.5), F.lit(2)).alias("half"))
+    rank = F.col("rank")
+    in_head, in_middle = rank <= F.col("head"), rank <= F.col("half")
+    region = F.when(in_head, "head").when(in_middle, "middle").otherwise("tail")
+    start = F.when(in_head, F.lit(0)).when(in_middle, F.col("head")).otherwise(F.col("half"))
+    return table.join(F.broadcast(edges), "condition").withColumn("region", region).withColumn("nth", rank - start).drop("head", "half")  # a row for each condition
 
 
 def regions(table: DataFrame) -> DataFrame:
@@ -80,10 +102,8 @@ def regions(table: DataFrame) -> DataFrame:
     placed = with_region(table)
     whole = fit(table, "condition").select("condition", F.col("slope").alias("g_slope"), F.col("intercept").alias("g_intercept"))
     error = F.log10("cf") - (F.col("g_intercept") + F.col("g_slope") * F.log10("rank"))
-    w = Window.partitionBy("condition", "region").orderBy("rank")
     other = (
-        placed.withColumn("nth", F.row_number().over(w))
-        .join(F.broadcast(whole), "condition")
+        placed.join(F.broadcast(whole), "condition")  # a row for each condition
         .groupBy("condition", "region")
         .agg(
             F.sum("cf").alias("occurrences"),
@@ -110,4 +130,5 @@ def stem_families(stems: DataFrame, limit: int = 20) -> DataFrame:
 
 def concentrated_term(table: DataFrame) -> DataFrame:
     """(condition, widest, concentrated): the term in most documents and the one with most occurrences a document."""
-    return table.groupBy("condition").agg(F.max_by("term", F.struct("df", "cf")).alias("widest"), F.max_by("term", F.struct(F.col("cf") / F.col("df"), F.col("cf"))).alias("concentrated"))
+    widest = F.max_by("term", F.struct("df", "cf", "term"))
+    return table.groupBy("condition").agg(widest.alias("widest"), F.max_by("term", F.struct(F.col("cf") / F.col("df"), F.col("cf"), F.col("term"))).alias("concentrated"))

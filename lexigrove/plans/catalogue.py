@@ -13,11 +13,11 @@ from ..functions import sentences as sent
 from ..functions import text as tx
 from ..functions.stem import stem_terms
 from ..operators import evaluation as ev
-from ..operators import fuzzy, news, ranking, scope, vectors, weighting, zipf
+from ..operators import fuzzy, news, ranking, reports, scope, vectors, weighting, zipf
 from ..operators import index as ix
-from ..sources.newswire import page_elements
+from ..sources import newswire
 from . import sql
-from .store import documents, held, index, table
+from .store import count_of, documents, held, index, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,10 +70,17 @@ def doc_char_stats(spark, sf):
     return documents(spark, sf).select("doc_id", tx.char_count(t).cast("long").alias("chars"), tx.char_count_no_space(t).cast("long").alias("chars_no_space"), F.size(tx.tokens(t)).cast("long").alias("words"))
 
 
-@query()
+@query(with_cte("""SELECT doc_id, coalesce(n, 0)::INT AS sentences, CASE WHEN n > 0 THEN round(words / n, 2) ELSE 0 END AS words_per_sentence
+  FROM (SELECT doc_id, len(t) AS words FROM toks) LEFT JOIN (SELECT doc_id, sum(n)::BIGINT AS n FROM counted GROUP BY doc_id) USING (doc_id)""", f"toks AS (SELECT doc_id, {sql.tokens()} AS t FROM documents)", sql.SENTENCES))
 def sentence_stats(spark, sf):
-    t = F.col("text")
-    return documents(spark, sf).select("doc_id", sent.sentence_count(t).alias("sentences"), sent.words_per_sentence(t).alias("words_per_sentence"))
+    rows = documents(spark, sf).select("doc_id", sent.sentence_count(F.col("text")).alias("sentences"), F.size(tx.tokens(F.col("text"))).alias("words"))
+    return rows.select("doc_id", "sentences", F.when(F.col("sentences") > 0, F.round(F.col("words") / F.col("sentences"), 2)).otherwise(0.0).alias("words_per_sentence"))
+
+
+@query(with_cte("""SELECT doc_id, len(t) AS words, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS characters, coalesce((SELECT sum(n) FROM counted WHERE counted.doc_id = d.doc_id), 0)::BIGINT AS sentences
+  FROM documents d JOIN toks USING (doc_id)""", f"toks AS (SELECT doc_id, {sql.tokens()} AS t FROM documents)", sql.SENTENCES))
+def display_stats(spark, sf):
+    return reports.display_stats(documents(spark, sf))
 
 
 def _conditions_sql(body: str) -> str:
@@ -89,8 +96,9 @@ t AS (SELECT condition, term, sum(tf)::BIGINT AS cf, count(*) AS df, log10(any_v
 
 def _term_table(spark, sf):
     docs = scope.not_blank(documents(spark, sf))
-    n = docs.count()
-    return zipf.term_table(held(spark, sf, "conditions", lambda: zipf.condition_postings(docs)), n), n
+    n = count_of(spark, sf, "not blank", lambda: docs)
+    words = held(spark, sf, "condition A", lambda: ix.postings(docs, tx.condition_tokens(F.col("text"), "A")))
+    return held(spark, sf, "term table", lambda: zipf.condition_table(words, n)), n
 
 
 def _zipf_terms(condition, spark, sf):
@@ -142,6 +150,11 @@ def zipf_widest_term(spark, sf):
     return found.groupBy("condition").agg(F.max_by("term", F.struct("df", "cf", "term")).alias("widest"))
 
 
+@query(_conditions_sql("SELECT condition, max_by(term, (df, cf, term)) AS widest, max_by(term, (cf / df, cf, term)) AS concentrated FROM t GROUP BY condition"))
+def concentrated_terms(spark, sf):
+    return zipf.concentrated_term(_term_table(spark, sf)[0])
+
+
 @query(_conditions_sql("SELECT doc_id, tf FROM cp WHERE condition = 'C' AND term = 'th'"))
 def condition_term_search(spark, sf):
     return ranking.exact_term_documents(zipf.condition_postings(documents(spark, sf), ("C",)), "th").select("doc_id", "tf")
@@ -149,7 +162,8 @@ def condition_term_search(spark, sf):
 
 def _condition_d(spark, sf):
     docs = scope.not_blank(documents(spark, sf))
-    return stem_terms(ix.postings(docs, tx.condition_tokens(F.col("text"), "C"))), docs.count()
+    words = held(spark, sf, "condition C stems", lambda: stem_terms(ix.postings(docs, tx.condition_tokens(F.col("text"), "C"))))
+    return words, count_of(spark, sf, "not blank", lambda: docs)
 
 
 @query()
@@ -279,6 +293,38 @@ def bm25_search_scoped(spark, sf):
     return _bm25(spark, sf, "lang = 'en'", 20)
 
 
+#: Words of a query whose variants are asked for.
+FORMS = ("inan", "tion", "erst")
+_KEYED = r"keyed AS (SELECT term, regexp_replace(term, '[\-‐‑–]', '', 'g') AS key FROM terms WHERE regexp_matches(term, '\p{L}') AND regexp_full_match(term, '(?:[\p{L}\p{N}]|[\-‐‑–])+') AND length(term) >= 3)"
+_GROUPS = "groups AS (SELECT DISTINCT word AS grp, term FROM (VALUES " + ", ".join(f"('{w}')" for w in FORMS) + ") v(word) JOIN keyed ON key = word AND length(key) >= 3)"
+
+
+@query(
+    with_cte(
+        """SELECT doc_id, round(score, 6) AS score, array_to_string(matched, ' ') AS matched FROM (
+  SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avgdl))), 10) AS score, list(grp ORDER BY grp) AS matched
+  FROM h JOIN d USING (grp) JOIN l USING (doc_id), c GROUP BY doc_id) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""",
+        sql.INDEX,
+        _KEYED,
+        _GROUPS,
+        "l AS (SELECT documents.doc_id, coalesce(sum(tf), 0)::BIGINT AS length FROM documents LEFT JOIN p USING (doc_id) GROUP BY documents.doc_id)",
+        "c AS (SELECT count(*) AS n, avg(length) AS avgdl FROM l), h AS (SELECT doc_id, grp, sum(tf)::BIGINT AS tf FROM p JOIN groups USING (term) GROUP BY ALL), d AS (SELECT grp, count(*) AS df FROM h GROUP BY grp)",
+    )
+)
+def bm25_search_variants(spark, sf):
+    words = index(spark, sf)
+    lengths = documents(spark, sf, "doc_id").join(ix.doc_lengths(words), "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
+    groups = ranking.variant_groups_of(list(FORMS), words.select("term").distinct())
+    return rounded(ranking.top(ranking.bm25_scores(words, lengths, groups), 10), "score").withColumn("matched", F.array_join("matched", " "))
+
+
+@query(with_cte("SELECT grp AS word, array_to_string(list(term ORDER BY term), ' ') AS variants FROM groups WHERE term <> grp GROUP BY grp", sql.INDEX, _KEYED, _GROUPS))
+def variants_in_scope(spark, sf):
+    words = index(spark, sf)
+    found = ranking.variants_present(ranking.variant_groups_of(list(FORMS), words.select("term").distinct()), words)
+    return found.select(F.col("group").alias("word"), F.array_join("variants", " ").alias("variants"))
+
+
 @query()
 def bm25_search_stemmed(spark, sf):
     docs = documents(spark, sf)
@@ -499,29 +545,41 @@ def topic_keywords(spark, sf):
 # --- fuzzy matching -------------------------------------------------------------------------------------------------------
 
 WORDS = ("inan", "tion", "erst")
-_ASCII = "regexp_matches(term, '^[a-z0-9]+$')"
+#: SQL counts bytes, so characters beyond ASCII that are letters of Latin scripts or connectors become controls and signs, one for one.
+_BEYOND = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœšž‐‑–’ßºª"
+_SINGLE = "".join(chr(c) for c in [*range(1, 32), *map(ord, "!#$&()*+,/:;")])[: len(_BEYOND)]
+
+
+def _bytes(term: str) -> str:
+    return f"translate({term}, '{_BEYOND}', {' || '.join(f'chr({ord(c)})' for c in _SINGLE)})"
 
 
 @query(with_cte(f"""SELECT word, distance, term, df, cf, rank FROM (SELECT *, row_number() OVER (PARTITION BY word, distance ORDER BY df DESC, cf DESC, term) AS rank FROM (
-  SELECT word, levenshtein(word, term)::INT AS distance, term, df, cf FROM terms, (VALUES {", ".join(f"('{w}')" for w in WORDS)}) v(word) WHERE {_ASCII} AND abs(length(word) - length(term)) <= 3) WHERE distance BETWEEN 1 AND 3) WHERE rank <= 20""", sql.INDEX))
+  SELECT word, levenshtein(word, {_bytes("term")})::INT AS distance, term, df, cf FROM terms, (VALUES {", ".join(f"('{w}')" for w in WORDS)}) v(word) WHERE abs(length(word) - length(term)) <= 3) WHERE distance BETWEEN 1 AND 3) WHERE rank <= 20""", sql.INDEX))
 def edit_distance_groups(spark, sf):
-    terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df").where(F.col("term").rlike("^[a-z0-9]+$"))
+    terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df")
     words = spark.createDataFrame([(w,) for w in WORDS], "word string")
     return fuzzy.edit_groups(words, terms, 3).where("rank <= 20")
 
 
-_SPELL = "term NOT IN ({}) AND length(term) BETWEEN 2 AND 32 AND regexp_matches(term, '^[a-z0-9]*[a-z][a-z0-9]*$')".format(sql.STOPS)
+_SPELL = "term NOT IN ({}) AND length(term) BETWEEN 2 AND 32 AND regexp_matches(term, '\\p{{L}}')".format(sql.STOPS)
 
 
 @query(with_cte(f"""SELECT position, word, CASE WHEN word = upper(word) THEN upper(term) WHEN position = 2 THEN upper(term[1]) || term[2:] ELSE term END AS suggestion, distance, df, cf FROM (
-  SELECT position, word, term, levenshtein(lower(word), term)::INT AS distance, df, cf FROM terms, (VALUES (0, 'ththa'), (1, 'ERINT'), (2, 'Tionz')) v(position, word)
+  SELECT position, word, term, levenshtein(lower(word), {_bytes("term")})::INT AS distance, df, cf FROM terms, (VALUES (0, 'ththa'), (1, 'ERINT'), (2, 'Tionz')) v(position, word)
   WHERE {_SPELL} AND abs(length(word) - length(term)) <= 2) WHERE distance BETWEEN 1 AND 2""", sql.INDEX))
 def spelling_suggest(spark, sf):
-    terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df").where(F.col("term").rlike("^[a-z0-9]+$"))
+    terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df")
     words = spark.createDataFrame([(0, "ththa"), (1, "ERINT"), (2, "Tionz")], "position int, word string")
     return fuzzy.suggest(words, terms)
 
 
+@query(with_cte("SELECT term, cf, df FROM terms WHERE contains(term, 'inan') AND length(term) >= 2 AND regexp_matches(term, '\\p{L}')", sql.INDEX))
+def term_substring(spark, sf):
+    terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df")
+    return scope.term_contains(terms, "INAN").where(tx.content_term(F.col("term")))
+
+
 _VARIANTS = "(VALUES ('glp-1'), ('glp1'), ('sars-cov-2'), ('sarscov2'), ('sars-cov2'), ('a-b'), ('x1y'), ('it''s'))"
 
 
@@ -531,10 +589,11 @@ def variant_groups(spark, sf):
     return fuzzy.variant_groups(terms).withColumn("variants", F.array_join("variants", " "))
 
 
-@query()
+@query("SELECT a, b, levenshtein(a, b)::INT AS distance, last_row, path FROM (VALUES ('gate', 'grates', '4 3 3 3 2 1 2', '0,0 1,1 1,2 2,3 3,4 4,5 4,6'), ('', 'xyz', '0 1 2 3', '0,0 0,1 0,2 0,3'), ('on', 'no', '2 1 2', '0,0 1,1 2,2')) v(a, b, last_row, path)")
 def edit_matrix(spark, sf):
-    pairs = spark.createDataFrame([("kitten", "sitting"), ("", "abc"), ("ab", "ba")], "a string, b string")
-    return fuzzy.with_alignment(pairs)
+    pairs = spark.createDataFrame([("gate", "grates"), ("", "xyz"), ("on", "no")], "a string, b string")
+    path = F.array_join(F.transform("path", lambda p: F.concat_ws(",", p["i"].cast("string"), p["j"].cast("string"))), " ")
+    return fuzzy.with_alignment(pairs).select("a", "b", "distance", F.array_join(F.element_at("table", -1).cast("array<string>"), " ").alias("last_row"), path.alias("path"))
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------------
@@ -572,29 +631,65 @@ def pca_2d(spark, sf):
 
 
 def _training(spark, sf):
-    words = documents(spark, sf).where("lang = 'en'").select(F.explode(sent.news_sentences(F.col("text"))).alias("words"))
-    return words
+    return documents(spark, sf).select(F.explode(sent.news_sentences(F.col("text"))).alias("words"))
+
+
+def _model(spark, sf):
+    return held(spark, sf, "word model", lambda: vectors.skip_gram(_training(spark, sf), size=16, epochs=1))
 
 
 @query()
 def w2v_neighbors(spark, sf):
-    model = vectors.skip_gram(_training(spark, sf).limit(2000), size=16, epochs=1)
-    return vectors.neighbours(model, spark.createDataFrame([("th",), ("er",)], "word string"), 5)
+    return vectors.neighbours(_model(spark, sf), spark.createDataFrame([("th",), ("er",)], "word string"), 5)
 
 
 @query()
 def toy_cbow(spark, sf):
-    rows = [("toy", s.split()) for s in ("opec raised oil output", "opec cut oil output", "wheat harvest rose", "corn harvest fell", "oil prices rose", "wheat prices fell")]
+    rows = [("small", s.split()) for s in ("ships carry grain north", "ships carry ore south", "trains carry grain south", "rain falls north", "snow falls north", "trains wait")]
     return vectors.train_groups(spark.createDataFrame(rows, "model string, words array<string>"))
 
 
-@query(with_cte(f"""SELECT doc_id, place, centre, array_to_string(context, ' ') AS context FROM (SELECT doc_id, i AS place, w[i + 1] AS centre, list_concat(w[greatest(i - 1, 1):i], w[i + 2:i + 3]) AS context
-  FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, {sql.tokens()} AS w FROM documents WHERE source = 'src3')))""", "one AS (SELECT 1)"))
+@query(f"""SELECT doc_id, place, centre, array_to_string(context, ' ') AS context FROM (SELECT doc_id, i AS place, w[i + 1] AS centre, list_concat(w[greatest(i - 1, 1):i], w[i + 2:i + 3]) AS context
+  FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, {sql.tokens()} AS w FROM documents)))""")
 def context_windows(spark, sf):
-    found = vectors.context_windows(documents(spark, sf).where("source = 'src3'"), tx.tokens(F.col("text")))
+    found = vectors.context_windows(documents(spark, sf), tx.tokens(F.col("text")))
     return found.select("doc_id", F.col("at").cast("long").alias("place"), "centre", F.array_join("context", " ").alias("context"))
 
 
+@query(with_cte("SELECT term AS word FROM words GROUP BY term HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM documents)", sql.WORDS))
+def shared_vocabulary(spark, sf):
+    docs = documents(spark, sf)
+    words = held(spark, sf, "words by language", lambda: docs.select("lang", F.explode(tx.tokens(F.col("text"))).alias("word")).where("lang is not null").distinct())
+    langs = [r["lang"] for r in docs.where("lang is not null").select("lang").distinct().limit(100).collect()]
+    return vectors.shared_vocabulary(*[words.where(F.col("lang") == x) for x in sorted(langs)])
+
+
+@query(with_cte("SELECT DISTINCT term AS word FROM words WHERE term IN ('th', 'er', 'two', 'zzzz')", sql.WORDS))
+def target_words(spark, sf):
+    vocabulary = documents(spark, sf).select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+    return vectors.target_words("TH, er\ntwo words, zzzz", vocabulary.distinct())
+
+
+@query("""WITH s AS (
+  SELECT a.vec_id AS seed, b.vec_id AS word, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS whole, round(list_cosine_similarity((a.embedding::DOUBLE[])[1:32], (b.embedding::DOUBLE[])[1:32]), 10) AS half
+  FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 7, 42) AND a.vec_id <> b.vec_id),
+x AS (SELECT seed, word FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY whole DESC, word) AS r FROM s) WHERE r <= 10),
+y AS (SELECT seed, word FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY half DESC, word) AS r FROM s) WHERE r <= 10)
+SELECT x.seed, round(count(y.word) / (20 - count(y.word)), 6) AS jaccard FROM x LEFT JOIN y USING (seed, word) GROUP BY x.seed""")
+def neighbour_agreement(spark, sf):
+    seeds = spark.createDataFrame([("w00000",), ("w00007",), ("w00042",)], "word string")
+    words = _vectors(spark, sf).select("word", "vec")
+    whole, half = vectors.neighbours(words, seeds), vectors.neighbours(words.withColumn("vec", F.slice("vec", 1, 32)), seeds)
+    return rounded(vectors.neighbour_jaccard(whole, half).select(F.substring("seed", 2, 5).cast("long").alias("seed"), "jaccard"), "jaccard")
+
+
+@query("SELECT architecture, seconds, first_loss, last_loss, vocabulary FROM (VALUES ('cbow', 3.0::DOUBLE, 4.0::DOUBLE, 2.5::DOUBLE, 2), ('skipgram', 5.0, 6.0, 3.5, 3)) v(architecture, seconds, first_loss, last_loss, vocabulary)")
+def architecture_table(spark, sf):
+    runs = spark.createDataFrame([("cbow", 1, 4.0, 1.0), ("cbow", 2, 2.5, 2.0), ("skipgram", 1, 6.0, 2.0), ("skipgram", 2, 3.5, 3.0)], "architecture string, epoch int, loss double, seconds double")
+    models = spark.createDataFrame([("cbow", "a"), ("cbow", "b"), ("skipgram", "a"), ("skipgram", "b"), ("skipgram", "c")], "architecture string, word string")
+    return vectors.architecture_table(runs, models)
+
+
 # --- sources and sinks ----------------------------------------------------------------------------------------------------
 
 
@@ -607,7 +702,7 @@ def _unescaped(text: str) -> str:
 @query(f"""SELECT page_id, {_unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
   len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::INT AS n_links, coalesce(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1], '') AS first_link FROM pages""")
 def sgml_extract(spark, sf):
-    return page_elements(table(spark, sf, "pages"))
+    return newswire.page_elements(table(spark, sf, "pages"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
@@ -616,14 +711,14 @@ def dedup_exact(spark, sf):
     return keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query("""SELECT a.doc_id AS incoming_id, min(b.doc_id) AS doc_id, 'title' AS kind FROM documents a JOIN documents b ON lower(trim(a.text[1:200])) = lower(trim(b.text[1:200])) AND a.lang = b.lang
-  WHERE a.source = 'src1' GROUP BY a.doc_id""")
+@query("""SELECT a.doc_id AS incoming_id, b.doc_id, 'title' AS kind FROM documents a JOIN (SELECT lower(trim(text)) AS title, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL) b ON lower(trim(a.text)) = b.title AND a.lang = b.lang WHERE b.title <> ''""")
 def dedup_priority(spark, sf):
+    """Every document against all, by its whole text as title and its language as year."""
     from ..sources.tables import find_duplicates
 
     empty = [F.lit("").alias(c) for c in ("pmcid", "pmid", "doi", "arxiv_id", "source_file")]
-    rows = documents(spark, sf).select("doc_id", "source", F.substring("text", 1, 200).alias("title"), F.col("lang").alias("publication_year"), *empty)
-    return find_duplicates(rows.where("source = 'src1'").withColumnRenamed("doc_id", "incoming_id"), rows)
+    rows = documents(spark, sf).select("doc_id", F.col("text").alias("title"), F.col("lang").alias("publication_year"), *empty)
+    return find_duplicates(rows.withColumnRenamed("doc_id", "incoming_id"), rows)
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(ltrim(text), '^[=+\\-@]') THEN '''' || text ELSE text END AS safe FROM conversations")
@@ -631,10 +726,9 @@ def csv_safe_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.csv_safe(F.col("text")).alias("safe"))
 
 
-@query(f"SELECT doc_id, len(list_filter({sql.tokens()}, lambda x: x IN ('th', 'er', 'inan')))::INT AS n_matches FROM documents WHERE source = 'src4'")
+@query(f"SELECT doc_id, len(list_filter({sql.tokens()}, lambda x: x IN ('th', 'er', 'inan')))::INT AS n_matches FROM documents")
 def keyword_match_count(spark, sf):
-    docs = documents(spark, sf).where("source = 'src4'")
-    return docs.select("doc_id", match.match_count(F.col("text"), match.Wanted(("th", "er", "inan"))).alias("n_matches"))
+    return documents(spark, sf).select("doc_id", match.match_count(F.col("text"), match.Wanted(("th", "er", "inan"))).alias("n_matches"))
 
 
 @query()
@@ -662,34 +756,149 @@ def loss_deltas(spark, sf):
 
 
 def _news(spark, sf):
-    stories = documents(spark, sf).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.array("source").alias("topics"))
+    stories = documents(spark, sf).select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"), F.array("source").alias("topics"))
     return stories, *news.news_index(stories)
 
 
-@query(
-    with_cte(
-        f"""SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT query_id, doc_id, round(sum(w * qw) / any_value(size) / any_value(qsize), 10) AS score FROM h JOIN q USING (term) JOIN z USING (doc_id) JOIN qz USING (query_id) WHERE size * qsize > 0 GROUP BY query_id, doc_id) WHERE score > 0) WHERE rank <= 20""",
-        sql.WORDS,
-        f"np AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE lang = 'en' AND term NOT IN ({sql.STOPS}) AND regexp_matches(term, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]') GROUP BY ALL)",
-        "nd AS (SELECT term, log10((SELECT count(*) FROM documents WHERE lang = 'en') / count(*)) AS idf FROM np GROUP BY term)",
-        "h AS (SELECT doc_id, term, tf * idf AS w FROM np JOIN nd USING (term)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM h GROUP BY doc_id)",
-        "q AS (SELECT query_id, v.term, tf * coalesce(idf, log10((SELECT count(*) FROM documents WHERE lang = 'en'))) AS qw FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in TERMS) + ") v(query_id, term, tf) LEFT JOIN nd ON nd.term = v.term)",
-        "qz AS (SELECT query_id, sqrt(sum(qw * qw)) AS qsize FROM q GROUP BY query_id)",
-    )
+_NEWS = (
+    sql.WORDS,
+    f"np AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term NOT IN ({sql.STOPS}) AND regexp_matches(term, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]') GROUP BY ALL)",
+    "nd AS (SELECT term, log10((SELECT count(*) FROM documents) / count(*)) AS idf FROM np GROUP BY term)",
+    "h AS (SELECT doc_id, term, tf * idf AS w FROM np JOIN nd USING (term)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM h GROUP BY doc_id)",
+    "q AS (SELECT query_id, v.term, tf * coalesce(idf, log10((SELECT count(*) FROM documents))) AS qw FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in TERMS) + ") v(query_id, term, tf) LEFT JOIN nd ON nd.term = v.term)",
+    "qz AS (SELECT query_id, sqrt(sum(qw * qw)) AS qsize FROM q GROUP BY query_id)",
+    """r AS (SELECT *, 'tfidf' AS method, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(w * qw) / any_value(size) / any_value(qsize), 10) AS score FROM h JOIN q USING (term) JOIN z USING (doc_id) JOIN qz USING (query_id) WHERE size * qsize > 0 GROUP BY query_id, doc_id) WHERE score > 0)""",
 )
+
+
+@query(with_cte("SELECT query_id, doc_id, round(score, 6) AS score FROM r WHERE rank <= 20", *_NEWS))
 def news_tfidf(spark, sf):
     _, words, docs = _news(spark, sf)
     return rounded(ranking.ranked(news.tfidf_scores(words, asked(spark), docs.count()), "query_id", limit=20), "score").select("query_id", "doc_id", "score")
 
 
+def _topics(spark):
+    return spark.createDataFrame([q[:3] for q in ASKED], "query_id string, type string, topic string")
+
+
+_NEWS_EVAL = _EVAL.replace("qrels AS (SELECT query_id, doc_id, quality + 1 - toxic AS grade FROM labels, (SELECT DISTINCT query_id FROM q))", "qrels AS (SELECT query_id, doc_id, 1 AS grade FROM documents JOIN kinds ON topic = source)")
+
+
+@query(with_cte(f"SELECT method, type, topic, CASE WHEN type IS NOT NULL THEN 'type' WHEN topic IS NOT NULL THEN 'topic' ELSE 'all' END AS level, {_MEANS} FROM e JOIN kinds USING (query_id) GROUP BY GROUPING SETS ((method), (method, type), (method, topic))", *_NEWS, _KINDS, _NEWS_EVAL))
+def news_evaluation_tfidf(spark, sf):
+    stories, words, docs = _news(spark, sf)
+    found = ranking.ranked(news.tfidf_scores(words, asked(spark), docs.count()), "query_id").withColumn("method", F.lit("tfidf"))
+    return rounded(news.evaluate(found, stories, _topics(spark)), *ev.METRICS)
+
+
+@query()
+def news_evaluation(spark, sf):
+    """All methods of one model, by type and by topic."""
+    stories, words, docs = _news(spark, sf)
+    found = news.rankings(news.method_scores(words, asked(spark), _model(spark, sf), docs.count()))
+    return rounded(news.evaluate(found, stories, _topics(spark)), *ev.METRICS)
+
+
 @query()
 def news_methods(spark, sf):
     _, words, docs = _news(spark, sf)
-    model = held(spark, sf, "news model", lambda: vectors.skip_gram(_training(spark, sf), size=16, epochs=1))
-    return rounded(news.rankings(news.method_scores(words, asked(spark), model, docs.count())).where("rank <= 10"), "score").select("query_id", "method", "rank", "doc_id", "score")
+    return rounded(news.rankings(news.method_scores(words, asked(spark), _model(spark, sf), docs.count())).where("rank <= 10"), "score").select("query_id", "method", "rank", "doc_id", "score")
 
 
-@query("SELECT topic, count(*) AS n FROM (SELECT source AS topic FROM documents WHERE lang = 'en') GROUP BY topic")
+@query("SELECT topic, count(*) AS n FROM (SELECT source AS topic FROM documents) GROUP BY topic")
 def news_topics(spark, sf):
     return news.topic_overview(_news(spark, sf)[0])
+
+
+def _newswire(spark, sf):
+    """The documents as newswire files: a story each, with topics, split attributes, escapes and the agency's name at the end."""
+    esc = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    plain = F.regexp_replace(esc, "[^\\x09\\x0A\\x0D\\x20-\\xFF]", "?")  # what the files' encoding has
+    lewis = F.when(F.col("doc_id") % 4 == 0, "TEST").when(F.col("doc_id") % 4 == 1, "NOT-USED").otherwise("TRAIN")
+    parts = ('<REUTERS TOPICS="', F.when(F.col("doc_id") % 5 == 0, "BYPASS").otherwise("YES"), '" LEWISSPLIT="', lewis, '" CGISPLIT="TRAINING-SET" OLDID="1" NEWID="', F.col("doc_id").cast("string"))
+    rest = ('"><DATE> 1-JAN-1987 01:02:03.04</DATE><TOPICS><D>', F.col("source"), "</D><D>", F.col("lang"), "</D></TOPICS><TEXT><TITLE>", F.concat(F.lit("No. "), F.col("doc_id").cast("string")), "</TITLE><BODY>", plain, "\n Reuter\u0003</BODY></TEXT></REUTERS>\n")
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in (*parts, *rest)])
+    return documents(spark, sf).where("source is not null and lang is not null").select(F.encode(text, "ISO-8859-1").alias("content"))
+
+
+_STORIES = """st AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 4 = 0 THEN 'test' WHEN doc_id % 4 = 1 THEN 'unused' ELSE 'train' END AS part, doc_id % 5 = 0 AS bypass,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x09\\x0A\\x0D\\x20-\\x{FF}]', '?', 'g'), '^\\s+|\\s+$', '', 'g'), '(?i)\\s*\\bReuter\\s*$', ''), '^\\s+|\\s+$', '', 'g') AS body
+  FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"""
+
+
+@query(with_cte("SELECT doc_id::INT AS id, CASE WHEN bypass THEN 'unused' ELSE part END AS modapte, CASE WHEN bypass THEN 'unused' ELSE part END AS modlewis, 'train' AS modhayes, source || ' ' || lang AS topics, '1-JAN-1987' AS date, 'No. ' || doc_id AS title, sha256(body) AS body FROM st", _STORIES))
+def newswire_stories(spark, sf):
+    found = newswire.parse_stories(_newswire(spark, sf))
+    parts = [F.col("splits")[x].alias(x) for x in newswire.SPLITS]
+    return found.select("id", *parts, F.array_join("topics", " ").alias("topics"), F.trim("date").alias("date"), "title", F.sha2("body", 256).alias("body"))
+
+
+@query(with_cte("""SELECT split, count(*) FILTER (x = 'train') AS train, count(*) FILTER (x = 'test') AS test, count(*) FILTER (x = 'unused') AS unused FROM (
+  SELECT 'modapte' AS split, CASE WHEN bypass THEN 'unused' ELSE part END AS x FROM st UNION ALL SELECT 'modlewis', CASE WHEN bypass THEN 'unused' ELSE part END FROM st UNION ALL SELECT 'modhayes', 'train' FROM st) GROUP BY split""", _STORIES))
+def newswire_splits(spark, sf):
+    return newswire.split_counts(newswire.parse_stories(_newswire(spark, sf)))
+
+
+# --- pages and selections -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang AS class, count(*) AS n FROM documents GROUP BY lang")
+def class_counts(spark, sf):
+    return scope.class_counts(documents(spark, sf, "doc_id", "lang"), "lang")
+
+
+@query("SELECT conv_id AS doc_id, array_to_string(list(DISTINCT role ORDER BY role), ',') AS topics FROM conversations WHERE role IS NOT NULL GROUP BY conv_id")
+def topics_of_documents(spark, sf):
+    turns = table(spark, sf, "conversations").where("role is not null").select(F.col("conv_id").alias("doc_id"), "role")
+    topics = turns.select(F.col("role").alias("name"), F.col("role").alias("topic_id")).distinct()
+    found = scope.topics_of_documents(turns.select("doc_id").distinct(), turns.withColumnRenamed("role", "topic_id"), topics)
+    return found.select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query("SELECT doc_id, domain FROM (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY sha256('42:' || domain || ':' || doc_id)) AS nth FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'medical' ELSE 'cs' END AS domain FROM documents)) WHERE nth <= least(500, (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY CASE WHEN lang = 'en' THEN 'medical' ELSE 'cs' END)))")
+def preset_sample(spark, sf):
+    docs = documents(spark, sf, "doc_id", F.when(F.col("lang") == "en", "medical").otherwise("cs").alias("domain"))
+    return scope.preset_sample(docs, "balanced").select("doc_id", "domain")
+
+
+@query("SELECT sha256(string_agg(doc_id || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY doc_id)) AS content_hash FROM documents")
+def content_hash(spark, sf):
+    return scope.content_hash(documents(spark, sf, "doc_id", "text"))
+
+
+@query("SELECT source AS topic, (SELECT string_agg(q, ';' ORDER BY q) FROM (VALUES ('src0', 'Q1 th er nd'), ('src1', 'Q2 ha ou inan'), ('src2', 'Q3 le en ou'), ('src3', 'Q4 sch ge der')) v(t, q) WHERE t = source) AS queries FROM (VALUES ('src0'), ('src1'), ('src2'), ('src3')) s(source)")
+def queries_by_topic(spark, sf):
+    queries = spark.createDataFrame([(q, t, text) for q, _, t, text in ASKED], "query_id string, topic string, text string")
+    keywords = topic_keywords(spark, sf).select("topic", "rank", "term")
+    found = reports.queries_by_topic(queries, keywords)
+    return found.select("topic", F.array_join(F.transform("queries", lambda x: F.concat_ws(" ", x["query_id"], x["text"])), ";").alias("queries"))
+
+
+@query()
+def article_detail(spark, sf):
+    """One article as its page shows it: the one that fits three words best."""
+    best = bm25_search(spark, sf).orderBy(F.desc("score"), "doc_id").first()
+    return reports.article_detail(documents(spark, sf, "doc_id", "text"), best["doc_id"] if best else -1, match.Wanted(("th", "er", "nd")))
+
+
+@query(with_cte("SELECT term FROM (SELECT DISTINCT term FROM words) WHERE term NOT IN (SELECT term FROM p)", sql.INDEX))
+def orphan_terms(spark, sf):
+    vocabulary = documents(spark, sf).select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    return ix.orphan_terms(vocabulary, index(spark, sf))
+
+
+@query(with_cte("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)", sql.INDEX))
+def unindexed_documents(spark, sf):
+    return ix.unindexed(documents(spark, sf, "doc_id"), index(spark, sf))
+
+
+@query("SELECT doc_id, lang AS publication_year FROM documents ORDER BY lang DESC, lower(source), doc_id LIMIT 30")
+def newest_articles(spark, sf):
+    docs = documents(spark, sf, "doc_id", F.col("source").alias("title"), F.col("lang").alias("publication_year"))
+    return scope.ordered(docs, "newest").limit(30).select("doc_id", "publication_year")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(source), 'src1')")
+def title_substring(spark, sf):
+    return scope.title_contains(documents(spark, sf, "doc_id", F.col("source").alias("title")), "SRC1").select("doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.sentences import ABBREVIATIONS, INITIALISMS
 from ..functions.text import STOP_WORDS
 
 _C = "[\\-‐‑–]"
@@ -85,3 +86,14 @@ s AS (SELECT query_id, method, doc_id, round(CASE WHEN any_value(dnorm) * any_va
 
 
 RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)"
+
+
+_ABBREVIATED = "(?i)(?:^|[^A-Za-z])(?:" + "|".join(ABBREVIATIONS) + r")\.[\"'”’)\]}]*$"
+_INITIALISM = "(?i)(?:" + "|".join(x.replace(".", r"\.") for x in INITIALISMS) + r")\.[\"'”’)\]}]*$"
+_INITIAL = r"(?:^|[^A-Za-z])[A-Z]\.[\"'”’)\]}]*$"
+_SPACE = r"[\s\p{Z}\x1C-\x1F\x{85}]"
+#: counted(doc_id, n): sentences of each line. Pieces end at marks and white space; an abbreviation's point, or an initial's before a capital, ends none.
+SENTENCES = f"""lines AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\r?\\n+')) AS line FROM documents),
+pieces AS (SELECT doc_id, list_transform(string_split(regexp_replace(line, {quoted(r"([.!?。！？][\"'”’)\]}]*)" + _SPACE + "+")}, '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, {quoted(f"^{_SPACE}+|{_SPACE}+$")}, '', 'g')) AS s FROM lines),
+ends AS (SELECT doc_id, s, list_transform(range(1, len(s)), lambda i: NOT (regexp_matches(s[i], {quoted(_ABBREVIATED)}) OR regexp_matches(s[i], {quoted(_INITIALISM)}) OR (regexp_matches(s[i], {quoted(_INITIAL)}) AND regexp_matches(s[i + 1], '^\\p{{Lu}}')))) AS real FROM pieces),
+counted AS (SELECT doc_id, len(list_filter(real, lambda x: x)) + CASE WHEN s[-1] <> '' OR (len(s) > 1 AND NOT real[-1]) THEN 1 ELSE 0 END AS n FROM ends)"""

@@ -30,3 +30,20 @@ def held(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of words without stop-words."""
     return held(spark, sf_dir, "index", lambda: postings(documents(spark, sf_dir, "doc_id", "text"), weighting_tokens(F.col("text"))))
+
+
+_counts: dict[tuple[str, str, str], int] = {}
+
+
+def count_of(spark: SparkSession, sf_dir: str, name: str, build) -> int:
+    """The number of rows of ``build()``, counted once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _counts:
+        _counts[key] = build().count()
+    return _counts[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Give up what this session holds."""
+    for key in [k for k in _held if k[0] == spark.sparkContext.applicationId]:
+        _held.pop(key).unpersist()

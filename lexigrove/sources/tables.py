@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
 
+#: Fixed value of the import contract: the form of an identifier, new (year and month, number) or old (archive, number).
 ARXIV = r"^(?:\d{4}\.\d{4,5}|[a-zA-Z.-]+/\d{7})$"
-MOST_ROWS = 1000
+MOST_ROWS, MOST_BYTES = 1000, 20 << 20
 
 
 def read_abstracts(spark: SparkSession, path: str) -> DataFrame:
-    """(row, id, title, abstract, error) of a CSV with headers id, title, abstract; bad rows carry their error."""
+    """(row, id, title, abstract, error) of a CSV with headers id, title, abstract; a bad row says what is wrong with it."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"a CSV has {MOST_BYTES} bytes at most, this one {size}")
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
-    missing = {"id", "title", "abstract"} - {c.lstrip("﻿") for c in raw.columns}
+    missing = {"id", "title", "abstract"} - {c.lstrip("\ufeff") for c in raw.columns}
     if missing:
         raise ValueError(f"the CSV lacks the columns {sorted(missing)}")
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     if not 1 <= raw.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
         raise ValueError(f"a CSV has 1 to {MOST_ROWS} rows")
     clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     ident = F.regexp_replace(F.regexp_replace(clean("id"), "^https://arxiv\\.org/abs/", ""), r"v\d+$", "")
-    error = F.when(~ident.rlike(ARXIV), "Invalid arXiv ID.").when((clean("title") == "") | (clean("abstract") == ""), "Title and abstract must be nonempty.")
-    return raw.select((F.monotonically_increasing_id() + 2).alias("row"), ident.alias("id"), clean("title").alias("title"), clean("abstract").alias("abstract"), error.alias("error"))
+    error = F.when(~ident.rlike(ARXIV), "no identifier of a known form").when(clean("title") == "", "no title").when(clean("abstract") == "", "no abstract")
+    # a small file is one partition, so its rows are numbered as they stand, the header being row 1
+    return raw.coalesce(1).select((F.monotonically_increasing_id() + 2).alias("row"), ident.alias("id"), clean("title").alias("title"), clean("abstract").alias("abstract"), error.alias("error"))
 
 
 def import_outcome(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -89,10 +94,13 @@ def guarded(rows: DataFrame) -> DataFrame:
     return rows.select(*[csv_safe(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in rows.schema])
 
 
-def write_csv(rows: DataFrame, path: str, digits: int = 6) -> None:
-    """A folder of CSV files with headers; doubles rounded, nested columns as JSON."""
+def write_csv(rows: DataFrame, path: str, digits: int = 6, bom: bool = False) -> None:
+    """A folder of CSV files with headers; doubles rounded, nested columns as JSON; with ``bom`` a byte order mark before the header."""
     flat = rows.select(*[F.to_json(f.name).alias(f.name) if f.dataType.simpleString().startswith(("array", "map", "struct")) else F.col(f.name) for f in rows.schema])
-    guarded(rounded(flat, digits)).write.mode("overwrite").option("header", True).csv(path)
+    safe = guarded(rounded(flat, digits))
+    if bom:  # spreadsheets read UTF-8 by it; it stands before the first column's name, in every part
+        safe = safe.withColumnRenamed(safe.columns[0], "\ufeff" + safe.columns[0])
+    safe.write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_tables(tables: dict[str, DataFrame], folder: str) -> None:

@@ -12,13 +12,17 @@ def one(spark, column, **values):
 
 
 def test_highlight(spark):
-    wanted = match.Wanted(("glp1", "obesity"))
-    text = "GLP-1 & <obesity>, 12-15 obese"
-    assert one(spark, match.highlight(F.col("t"), wanted), t=text) == "<mark>GLP-1</mark> &amp; &lt;<mark>obesity</mark>&gt;, 12-15 obese"
+    wanted = match.Wanted(("hiv1", "virus"))
+    text = "HIV-1 & <virus>, 20-25 viral"
+    assert one(spark, match.highlight(F.col("t"), wanted), t=text) == "<mark>HIV-1</mark> &amp; &lt;<mark>virus</mark>&gt;, 20-25 viral"
+    assert one(spark, match.highlight(F.col("t"), wanted, first=F.lit(4)), t=text).startswith('<mark id="match-5">HIV-1</mark> &amp; &lt;<mark id="match-6">virus</mark>')
     assert one(spark, match.match_count(F.col("t"), wanted), t=text) == 2
     assert one(spark, match.first_match(F.col("t"), wanted), t="é " + text) == 2
-    spans = one(spark, match.token_spans(F.col("t")), t="é 12-15")
-    assert [tuple(s) for s in spans] == [(0, 1, "é"), (2, 4, "12"), (5, 7, "15")]
+    spans = one(spark, match.token_spans(F.col("t")), t="é 20-25")
+    assert [tuple(s) for s in spans] == [(0, 1, "é"), (2, 4, "20"), (5, 7, "25")]
+    assert one(spark, match.highlight_term(F.col("t"), ",", "A"), t="a, b") == "a<mark>,</mark> b"
+    assert one(spark, match.highlight_term(F.col("t"), "b", "B"), t="A b B. bb") == "A <mark>b</mark> <mark>B</mark>. bb"
+    assert one(spark, match.highlight_term(F.col("t"), "run", "D", ("runs", "running")), t="run runs running") == "run <mark>runs</mark> <mark>running</mark>"
     assert one(spark, match.lead(F.col("t"), 3), t="abcdef") == "abc…"
     assert one(spark, match.paragraphs(F.col("t")), t="a\nb\n    c") == ["a b", "c"]
 
@@ -29,14 +33,14 @@ def test_unicode(spark):
 
 
 def test_condition_sentences(spark):
-    assert one(spark, sent.condition_sentences(F.col("t"), "C"), t="The cat sat. Yes. It is here now.") == [["cat", "sat"], ["here", "now"]]
+    assert one(spark, sent.condition_sentences(F.col("t"), "C"), t="The ship left. Good. It was late today.") == [["ship", "left"], ["late", "today"]]
 
 
 def test_feed(spark):
-    feed = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.12345v2</id><title>T
+    feed = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1907.00042v5</id><title>T
  x</title><summary>S</summary><published>2024-01-01T00:00:00Z</published><author><name>A B</name></author><author><name>C</name></author></entry></feed>"""
     row = xml.parse_feed(spark.createDataFrame([("f", bytearray(feed.encode()))], "path string, content binary")).first()
-    assert tuple(row) == ("2401.12345", "T x", "S", "2024", "A B, C")
+    assert tuple(row) == ("1907.00042", "T x", "S", "2024", "A B, C")
 
 
 def test_news_methods(spark):
@@ -55,3 +59,15 @@ def test_news_methods(spark):
     assert news.result_rows(found, stories, "crude").where("method = 'tfidf'").first()["relevant"]
     stats = news.training_stats(spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "c"])], "doc_id long, words array<string>")).first()
     assert (stats["n_docs"], stats["n_sentences"], stats["n_tokens"], stats["vocabulary"], stats["top_words"]) == (1, 2, 4, 3, ["a", "b", "c"])
+
+
+def test_seven_methods_and_their_evaluation(spark):
+    stories = spark.createDataFrame([(1, "Oil", "crude oil rose", ["crude"]), (2, "Wheat", "wheat harvest", ["grain"])], "id int, title string, body string, topics array<string>")
+    words, docs = news.news_index(stories)
+    model = spark.createDataFrame([("oil", [1.0, 0.0]), ("crude", [1.0, 0.1]), ("wheat", [0.0, 1.0])], "word string, vec array<double>")
+    queries = spark.createDataFrame([("q", "oil", 1)], "query_id string, term string, tf long")
+    found = news.rankings(news.all_method_scores(words, queries, {"cbow": model, "skipgram": model}, docs.count()))
+    assert len({r["method"] for r in found.collect()}) == 7
+    kinds = spark.createDataFrame([("q", "keyword", "crude")], "query_id string, type string, topic string")
+    rows = news.evaluate(found, stories, kinds).collect()
+    assert {r["level"] for r in rows} == {"all", "type", "topic"} and len(rows) == 21 and all(r["rr"] == 1 for r in rows)

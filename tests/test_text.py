@@ -14,15 +14,16 @@ def one(spark, column, **values):
 
 
 CASES = {
-    "COVID-19 SARS-CoV-2 IL-6 patient's e.g. 48.1% 0.05": "covid-19 sars-cov-2 il-6 patient's e.g. 48.1% 0.05",
-    "activity/exercise": "activity exercise",
-    "12-15%": "12 15%",
-    "12–15%": "12 15%",
-    "OR 0.65, CI: 0.44–0.97": "or 0.65 ci 0.44 0.97",
-    "5-stage 5‐stage 5‑stage 5–stage": "5-stage 5‐stage 5‑stage 5–stage",
-    "Alzheimer's O’Malley factors—particularly": "alzheimer's o’malley factors particularly",
-    "i.e. e.g. U.S. Δ β α Brca1ΔC/ΔC": "i.e. e.g. u.s. δ β α brca1δc δc",
-    "48.1mg 5%x 3-y": "48.1 mg 5 x 3-y".replace("48.1 mg", "48 1mg"),
+    "Vitamin-B12 AK-47 MiG-29's dog's i.v. 7.25% 3.5": "vitamin-b12 ak-47 mig-29's dog's i.v. 7.25% 3.5",
+    "salt/pepper": "salt pepper",
+    "7-9%": "7 9%",
+    "7–9%": "7 9%",
+    "HR 1.25, range: 0.31–0.88": "hr 1.25 range 0.31 0.88",
+    "two-fold two‐fold two‑fold two–fold": "two-fold two‐fold two‑fold two–fold",
+    "Hodgkin's D’Arcy tests—mostly": "hodgkin's d’arcy tests mostly",
+    "a.k.a. N.Y. Ω λ κ Kir2ΩΣ/ΣΩΣ": "a.k.a. n.y. ω λ κ kir2ωσ σωσ",
+    "36.6kg 7%z 4-q": "36 6kg 7 z 4-q",
+    "Gauß STRASSE İzmir \u212aelvin": "gauss strasse i\u0307zmir kelvin",
     "": "",
 }
 
@@ -33,13 +34,13 @@ def test_tokens(spark, text):
 
 
 def test_conditions(spark):
-    assert one(spark, tx.tokens_and_marks(F.col("t")), t="GLP-1 improved. 0.05") == ["glp-1", "improved", ".", "0.05"]
-    assert one(spark, tx.condition_tokens(F.col("t"), "B"), t="GLP-1 improved. 0.05") == ["glp-1", "improved", "0.05"]
-    assert one(spark, tx.condition_tokens(F.col("t"), "C"), t="The improved and 12-15") == ["improved", "12", "15"]
-    assert one(spark, tx.tokens_and_marks(F.col("t")), t="12-15") == ["12", "-", "15"]
-    assert one(spark, tx.weighting_tokens(F.col("t")), t="The GLP-1 receptors, and GLP‑1 agonists!") == ["glp-1", "receptors", "glp-1", "agonists"]
-    assert one(spark, tx.news_tokens(F.col("t")), t="The OPEC output rose 12 pct to 1.5 mln barrels") == "opec output rose pct mln barrels".split()
-    assert len(tx.STOP_WORDS) == len(set(tx.STOP_WORDS)) == 72
+    assert one(spark, tx.tokens_and_marks(F.col("t")), t="HIV-1 fell. 0.25") == ["hiv-1", "fell", ".", "0.25"]
+    assert one(spark, tx.condition_tokens(F.col("t"), "B"), t="HIV-1 fell. 0.25") == ["hiv-1", "fell", "0.25"]
+    assert one(spark, tx.condition_tokens(F.col("t"), "C"), t="Those fell and 7-9") == ["fell", "7", "9"]
+    assert one(spark, tx.tokens_and_marks(F.col("t")), t="7-9") == ["7", "-", "9"]
+    assert one(spark, tx.weighting_tokens(F.col("t")), t="An AK-47 rifle, or AK‑47 copies!") == ["ak-47", "rifle", "ak-47", "copies"]
+    assert one(spark, tx.news_tokens(F.col("t")), t="A bank cut rates 25 bps to 4.5 pct") == "bank cut rates bps pct".split()
+    assert len(tx.STOP_WORDS) == len(set(tx.STOP_WORDS)) == 72 and sorted(tx.STOP_WORDS) == tx.STOP_WORDS
 
 
 def test_null_text(spark):
@@ -48,12 +49,14 @@ def test_null_text(spark):
 
 
 SENTENCES = {
-    "Dr. Smith came. He left.": 2,
-    "See Fig. 3 and e.g. this. Done": 2,
-    "J. Smith wrote 3.14. It is right!": 2,
-    "He said \"stop.\" Then he went.": 2,
-    "One line\nAnother line": 2,
-    "Vitamin C. Next one.": 1,
+    "Prof. Lindgren spoke. They listened.": 2,
+    "Compare Eq. 4 and i.e. that. Done": 2,
+    "K. Jensen paid 2.50. It was cheap!": 2,
+    "She said \"go.\" Then it rained.": 2,
+    "First line\nSecond line": 2,
+    "Plan B. Next one.": 1,
+    "plan b. next one": 2,
+    "Is it? Yes! 好。对": 3,
     "": 0,
 }
 
@@ -63,7 +66,7 @@ def test_sentences(spark, text):
     assert one(spark, sent.sentence_count(F.col("t")), t=text) == SENTENCES[text]
 
 
-STEMS = {"improved": "improv", "patients": "patient", "cancers": "cancer", "receptors": "receptor", "studies": "studi", "dies": "die", "died": "die", "sky": "sky", "flies": "fli",
+STEMS = {"sky": "sky", "flies": "fli",
          "caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "falling": "fall", "hissing": "hiss", "filing": "file",
          "happy": "happi", "relational": "relat", "conditional": "condit", "digitizer": "digit", "operator": "oper", "triplicate": "triplic", "electriciti": "electr", "revival": "reviv",
          "adoption": "adopt", "probate": "probat", "controll": "control", "roll": "roll", "is": "is", "news": "news", "dying": "die"}
@@ -71,17 +74,17 @@ STEMS = {"improved": "improv", "patients": "patient", "cancers": "cancer", "rece
 
 def test_stems(spark):
     assert {w: stem(w) for w in STEMS} == STEMS
-    rows = spark.createDataFrame([(1, "cancers", 2), (1, "cancer", 1)], "doc_id long, term string, tf long")
-    assert {r["stem"] for r in stem_terms(rows).collect()} == {"cancer"}
+    rows = spark.createDataFrame([(1, "engines", 2), (1, "engine", 1)], "doc_id long, term string, tf long")
+    assert {r["stem"] for r in stem_terms(rows).collect()} == {"engin"}
 
 
 def test_scalars(spark):
-    assert one(spark, tx.variant_key(F.col("t")), t="GLP‑1") == "glp1"
-    assert one(spark, tx.variant_key(F.col("t")), t="can't") is None
+    assert one(spark, tx.variant_key(F.col("t")), t="HIV‑2") == "hiv2"
+    assert one(spark, tx.variant_key(F.col("t")), t="won't") is None
     assert one(spark, tx.csv_safe(F.col("t")), t=" =1+1") == "' =1+1"
     assert one(spark, tx.csv_safe(F.col("t")), t="a=1") == "a=1"
-    assert one(spark, tx.index_text(F.col("t")), t="Keywords: a, b") == "  a, b"
-    assert one(spark, tx.topic_key(F.col("t")), t="  Heart \n Disease ") == "heart disease"
+    assert one(spark, tx.index_text(F.col("t")), t="Keyword : x; y") == "  x; y"
+    assert one(spark, tx.topic_key(F.col("t")), t="  Steel \n Prices ") == "steel prices"
     assert one(spark, tx.is_blank(F.col("t")), t="\t ") is True
     assert one(spark, tx.escape_html(F.col("t")), t="<a&b>") == "&lt;a&amp;b&gt;"
     assert one(spark, tx.snippet(F.col("t"), F.lit(10), 5, 8), t="abcdefghijklmnopqrstuvwxyz") == "…fghijklm…"
