@@ -255,11 +255,35 @@ def test_licenses_with_line_breaks(monkeypatch):
     gated = licenses.scan_batch(pa.array(texts))[2]
     for (text, label), found in zip(WRAPPED, gated, strict=True):
         assert label in [d[2] for d in found] if label else not found, text
-    monkeypatch.setattr(licenses, "KEYWORDS", {"": re.compile("")})
+    monkeypatch.setattr(licenses, "keywords_in", lambda _: {""})
     monkeypatch.setattr(licenses, "RULES", [dataclasses.replace(r, keywords=("",)) for r in licenses.RULES])
     assert gated == [licenses.detect(licenses.LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes().decode()) for t in texts]
 
 
+PARTS = ["the MIT License", "licensed under", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "all rights reserved", "GNU General Public License,\nversion 2", "cc by-sa 4.0", "Neither the name of Acme nor the names of its contributors may be used to endorse or promote products", "redistribution and use in source and binary forms", "SPDX-License-Identifier: MIT", "under the terms of the Acme License", "words", "You may not use this file except in compliance with the License", "apache license 2.0", "copyright 2020"]
+
+
+def test_suppression_against_brute_force():
+    """Of all matches of all rules, tier by tier and the longest first, those within one taken before go."""
+    rng = random.Random(8)
+    for _ in range(60):
+        text = " ".join(rng.choice(PARTS) + rng.choice(["", ".", ",", "\n"]) for _ in range(12)).lower()
+        every = sorted((r.tier, m.start() - m.end(), r.priority, m.start(), m.end(), r.label, r.score) for r in licenses.RULES for m in r.pattern.finditer(text))
+        taken = []
+        for _, _, _, a, b, label, score in every:
+            if not any(x <= a and b <= y for x, y, _, _ in taken):
+                taken.append((a, b, label, score))
+        assert licenses.detect(text) == sorted(taken) and taken
+
+
+def test_license_texts():
+    labels = lambda t: [d[2] for d in licenses.detect(" ".join(t.lower().split()))]
+    assert labels(PARTS[2]) == ["mit-license"] and labels(PARTS[6]) == ["bsd-3-clause"] and labels(PARTS[11]) == ["apache-2.0"]
+    assert labels("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == ["mpl-2.0"]
+    assert labels("You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3") == ["gpl-3.0"]
+    assert len({(r.label, r.pattern.pattern) for r in licenses.RULES}) == len(licenses.RULES) > 400
+
+
 def test_a_gate_does_not_reach_into_the_next_text():
     texts = ["in general", "public domain: released into the public domain", "the mit", "license is mine, all rights", "reserved"]
     assert [[d[2] for d in x] for x in licenses.scan_batch(pa.array(texts))[2]] == [[], ["public-domain"], [], [], []]
@@ -277,6 +301,50 @@ def test_scan_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0), "doc_id").count() == 0
 
 
+def plain_buckets(text):
+    """Hashed 2- and 3-grams of lower-case letters, runs of anything else read as one blank, the text's end as well."""
+    code, last = [], True
+    for c in text.lower() + "\n":
+        if c.isalpha() or last:
+            code.append(ord(c) if c.isalpha() else 32)
+        last = c.isalpha()
+    out = []
+    for k, order in enumerate((2, 3)):
+        for at in range(len(code) - order + 1):
+            value = 0
+            for j in range(order):
+                value = (value ^ code[at + j]) * 0x9E3779B1 & 0xFFFFFFFF
+                value ^= value >> 15
+            out.append((value >> 17) + (k << 15))
+    return out
+
+
+def test_naive_bayes_against_the_formula(spark):
+    rng = random.Random(9)
+    parts = {"aa": "tha ing ion ent", "bb": "sch ung ein vör", "cc": "eau mént que oui"}
+    make = lambda x, n: " ".join("".join(rng.choice(parts[x].split()) for _ in range(2)) + rng.choice([",", "", " 12 --"]) for _ in range(n))
+    rows = [(k, make(x, rng.randint(1, 9)), x) for k, x in enumerate(rng.choice(["aa", "aa", "bb", "cc"]) for _ in range(60))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {x: Counter() for x in parts}
+    for _, t, x in rows:
+        counts[x].update(plain_buckets(t))
+    sizes = Counter(x for _, _, x in rows)
+    for text in [make(x, 3) for x in parts] + ["x", "Ünd", "a b\u00e9c!! d", ""]:
+        logs = {}
+        for x in parts:
+            logs[x] = math.log(sizes[x] / len(rows))
+            for k in (0, 1):
+                total = sum(n for b, n in counts[x].items() if b >> 15 == k) + 0.1 * 2**15
+                logs[x] += sum(math.log((counts[x][b] + 0.1) / total) for b in plain_buckets(text) if b >> 15 == k)
+        best = max(sorted(logs), key=logs.get)
+        share = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        names, scores = langid.score(["filler text", text, "other"], model)
+        if any(c.isalpha() for c in text):
+            assert names[1] == best and scores[1] == pytest.approx(share, abs=1e-4)
+        else:
+            assert (names[1], scores[1]) == ("und", 0.0)
+
+
 def test_language(spark):
     rng = random.Random(5)
     parts = {"aa": ["tha", "ing", "ion", "ent"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["eau", "ment", "que", "oui"]}
