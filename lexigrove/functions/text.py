@@ -26,15 +26,21 @@ RANGE = rf"{_C}(?<=\p{{Nd}}{_C})(?=\p{{Nd}})"
 # initials with points, then numbers (which a letter or an apostrophe may not follow), then words and their connected parts
 TOKEN = rf"(?:[A-Za-z]\.){{2,}}|\p{{Nd}}+(?:\.\p{{Nd}}+)*%?(?![\p{{L}}\p{{N}}_’']|{_C}{_X})|{_A}+(?:['’{HYPHENS}]{_A}+)*"
 MARK = r"[^\s\p{Z}\x1C-\x1F\x85]"
-#: Letters whose lower case has another number of characters, or is ASCII where they are not.
-_AWKWARD = "[\u0130\u212a]"
+#: Characters that fold to something else than their lower case, by Unicode's own tables (sharp s and final sigma are done by the way).
+FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.casefold() != c.lower() and c not in "ßς"}
+_SPECIAL = "[" + "".join(FOLDS) + "]"
+#: Letters whose folded form has another number of characters, or is ASCII where they are not.
+_AWKWARD = "[\u0130\u212a" + "".join(FOLDS) + "]"
 
 CONDITIONS = ("A", "B", "C", "D")
 
 
 def casefold(text: Column) -> Column:
-    """Case folding for what occurs in tokens: lower case, ß as ss, one form of sigma."""
-    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    """Case folding: lower case, ß as ss, one form of sigma, and where a text has any, the characters with folds of their own."""
+    table = F.str_to_map(F.lit("|".join(f"{c}~{fold}" for c, fold in FOLDS.items())), F.lit("\\|"), F.lit("~"))
+    lower = F.lower(text)
+    each = F.array_join(F.transform(F.split(lower, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.replace(F.translate(F.when(text.rlike(_SPECIAL), each).otherwise(lower), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def _folded_matches(text: Column, cut: str, between: str, pattern: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -35,8 +35,6 @@ def close_terms(queries: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
 
 def edit_groups(queries: DataFrame, terms: DataFrame, limit: int = 4) -> DataFrame:
     """(word, distance, rank, term, df, cf): each distance ordered by df, cf, term."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("word", "distance").orderBy(F.desc("df"), F.desc("cf"), "term")
     return close_terms(queries, terms, limit).withColumn("rank", F.row_number().over(order))
 
@@ -55,6 +53,28 @@ def suggest(query_words: DataFrame, terms: DataFrame, limit: int = 2) -> DataFra
     return found.select("position", F.col("typed").alias("word"), cased.alias("suggestion"), "distance", "df", "cf").orderBy("distance", F.desc("df"), F.desc("cf"), "suggestion", "position")
 
 
+#: How long a query may be that corrections are offered for, in characters and in words.
+MOST_CHARACTERS, MOST_WORDS = 512, 12
+
+
+def suggest_queries(query: str, terms: DataFrame, limit: int = 2) -> DataFrame:
+    """(place, corrected, distance): the query with one of its words replaced, in the case it was typed in, each outcome once.
+
+    In order of distance, most documents, most occurrences, the alphabet, and the word's place. Longer queries have none.
+    """
+    from ..functions.match import token_spans
+
+    spark = terms.sparkSession
+    spans = F.when(F.length("q") <= MOST_CHARACTERS, token_spans(F.col("q")))
+    typed = spark.createDataFrame([(query,)], "q string").select("q", spans.alias("spans")).where(F.size("spans") <= MOST_WORDS).select("q", F.posexplode("spans").alias("position", "s"))
+    part = lambda a, b: F.substring("q", a + 1, b - a)
+    asked = typed.select("position", part(F.col("s.start"), F.col("s.end")).alias("word"), part(F.lit(0), F.col("s.start")).alias("head"), part(F.col("s.end"), F.length("q")).alias("rest"))
+    found = suggest(asked.select("position", "word"), terms, limit).join(asked.drop("word"), "position")  # a row for each word of a query
+    order = F.struct("distance", -F.col("df"), -F.col("cf"), F.lower("suggestion"), "position")
+    each = found.groupBy(F.concat("head", "suggestion", "rest").alias("corrected")).agg(F.min(order).alias("o")).where(F.col("corrected") != query)
+    return each.select(F.row_number().over(Window.orderBy("o")).alias("place"), "corrected", F.col("o.distance").alias("distance"))  # outcomes for one typed query
+
+
 def variant_groups(terms: DataFrame) -> DataFrame:
     """(key, variants): index terms that differ in connectors only, for keys with more than one."""
     keyed = terms.select("term", variant_key(F.col("term")).alias("key")).where("key is not null")

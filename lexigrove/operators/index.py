@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_terms
-from ..functions.text import without_stop_words, tokens
+from ..functions.text import tokens, weighting_tokens, without_stop_words
 
 
 def postings(docs: DataFrame, words: Column, id_column: str = "doc_id") -> DataFrame:
@@ -26,6 +26,12 @@ def search_postings(docs: DataFrame) -> DataFrame:
     return stemmed_postings(docs, without_stop_words(tokens(F.col("text"))))
 
 
+def weighting_postings(docs: DataFrame, stop_words: bool = True, stem: bool = False) -> DataFrame:
+    """What the weighting laboratory counts: words with one kind of hyphen, with or without stop-words, as they are or stemmed."""
+    words = weighting_tokens(F.col("text"), stop_words)
+    return stemmed_postings(docs, words) if stem else postings(docs, words)
+
+
 def stored_postings(docs: DataFrame, words: Column, width: int = 100) -> DataFrame:
     """Postings as they are written: terms cut to ``width`` characters."""
     return postings(docs, F.transform(words, lambda t: F.substring(t, 1, width)))

@@ -78,6 +78,21 @@ def all_terms_scores(index: DataFrame, terms: list[str]) -> DataFrame:
     return hits.where(F.col("n") == len(set(terms))).select("doc_id", "score")
 
 
+def by_title(scores: DataFrame, docs: DataFrame) -> DataFrame:
+    """``scores(doc_id, score)`` with the titles of ``docs(doc_id, title)``: best first, equal ones by title."""
+    return scores.join(docs.select("doc_id", "title"), "doc_id").orderBy(F.desc("score"), F.lower("title"), "doc_id")
+
+
+def other_ranks(first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
+    """(side, query_id, doc_id, rank, other_rank): the first ``k`` of each of two rankings with their rank in the other; null if it lacks them."""
+    out = None
+    for side, own, other in (("first", first, second), ("second", second, first)):
+        there = other.select("query_id", "doc_id", F.col("rank").alias("other_rank"))
+        part = own.where(F.col("rank") <= k).join(there, ["query_id", "doc_id"], "left").select(F.lit(side).alias("side"), "query_id", "doc_id", "rank", "other_rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def variant_groups_of(queries: list[str], terms: DataFrame) -> DataFrame:
     """groups(term, group) for ``bm25_scores``: each word of a query with its variants among ``terms(term)``."""
     from .fuzzy import expand

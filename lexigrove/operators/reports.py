@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import match
@@ -23,6 +23,27 @@ def display_stats(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.select("doc_id", F.size(tx.tokens(t)).cast("long").alias("words"), tx.char_count(t).cast("long").alias("characters"), sent.sentence_count(t).cast("long").alias("sentences"))
 
 
+def document_stats(docs: DataFrame, column: str = "text") -> DataFrame:
+    """(doc_id, characters, characters_no_space, words, sentences, words_per_sentence) of each document."""
+    t = F.col(column)
+    rows = docs.select("doc_id", tx.char_count(t).cast("long").alias("characters"), tx.char_count_no_space(t).cast("long").alias("characters_no_space"), F.size(tx.tokens(t)).cast("long").alias("words"), sent.sentence_count(t).cast("long").alias("sentences"))
+    return rows.withColumn("words_per_sentence", F.when(F.col("sentences") > 0, F.round(F.col("words") / F.col("sentences"), 2)).otherwise(0.0))
+
+
+def reading_view(docs: DataFrame, column: str = "raw_text") -> DataFrame:
+    """(doc_id, block, kind, number, sentence): full texts in blocks parted by empty lines, sentences numbered through a document.
+
+    A block of one line that no sentence's end closes is a section's title; its text has no number.
+    """
+    blocks = docs.select("doc_id", F.posexplode(F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), r"\r?\n\s*\n"), F.trim), lambda b: b != "")).alias("block", "text"))
+    title = ~F.col("text").rlike(r"[.!?。！？:;]\W*$") & ~F.col("text").contains("\n") & (F.length("text") <= 120)
+    rows = blocks.withColumn("kind", F.when(title, "section").otherwise("paragraph")).withColumn("s", F.when(title, F.array("text")).otherwise(sent.sentences(tx.collapse(F.col("text")))))
+    counted = rows.withColumn("n", F.when(F.col("kind") == "paragraph", F.size("s")).otherwise(0))
+    order = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("doc_id", "block", "kind", "before", F.posexplode("s").alias("at", "sentence"))
+    return placed.select("doc_id", "block", "kind", F.when(F.col("kind") == "paragraph", F.col("before") + F.col("at") + 1).alias("number"), "sentence")
+
+
 def article_detail(docs: DataFrame, doc_id: int, wanted: match.Wanted) -> DataFrame:
     """(doc_id, place, sentence, matches) of one article: its sentences as HTML, matches numbered through the whole article."""
     one = docs.where(F.col("doc_id") == doc_id).select("doc_id", sent.sentences(F.col("text")).alias("s"))

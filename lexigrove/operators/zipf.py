@@ -132,3 +132,16 @@ def concentrated_term(table: DataFrame) -> DataFrame:
     """(condition, widest, concentrated): the term in most documents and the one with most occurrences a document."""
     widest = F.max_by("term", F.struct("df", "cf", "term"))
     return table.groupBy("condition").agg(widest.alias("widest"), F.max_by("term", F.struct(F.col("cf") / F.col("df"), F.col("cf"), F.col("term"))).alias("concentrated"))
+
+
+#: What a term table can be sorted by.
+SORTS = ("rank", "term", "cf", "df", "idf", "coverage")
+
+
+def sorted_terms(table: DataFrame, condition: str, by: str = "rank", descending: bool = False, part: str = "") -> DataFrame:
+    """One condition's rows, sorted by a column, then by term; only terms that hold ``part``, if given."""
+    if by not in SORTS:
+        raise ValueError(f"a term table is sorted by {', '.join(SORTS)}")
+    rows = table.where(F.col("condition") == condition)
+    rows = rows.where(F.col("term").contains(part.casefold())) if part else rows
+    return rows.orderBy(F.desc(by) if descending else F.asc(by), "term")

@@ -83,6 +83,12 @@ def display_stats(spark, sf):
     return reports.display_stats(documents(spark, sf))
 
 
+@query(with_cte("""SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS characters, length(regexp_replace(text, '\\s', '', 'g')) AS characters_no_space, len(t) AS words, coalesce(n, 0)::BIGINT AS sentences,
+  CASE WHEN n > 0 THEN round(len(t) / n, 2) ELSE 0 END AS words_per_sentence FROM documents JOIN toks USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n)::BIGINT AS n FROM counted GROUP BY doc_id) USING (doc_id)""", f"toks AS (SELECT doc_id, {sql.tokens()} AS t FROM documents)", sql.SENTENCES))
+def document_stats(spark, sf):
+    return reports.document_stats(documents(spark, sf))
+
+
 def _conditions_sql(body: str) -> str:
     marks = f"a AS (SELECT doc_id, unnest({sql.tokens_and_marks()}) AS term FROM documents)"
     c = f"""c AS (SELECT 'A' AS condition, doc_id, term FROM a UNION ALL SELECT 'B', doc_id, term FROM a WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}]')
@@ -111,6 +117,11 @@ for _c in "ABC":
     ORACLES[f"zipf_terms_{_c.lower()}"] = _conditions_sql(f"SELECT condition, rank, term, cf, df, round(idf, 6) AS idf, round(coverage, 6) AS coverage FROM t WHERE condition = '{_c}' AND rank <= 100")
 
 
+@query(_conditions_sql("SELECT rank, term, cf, df FROM t WHERE condition = 'B' AND contains(term, 'an') ORDER BY df DESC, term LIMIT 50"))
+def zipf_sorted_terms(spark, sf):
+    return zipf.sorted_terms(_term_table(spark, sf)[0], "B", "df", descending=True, part="AN").select("rank", "term", "cf", "df").limit(50)
+
+
 @query(_conditions_sql("SELECT condition, any_value(n) AS n_docs, sum(cf)::BIGINT AS tokens, count(*) AS vocabulary, round(sum(cf) / any_value(n), 6) AS avg_tokens, count(*) FILTER (cf = 1) AS hapax, array_to_string(list(term ORDER BY rank) FILTER (rank <= 5), ' ') AS top_terms FROM t, n GROUP BY condition"))
 def zipf_totals(spark, sf):
     found, n = _term_table(spark, sf)
@@ -450,6 +461,23 @@ def length_bias(spark, sf):
     return rounded(first.groupBy("method").agg(F.avg("length").alias("avg_length")), "avg_length")
 
 
+_PAIR = (sql.INDEX, sql.weights(["tfidf"]), sql.query_weights(TERMS, ["tfidf"]), sql.scores(False).replace("s AS", "sd AS"), sql.scores(True).replace("s AS (SELECT query_id", "sc AS (SELECT query_id"))
+
+
+@query(
+    with_cte(
+        """SELECT 'first' AS side, a.query_id, a.doc_id, a.rank, b.rank AS other_rank FROM ra a LEFT JOIN rb b USING (query_id, doc_id) WHERE a.rank <= 10
+  UNION ALL SELECT 'second', b.query_id, b.doc_id, b.rank, a.rank FROM rb b LEFT JOIN ra a USING (query_id, doc_id) WHERE b.rank <= 10""",
+        *_PAIR,
+        *[f"{r} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {s_} WHERE score > 0)" for r, s_ in (("ra", "sd"), ("rb", "sc"))],
+    )
+)
+def length_pairs(spark, sf):
+    """The first ten by TF-IDF without and with length normalisation, each with its rank on the other side."""
+    dot, cosine = (_rankings(spark, sf, c).where("method = 'tfidf'") for c in (False, True))
+    return ranking.other_ranks(dot, cosine)
+
+
 @query(_eval_sql("SELECT r.method, r.query_id, count(b.doc_id) AS overlap FROM r LEFT JOIN r b ON b.query_id = r.query_id AND b.doc_id = r.doc_id AND b.method = 'bm25' AND b.rank <= 10 WHERE r.rank <= 10 GROUP BY ALL"))
 def top10_overlap(spark, sf):
     return ranking.top_overlap(_rankings(spark, sf), "bm25")
@@ -574,6 +602,13 @@ def spelling_suggest(spark, sf):
     return fuzzy.suggest(words, terms)
 
 
+@query(with_cte(f"""SELECT row_number() OVER (ORDER BY distance, df DESC, cf DESC, term, position)::INT AS place, CASE position WHEN 0 THEN term || ' and ERINT' ELSE 'ththa and ' || upper(term) END AS corrected, distance FROM (
+  SELECT position, word, term, levenshtein(lower(word), {_bytes("term")})::INT AS distance, df, cf FROM terms, (VALUES (0, 'ththa'), (2, 'ERINT')) v(position, word) WHERE {_SPELL} AND abs(length(word) - length(term)) <= 2) WHERE distance BETWEEN 1 AND 2""", sql.INDEX))
+def corrected_queries(spark, sf):
+    terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df")
+    return fuzzy.suggest_queries("ththa and ERINT", terms)
+
+
 @query(with_cte("SELECT term, cf, df FROM terms WHERE contains(term, 'inan') AND length(term) >= 2 AND regexp_matches(term, '\\p{L}')", sql.INDEX))
 def term_substring(spark, sf):
     terms = ix.term_stats(index(spark, sf)).select("term", "cf", "df")

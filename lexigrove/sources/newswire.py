@@ -66,6 +66,10 @@ def partition_of(stories: DataFrame, split: str, part: str) -> DataFrame:
     return stories.where(F.col("splits")[split] == part)
 
 
+def story(stories: DataFrame, number: int) -> DataFrame:
+    return stories.where(F.col("id") == number)
+
+
 def split_counts(stories: DataFrame) -> DataFrame:
     """(split, train, test, unused)."""
     return stories.select(F.explode("splits").alias("split", "part")).groupBy("split").pivot("part", ["train", "test", "unused"]).count().na.fill(0)

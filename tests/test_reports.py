@@ -145,3 +145,37 @@ def test_filters(spark):
     assert ids(scope.has_topic(topics, "h")) == [1, 3, 4, 5] and ids(scope.has_topic(topics, None)) == [2]
     assert [r["d"] for r in docs.orderBy("doc_id").select(scope.domain(F.col("arxiv_id")).alias("d")).collect()] == ["medical"] * 3 + ["cs", "medical"]
     assert [r["doc_id"] for r in scope.ordered(docs.withColumn("publication_year", F.col("pmid")), "newest").collect()] == [1, 3, 4, 5, 2]
+
+
+def test_reading_view(spark):
+    text = "Title of part\n\nOne is here. Two is\nhere.\n\n\nOther part\n\nThree. Four!"
+    rows = reports.reading_view(spark.createDataFrame([(1, text), (2, None)], "doc_id long, raw_text string")).orderBy("block", "number").collect()
+    assert [(r["block"], r["kind"], r["number"], r["sentence"]) for r in rows] == [(0, "section", None, "Title of part"), (1, "paragraph", 1, "One is here."), (1, "paragraph", 2, "Two is here."), (2, "section", None, "Other part"), (3, "paragraph", 3, "Three."), (3, "paragraph", 4, "Four!")]
+
+
+def test_document_stats(docs):
+    found = {r["doc_id"]: (r["characters_no_space"], r["words_per_sentence"]) for r in reports.document_stats(docs).collect()}
+    assert found == {1: (44, 3.67), 2: (11, 3.0), 3: (13, 3.0), 4: (0, 0.0)}
+
+
+def test_corrected_query(spark):
+    from lexigrove.operators import fuzzy
+
+    terms = spark.createDataFrame([("copper", 9, 5), ("cooper", 1, 1), ("smelter", 3, 2)], "term string, cf long, df long")
+    offered = lambda q: [r["corrected"] for r in fuzzy.suggest_queries(q, terms).orderBy("place").collect()]
+    assert offered("old Coper, smelter") == ["old Copper, smelter", "old Cooper, smelter"]
+    assert offered("SMELTRE copper") == ["SMELTRE cooper", "SMELTER copper"]
+    assert offered("qqqqqq the") == offered("coper " * 13) == offered("coper " + "x" * 600) == []
+
+
+def test_orders(spark, docs):
+    scores = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 2.0)], "doc_id long, score double")
+    titles = spark.createDataFrame([(1, "b"), (2, "c"), (3, "A")], "doc_id long, title string")
+    assert [r["doc_id"] for r in ranking.by_title(scores, titles).collect()] == [2, 3, 1]
+    first, second = (spark.createDataFrame([("q", d, k + 1) for k, d in enumerate(ids)], "query_id string, doc_id long, rank int") for ids in ([1, 2, 3], [3, 4]))
+    assert {(r["side"], r["doc_id"], r["rank"], r["other_rank"]) for r in ranking.other_ranks(first, second, 2).collect()} == {("first", 1, 1, None), ("first", 2, 2, None), ("second", 3, 1, 3), ("second", 4, 2, None)}
+    table = zipf.condition_table(index.postings(docs, tx.condition_tokens(F.col("text"), "A")), 3)
+    assert [r["term"] for r in zipf.sorted_terms(table, "C", "cf", True, "IN").collect()] == ["tin", "again", "zinc"]
+    with pytest.raises(ValueError, match="sorted"):
+        zipf.sorted_terms(table, "C", "x")
+    assert {r["term"] for r in index.weighting_postings(docs, stop_words=False, stem=True).where("doc_id = 2").collect()} == {"tin", "and", "lead"}

@@ -43,6 +43,13 @@ def test_conditions(spark):
     assert len(tx.STOP_WORDS) == len(set(tx.STOP_WORDS)) == 72 and sorted(tx.STOP_WORDS) == tx.STOP_WORDS
 
 
+def test_folding(spark):
+    texts = ["ﬁn ﬀ ŉx ſ ẞ ΑΣ ǰ µ K İ Straße ΐ ᏸ ﬓ", "plain TEXT", "", "ᾳ ᾼ ẘ"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.casefold(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in out] == [t.casefold() for t in texts]
+    assert all(one(spark, tx.tokens(F.col("t")), t=t) == one(spark, F.transform(F.regexp_extract_all(F.col("t"), F.lit(tx.TOKEN), F.lit(0)), tx.casefold), t=t) for t in texts)
+
+
 def test_null_text(spark):
     assert one(spark, tx.tokens(F.col("t").cast("string")), t=None) == []
     assert one(spark, sent.sentences(F.col("t").cast("string")), t=None) == []
