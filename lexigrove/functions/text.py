@@ -28,9 +28,22 @@ TOKEN = rf"(?:[A-Za-z]\.){{2,}}|\p{{Nd}}+(?:\.\p{{Nd}}+)*%?(?![\p{{L}}\p{{N}}_
 MARK = r"[^\s\p{Z}\x1C-\x1F\x85]"
 #: Characters that fold to something else than their lower case, by Unicode's own tables (sharp s and final sigma are done by the way).
 FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.casefold() != c.lower() and c not in "ßς"}
-_SPECIAL = "[" + "".join(FOLDS) + "]"
+
+
+def _class_of(chars: str, gap: int = 40) -> str:
+    """A regex class of ranges that hold ``chars`` (and what lies in small gaps between them); common letters are told apart by its first two parts."""
+    codes = sorted(map(ord, chars))
+    ranges = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c - ranges[-1][1] > gap or ranges[-1][1] < 0x130:
+            ranges.append([c, c])
+        ranges[-1][1] = c
+    return "[\\u00b5\\u0130-\\uffff&&[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]]"
+
+
+_SPECIAL = _class_of("".join(FOLDS))
 #: Letters whose folded form has another number of characters, or is ASCII where they are not.
-_AWKWARD = "[\u0130\u212a" + "".join(FOLDS) + "]"
+_AWKWARD = _class_of("\u0130\u212a" + "".join(FOLDS))
 
 CONDITIONS = ("A", "B", "C", "D")
 
