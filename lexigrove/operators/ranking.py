@@ -34,22 +34,23 @@ def vector_scores(index: DataFrame, queries: DataFrame, methods: tuple[str, ...]
     """(query_id, method, doc_id, score, matched) of ``queries(query_id, term, tf)``, by dot product or cosine."""
     if queries.limit(MOST_TERMS + 1).count() > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} words of queries at once")
-    rich = with_stats(index)
+    words = F.broadcast(queries.select("term").distinct().withColumn("asked", F.lit(True)))  # queries are typed by people
     asked = query_weights(queries, term_stats(index), methods)
-    wanted = F.broadcast(asked.withColumnRenamed("weight", "query_weight"))  # queries are typed by people
+    wanted = F.broadcast(asked.withColumnRenamed("weight", "query_weight"))
+    hits = index.join(words, "term", "left_semi")
+    added = F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.collect_list("term").alias("matched")
     if cosine:
-        # norms of documents with a word of a query only
-        hit = rich.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").select("doc_id").distinct()
-        held = document_weights(rich.join(hit, "doc_id", "left_semi"), methods)
-        hits = held.join(wanted, ["term", "method"])
-        total = hits.groupBy("query_id", "method", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.collect_list("term").alias("matched"))
-        both = total.join(norms(held, "method", "doc_id"), ["method", "doc_id"]).join(F.broadcast(norms(asked, "query_id", "method").withColumnRenamed("norm", "query_norm")), ["query_id", "method"])
+        # one pass over all words of the documents that are hit: their norms, and their weights for words of queries
+        held = document_weights(with_stats(index, index.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")), methods).join(words, "term", "left")
+        found = F.collect_list(F.when(F.col("asked"), F.struct("term", "weight"))).alias("found")
+        sized = held.groupBy("doc_id", "method").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), found)
+        each = sized.select("doc_id", "method", "norm", F.inline("found")).join(wanted, ["term", "method"])
+        total = each.groupBy("query_id", "method", "doc_id").agg(*added, F.max("norm").alias("norm"))
+        both = total.join(F.broadcast(norms(asked, "query_id", "method").withColumnRenamed("norm", "query_norm")), ["query_id", "method"])
         size = F.col("norm") * F.col("query_norm")
         scored = both.withColumn("score", F.when(size > 0, F.col("dot") / size).otherwise(F.lit(0.0)))
     else:
-        few = rich.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
-        hits = document_weights(few, methods).join(wanted, ["term", "method"])
-        scored = hits.groupBy("query_id", "method", "doc_id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"), F.collect_list("term").alias("matched"))
+        scored = document_weights(with_stats(index, hits), methods).join(wanted, ["term", "method"]).groupBy("query_id", "method", "doc_id").agg(*added).withColumnRenamed("dot", "score")
     return scored.select("query_id", "method", "doc_id", "score", F.array_sort("matched").alias("matched"))
 
 

@@ -35,11 +35,11 @@ QUERY: dict[str, Callable[[], Column]] = DOCUMENT | {"bm25": DOCUMENT["raw_tf"]}
 METHODS = tuple(DOCUMENT)
 
 
-def with_stats(index: DataFrame) -> DataFrame:
-    """Postings with what the weights need: term, document and corpus statistics."""
+def with_stats(index: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Postings (or some ``rows`` of them) with what the weights need: term, document and corpus statistics of all."""
     stats = corpus_stats(index)
     lengths = doc_lengths(index).select("doc_id", "length")
-    return index.join(term_stats(index, stats), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats.select("n_docs", "avg_length")))
+    return (index if rows is None else rows).join(term_stats(index, stats), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats.select("n_docs", "avg_length")))
 
 
 def document_weights(rich: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:

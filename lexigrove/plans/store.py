@@ -15,8 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of so many bytes at most may be one row group, which one task would read; it is dealt over all cores before its texts are cut into words.
+SMALL = 256 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text", "lang", "source")))
+    """The documents; small ones are dealt over the cores if their texts are asked for, large ones stay where they are read."""
+    rows = table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text", "lang", "source")))
+    if "text" in rows.columns and int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL:
+        n = spark.sparkContext.defaultParallelism
+        return rows.repartition(n, "doc_id") if "doc_id" in rows.columns else rows.repartition(n)  # what follows by document needs no further shuffle
+    return rows
 
 
 def held(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
