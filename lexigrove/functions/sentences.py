@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .spans import let
-from .text import SPACE, collapse, news_tokens, tokens
+from .text import SPACE, collapse, news_tokens, news_tokens_or, tokens
 
 #: Abbreviations that end no sentence.
 ABBREVIATIONS = "dr mr mrs ms prof sr jr vs etc al fig figs eq eqs approx no nos vol vols pp p cf et inc ltd co st".split()
@@ -35,6 +35,14 @@ def news_sentences(text: Column) -> Column:
     return F.filter(F.transform(sentences(collapse(text)), news_tokens), lambda words: F.size(words) >= 2)
 
 
+def news_words(text: Column) -> Column:
+    """Words of a text as ``news_tokens`` has them, with ``BREAK`` between sentences as ``news_sentences`` parts them: both from one pass.
+
+    Words hold no white space and sentences end before some, so that no word is lost or cut by a mark.
+    """
+    return news_tokens_or(F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(END), F.lit(f"$1{BREAK}")), BREAK)
+
+
 def sentence_count(text: Column) -> Column:
     return F.size(sentences(text))
 
